@@ -27,43 +27,44 @@ def _base_unit(unit: Column) -> Column:
     return F.create_map(*[F.lit(x) for u, (c, _) in UNIT_FACTORS.items() for x in (u, c)])[F.lower(unit)]
 
 
-def extract_size(title: Column) -> Column:
-    """Struct(size_value, size_unit, pack_quantity, size_ok) read from a title.
+def _struct(value: Column, unit: Column, quantity: Column, ok: Column) -> Column:
+    return F.struct(
+        value.alias("size_value"), unit.alias("size_unit"), quantity.alias("pack_quantity"), ok.alias("size_ok")
+    )
+
+
+def _parse(text: Column) -> Column:
+    def found(value: Column, unit: Column, quantity: Column) -> Column:
+        return _struct(value, unit, quantity, value.isNotNull() & quantity.isNotNull())
+
+    def part(pattern: str, group: int) -> Column:
+        return F.regexp_extract(text, pattern, group)
 
-    Tried in order: ``N x SIZE UNIT``; SIZE UNIT with a count suffix; SIZE UNIT; count alone.
-    ``size_ok`` is false when a number was found that does not fit its type.
-    """
-    text = F.coalesce(title, F.lit(""))
-    part = lambda pattern, group: F.regexp_extract(text, pattern, group)
     pack, pack_number, pack_unit = (part(PACK_FIRST, g) for g in (1, 2, 3))
     number, unit = part(SIZE_ONLY, 1), part(SIZE_ONLY, 2)
     count = part(COUNT_ONLY, 1)
-
-    def parsed(value: Column, unit_name: Column, quantity: Column) -> Column:
-        return F.struct(
-            value.alias("size_value"),
-            unit_name.alias("size_unit"),
-            quantity.alias("pack_quantity"),
-            (value.isNotNull() & quantity.isNotNull()).alias("size_ok"),
-        )
-
     one = F.lit(1)
-    nothing = F.struct(
-        F.lit(None).cast(SIZE_TYPE).alias("size_value"),
-        F.lit(None).cast("string").alias("size_unit"),
-        one.alias("pack_quantity"),
-        F.lit(True).alias("size_ok"),
-    )
+    nothing = _struct(F.lit(None).cast(SIZE_TYPE), F.lit(None).cast("string"), one, F.lit(True))
     return (
         F.when(~text.rlike(r"(?U)\d"), nothing)
-        .when(pack != "", parsed(_base_value(pack_number, pack_unit), _base_unit(pack_unit), pack.try_cast("int")))
-        .when((number != "") & (count != ""), parsed(_base_value(number, unit), _base_unit(unit), count.try_cast("int")))
-        .when(number != "", parsed(_base_value(number, unit), _base_unit(unit), one))
-        .when(count != "", parsed(count.try_cast(SIZE_TYPE), F.lit(COUNT_UNIT), one))
+        .when(pack != "", found(_base_value(pack_number, pack_unit), _base_unit(pack_unit), pack.try_cast("int")))
+        .when((number != "") & (count != ""), found(_base_value(number, unit), _base_unit(unit), count.try_cast("int")))
+        .when(number != "", found(_base_value(number, unit), _base_unit(unit), one))
+        .when(count != "", found(count.try_cast(SIZE_TYPE), F.lit(COUNT_UNIT), one))
         .otherwise(nothing)
     )
 
 
+def extract_size(title: Column) -> Column:
+    """Struct(size_value, size_unit, pack_quantity, size_ok) read from a title.
+
+    Tried in order: ``N x SIZE UNIT``; SIZE UNIT with a count suffix; SIZE UNIT; count alone.
+    ``size_ok`` is false when a number was found that does not fit its type. The title goes through
+    a one-element array, so that it is computed once and the plan does not repeat its expression.
+    """
+    return F.transform(F.array(F.coalesce(title, F.lit(""))), _parse)[0]
+
+
 def total_size(size_value: Column, pack_quantity: Column) -> Column:
     return F.coalesce(size_value, F.lit(0)) * pack_quantity
 
