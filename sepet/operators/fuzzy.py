@@ -56,37 +56,41 @@ def _two_deletions(token: Column) -> Column:
     return F.array_distinct(F.array_append(cut, token))
 
 
-def _segment_start(length: Column, i: int) -> Column:
-    return F.floor(length / 3).cast("int") * i + 1
+def _ints(*values: int) -> Column:
+    return F.array(*[F.lit(v) for v in values])
 
 
-def _segment_length(length: Column, i: int) -> Column:
-    third = F.floor(length / 3).cast("int")
-    return third if i < 2 else length - third * 2
-
+def _segment(token: Column, length: Column, i: Column, shift: Column) -> Column:
+    """Key of segment i of a word of ``length``, cut from ``token`` at its place plus ``shift``.
 
-def _segment_key(length: Column, i: int, text: Column) -> Column:
-    return F.concat_ws("/", F.lit(f"s{i}"), length.cast("string"), text)
+    Null when the segment would not lie inside the token.
+    """
+    third = F.floor(length / 3).cast("int")
+    size = F.when(i < 2, third).otherwise(length - third * 2)
+    start = third * i + 1 + shift
+    key = F.concat_ws("/", F.lit("part"), i.cast("string"), length.cast("string"), F.substring(token, start, size))
+    return F.when((start >= 1) & (start + size - 1 <= F.length(token)), key)
 
 
 def _own_segments(token: Column) -> Column:
-    n = F.length(token)
-    return F.array(
-        *[_segment_key(n, i, F.substring(token, _segment_start(n, i), _segment_length(n, i))) for i in range(3)]
-    )
+    return F.transform(_ints(0, 1, 2), lambda i: _segment(token, F.length(token), i, F.lit(0)))
 
 
 def _sought_segments(token: Column) -> Column:
     """Where the three segments of a word within two edits may lie in ``token``."""
-    keys = []
-    for gap in range(-2, 3):
-        n = F.length(token) + gap
-        for i in range(3):
-            for shift in range(-2, 3):
-                start, size = _segment_start(n, i) + shift, _segment_length(n, i)
-                inside = (start >= 1) & (start + size - 1 <= F.length(token))
-                keys.append(F.when(inside, _segment_key(n, i, F.substring(token, start, size))))
-    return F.array_distinct(F.array_compact(F.array(*keys)))
+    near = _ints(-2, -1, 0, 1, 2)
+    keys = F.flatten(
+        F.transform(
+            near,
+            lambda gap: F.flatten(
+                F.transform(
+                    _ints(0, 1, 2),
+                    lambda i: F.transform(near, lambda shift: _segment(token, F.length(token) + gap, i, shift)),
+                )
+            ),
+        )
+    )
+    return F.array_distinct(F.array_compact(keys))
 
 
 def _signatures(token: Column, seeking: bool) -> Column:

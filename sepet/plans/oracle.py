@@ -86,3 +86,95 @@ SQL["deals_filter_sort"] = _with(
     f"SELECT {_OFFER}, section, {_RANK} FROM sections WHERE {_CHOSEN} UNION ALL SELECT {_OFFER}, section, NULL FROM sections WHERE section = 'other'",
 )
 SQL["deals_top3"] = _with(p.DEALS, f"SELECT * FROM (SELECT {_OFFER}, {_RANK} FROM sections WHERE section = 'primary') WHERE rank <= 3")
+
+# Text
+
+SQL["normalize_text"] = f"SELECT doc_id, {p.norm('text')} AS normal FROM documents"
+SQL["tokenize"] = f"""WITH split AS (SELECT doc_id, {p.words('text')} AS ws FROM documents),
+ tokens AS (SELECT doc_id, w, min(idx) AS first_at FROM (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS idx FROM split) GROUP BY ALL),
+ joined AS (SELECT doc_id, count(*) AS n_tokens, string_agg(w, ' ' ORDER BY first_at) AS tokens FROM tokens GROUP BY ALL)
+ SELECT doc_id, coalesce(n_tokens, 0) AS n_tokens, coalesce(tokens, '') AS tokens FROM documents LEFT JOIN joined USING (doc_id)"""
+_TITLE_TEXT = "concat_ws(' ', brand, title, raw_category)"
+SQL["tokenize_title"] = (
+    f"WITH {p.TITLES}, split AS (SELECT p_partkey, {p.title_words(_TITLE_TEXT, 'brand')} AS ws FROM titles) "
+    f"SELECT p_partkey, array_to_string({p.first_seen('ws')}, ' ') AS tokens FROM split"
+)
+_RENAMED = "replace(replace(title, 'gear', 'Kalem'), 'rod', 'kalem')"
+SQL["alias_expand"] = f"WITH {p.TITLES} SELECT p_partkey, {p.alias_words(_RENAMED)} AS title FROM titles"
+SQL["extract_size"] = f"WITH {p.TITLES} SELECT p_partkey, title, size_value, size_unit, pack_quantity FROM {p.sized('titles', 'title')}"
+SQL["default_brand"] = f"WITH {p.TITLES} SELECT p_partkey, CASE WHEN brand IS NULL OR trim(brand) = '' THEN 'Unknown' ELSE brand END AS brand FROM titles"
+
+# Similarity and categories
+
+# DuckDB counts edits in bytes; one-byte stand-ins make it count letters.
+_BYTES = "translate({0}, 'àáâãäåæèéêëìíîïñòóôõùúûýÿœß', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ_@')"
+SQL["fuzzy_token_join"] = f"""WITH a AS (SELECT DISTINCT w AS token_a, {_BYTES.format('w')} AS x FROM (SELECT unnest({p.words('text')}) AS w FROM documents)),
+ b AS (SELECT DISTINCT w AS token_b, {_BYTES.format('w')} AS y FROM (SELECT unnest({p.words('text')}) AS w FROM benchmark))
+ SELECT token_a, token_b FROM a, b WHERE abs(length(x) - length(y)) <= 3 AND {p.agree('x', 'y')}"""
+SQL["token_set_score"] = f"""WITH {p.LISTING}, pairs AS (SELECT source, pos, {p.title_words(f'p_name || {p.SIZE_TEXT}', 'safe_brand')} AS f,
+ {p.title_words('title', 'safe_brand')} AS s FROM listing JOIN part ON p_partkey = external_id),
+ sets AS (SELECT source, pos, {p.first_seen('f')} AS f, {p.first_seen('s')} AS s FROM pairs)
+ SELECT source, pos, round({p.score('f', 's', '1')}, 9) AS score FROM sets"""
+SQL["keyword_category"] = _with(
+    f"{p.LISTING}, {p.KEYWORDS}",
+    "SELECT source, pos, search_term, category_id FROM listing LEFT JOIN keyword_map ON keyword = lower(search_term)",
+)
+TEXTS = f"""{p.LISTING}, {p.CATEGORIES}, {p.KEYWORDS}, {p.RAW_MAP}, {p.QUEUE},
+ asked AS (SELECT *, CASE WHEN regexp_matches(source_category, '\\S') THEN lower(regexp_replace(source_category, '^\\s+|\\s+$', '', 'g')) END AS raw_text FROM listing),
+ texts AS (SELECT DISTINCT raw_text FROM asked WHERE raw_text IS NOT NULL)"""
+_GUESS = f"""{TEXTS}, tt AS (SELECT raw_text, {p.words('raw_text')} AS t FROM texts), cc AS (SELECT id, {p.words('name')} AS c FROM categories),
+ scored AS (SELECT raw_text, id, {p.score('t', 'c', '0')} AS score FROM (SELECT raw_text, {p.first_seen('t')} AS t FROM tt), (SELECT id, {p.first_seen('c')} AS c FROM cc)),
+ guesses AS (SELECT raw_text, id AS category_id, score FROM (SELECT *, row_number() OVER (PARTITION BY raw_text ORDER BY score DESC, id) AS rn FROM scored WHERE score > 0) WHERE rn = 1)"""
+_ROUTE = "CASE WHEN score >= 0.85 THEN 'accept' WHEN score >= 0.4 THEN 'review' ELSE 'none' END"
+RESOLVED = f"""{_GUESS}, resolved AS (SELECT raw_text, raw_map.category_id AS mapped_id, guesses.category_id AS guess_id, score,
+ CASE WHEN raw_map.category_id IS NOT NULL THEN 'mapped' WHEN raw_text IN (SELECT raw_text FROM queue WHERE status = 'Rejected') THEN 'rejected'
+ WHEN score IS NULL THEN 'none' ELSE {_ROUTE} END AS route FROM texts LEFT JOIN raw_map USING (raw_text) LEFT JOIN guesses USING (raw_text)),
+ answers AS (SELECT *, CASE route WHEN 'mapped' THEN mapped_id WHEN 'accept' THEN guess_id END AS resolved_id FROM resolved),
+ listing2 AS (SELECT asked.*, k.category_id AS keyword_id, a.resolved_id, CASE WHEN asked.raw_text IS NULL THEN k.category_id ELSE a.resolved_id END AS category_id,
+ coalesce(asked.raw_text IS NOT NULL AND k.category_id <> a.resolved_id, false) AS dropped
+ FROM asked LEFT JOIN keyword_map k ON k.keyword = lower(search_term) LEFT JOIN answers a ON a.raw_text = asked.raw_text)"""
+SQL["raw_category_lookup"] = _with(TEXTS, "SELECT raw_text, category_id FROM texts LEFT JOIN raw_map USING (raw_text)")
+SQL["rejected_anti"] = _with(TEXTS, "SELECT raw_text FROM texts WHERE raw_text NOT IN (SELECT raw_text FROM queue WHERE status = 'Rejected')")
+SQL["category_best_guess"] = _with(_GUESS, "SELECT raw_text, category_id, round(score, 9) AS score FROM guesses")
+SQL["category_route"] = _with(_GUESS, f"SELECT raw_text, category_id, {_ROUTE} AS route FROM guesses")
+SQL["resolve_category"] = _with(RESOLVED, "SELECT source, pos, keyword_id, resolved_id, category_id FROM listing2")
+SQL["false_positive_filter"] = _with(RESOLVED, "SELECT source, pos, category_id, dropped FROM listing2")
+
+# Table maintenance
+
+SQL["upsert_latest"] = _with(
+    f"{p.LISTING}, {p.PRODUCTS}",
+    "SELECT source, external_id, title, price, regular_price, image_url, source_category, product_url, strftime(run_ts, '%Y-%m-%d %H:%M:%S') AS last_updated FROM products",
+)
+SQL["link_update"] = _with(
+    f"{p.LISTING}, {p.PRODUCTS}",
+    "SELECT source, external_id, CASE WHEN price < 500 THEN master_key WHEN external_id % 3 = 0 THEN 'old-' || master_key END AS master_key FROM products",
+)
+SQL["fill_category_once"] = _with(
+    f"{p.LISTING}, {p.CATEGORIES}, {p.MASTERS}",
+    f"""SELECT master_key, CASE WHEN brand = 'Unknown' AND category_id IS NOT NULL THEN category_id ELSE first_id END AS category_id FROM masters LEFT JOIN
+ (SELECT CAST(external_id AS VARCHAR) AS master_key, first(source_pos % 7 + 1 ORDER BY {p.ARRIVAL}) AS first_id FROM listing WHERE source_pos % 4 > 0 GROUP BY ALL) USING (master_key)""",
+)
+SQL["rawmap_append"] = _with(
+    RESOLVED, "SELECT raw_text, category_id FROM raw_map UNION ALL SELECT raw_text, guess_id FROM answers WHERE route = 'accept'"
+)
+_MD5_KEY = "md5_number_upper({0})"
+SQL["review_enqueue"] = _with(
+    RESOLVED,
+    f"""SELECT CAST(id AS BIGINT) AS id, raw_text, suggested_id, score, status FROM queue UNION ALL
+ SELECT CAST(CASE WHEN k > 9223372036854775807 THEN k - 18446744073709551616 ELSE k END AS BIGINT), raw_text, guess_id, round(score, 9), 'Pending'
+ FROM (SELECT *, CAST({_MD5_KEY.format('raw_text')} AS HUGEINT) AS k FROM answers WHERE route = 'review' AND raw_text NOT IN (SELECT raw_text FROM queue))""",
+)
+_ACTION = "CASE WHEN id % 3 = 0 THEN 'reject' WHEN id % 2 = 0 THEN 'approve' END"
+SQL["review_approve"] = _with(
+    f"{_QUEUE}, {p.RAW_MAP}",
+    f"""SELECT raw_text, suggested_id AS category_id, CASE WHEN {_ACTION} = 'approve' THEN 'Approved' ELSE status END AS status FROM review
+ UNION ALL SELECT raw_text, category_id, 'in raw map' FROM raw_map
+ UNION ALL SELECT raw_text, suggested_id, 'in raw map' FROM review WHERE {_ACTION} = 'approve' AND suggested_id IS NOT NULL""",
+)
+SQL["review_reject"] = _with(_QUEUE, f"SELECT id, raw_text, CASE WHEN {_ACTION} = 'reject' THEN 'Rejected' ELSE status END AS status FROM review")
+SQL["run_counts"] = _with(
+    RESOLVED,
+    """SELECT strftime(run_ts, '%Y-%m-%d %H:%M:%S') AS run_ts, source, count(*) AS fetched, count(*) FILTER (NOT dropped) AS saved,
+ count(*) FILTER (dropped) AS failed FROM listing2 GROUP BY ALL""",
+)

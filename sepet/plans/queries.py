@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import similarity, size, text
 from ..functions.display import percent_display, price_display
-from ..functions.size import unit_label
-from ..operators import catalog, deals
+from ..operators import catalog, category, deals, fuzzy, maintain
 from ..session import settle
 from . import sample_views as views
 
@@ -108,7 +108,7 @@ def unit_price(spark, sf_dir):
 
 @register
 def unit_label_of_masters(spark, sf_dir):
-    return views.masters(spark, sf_dir).select("master_key", unit_label(F.col("size_unit")).alias("unit_label"))
+    return views.masters(spark, sf_dir).select("master_key", size.unit_label(F.col("size_unit")).alias("unit_label"))
 
 
 @register
@@ -187,3 +187,213 @@ def deals_filter_sort(spark, sf_dir):
 @register
 def deals_top3(spark, sf_dir):
     return _offer(deals.deals_top(_sections(spark, sf_dir)[0]), "rank")
+
+
+# Text
+
+
+@register
+def normalize_text(spark, sf_dir):
+    return views.table(spark, sf_dir, "documents").select("doc_id", text.normalize_text(F.col("text")).alias("normal"))
+
+
+@register
+def tokenize(spark, sf_dir):
+    tokens = views.table(spark, sf_dir, "documents").select("doc_id", text.tokenize(F.col("text")).alias("tokens"))
+    return tokens.select("doc_id", F.size("tokens").alias("n_tokens"), F.array_join("tokens", " ").alias("tokens"))
+
+
+@register
+def tokenize_title(spark, sf_dir):
+    tokens = text.tokenize_title(F.concat_ws(" ", "brand", "title", "raw_category"), F.col("brand"))
+    return views.titles(spark, sf_dir).select("p_partkey", F.array_join(tokens, " ").alias("tokens"))
+
+
+@register
+def alias_expand(spark, sf_dir):
+    renamed = F.replace(F.replace(F.col("title"), F.lit("gear"), F.lit("Kalem")), F.lit("rod"), F.lit("kalem"))
+    return views.titles(spark, sf_dir).select("p_partkey", text.alias_expand(renamed).alias("title"))
+
+
+@register
+def extract_size(spark, sf_dir):
+    sized = views.titles(spark, sf_dir).withColumn("_size", size.extract_size(F.col("title")))
+    return sized.select("p_partkey", "title", "_size.size_value", "_size.size_unit", "_size.pack_quantity")
+
+
+@register
+def default_brand(spark, sf_dir):
+    return views.titles(spark, sf_dir).select("p_partkey", text.default_brand(F.col("brand")).alias("brand"))
+
+
+# Similarity and categories
+
+
+def _vocabulary(df: DataFrame) -> DataFrame:
+    return df.select(F.explode(text.tokenize(F.col("text"))).alias("token")).distinct()
+
+
+@register
+def fuzzy_token_join(spark, sf_dir):
+    texts = _vocabulary(views.table(spark, sf_dir, "documents"))
+    return fuzzy.fuzzy_token_join(texts, _vocabulary(views.table(spark, sf_dir, "benchmark")))
+
+
+@register
+def token_set_score(spark, sf_dir):
+    listings = views.listings(spark, sf_dir).withColumn("master_key", F.col("external_id").cast("string"))
+    named = views.masters(spark, sf_dir).select("master_key", "canonical_title")
+    brand = text.default_brand(F.col("brand"))
+    return (
+        listings.join(named, "master_key")
+        .select(
+            "source",
+            "seq.pos",
+            text.tokenize_title(F.col("canonical_title"), brand).alias("first"),
+            text.tokenize_title(F.col("title"), brand).alias("second"),
+        )
+        .select(
+            "source",
+            "pos",
+            F.round(similarity.token_set_score(F.col("first"), F.col("second"), True), 9).alias("score"),
+        )
+    )
+
+
+@register
+def keyword_category(spark, sf_dir):
+    found = category.keyword_category(views.listings(spark, sf_dir), views.keyword_map(spark))
+    return found.select("source", "seq.pos", "search_term", "category_id")
+
+
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return category.distinct_texts(views.listings(spark, sf_dir))
+
+
+def _guesses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return category.category_best_guess(_texts(spark, sf_dir), views.categories(spark))
+
+
+def _resolved_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return category.resolve_texts(
+        _texts(spark, sf_dir), views.categories(spark), views.raw_map(spark), views.queue_seed(spark)
+    )
+
+
+def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return category.resolve_category(
+        views.listings(spark, sf_dir), views.keyword_map(spark), _resolved_texts(spark, sf_dir)
+    )
+
+
+@register
+def raw_category_lookup(spark, sf_dir):
+    return category.raw_category_lookup(_texts(spark, sf_dir), views.raw_map(spark))
+
+
+@register
+def rejected_anti(spark, sf_dir):
+    return category.rejected_anti(_texts(spark, sf_dir), views.queue_seed(spark))
+
+
+@register
+def category_best_guess(spark, sf_dir):
+    return _guesses(spark, sf_dir).withColumn("score", F.round("score", 9))
+
+
+@register
+def category_route(spark, sf_dir):
+    return category.category_route(_guesses(spark, sf_dir)).select("raw_text", "category_id", "route")
+
+
+@register
+def resolve_category(spark, sf_dir):
+    return _resolved(spark, sf_dir).select("source", "seq.pos", "keyword_id", "resolved_id", "category_id")
+
+
+@register
+def false_positive_filter(spark, sf_dir):
+    return _resolved(spark, sf_dir).select(
+        "source", "seq.pos", "category_id", category.is_false_positive().alias("dropped")
+    )
+
+
+# Table maintenance
+
+
+def _product_columns(df: DataFrame) -> DataFrame:
+    seen = F.date_format("last_updated", "yyyy-MM-dd HH:mm:ss").alias("last_updated")
+    return df.select(
+        "source", "external_id", "title", "price", "regular_price", "image_url", "source_category", "product_url", seen
+    )
+
+
+@register
+def upsert_latest(spark, sf_dir):
+    listings = views.listings(spark, sf_dir)
+    turn = F.lit("2000-01-01").cast("timestamp")
+    before = maintain.upsert_latest(None, listings.filter(F.col("run_ts") < turn))
+    return _product_columns(maintain.upsert_latest(before, listings.filter(F.col("run_ts") >= turn)))
+
+
+@register
+def link_update(spark, sf_dir):
+    key = F.col("external_id").cast("string")
+    stored = views.products(spark, sf_dir).withColumn(
+        "master_key", F.when(F.col("external_id") % 3 == 0, F.concat(F.lit("old-"), key))
+    )
+    links = stored.filter(F.col("price") < 500).select("source", "external_id", key.alias("master_key"))
+    return maintain.link_update(stored, links).select("source", "external_id", "master_key")
+
+
+@register
+def fill_category_once(spark, sf_dir):
+    masters = views.masters(spark, sf_dir).withColumn(
+        "category_id", F.when(F.col("brand") == "Unknown", F.col("category_id"))
+    )
+    matches = views.listings(spark, sf_dir).select(
+        F.col("external_id").cast("string").alias("master_key"),
+        F.when(F.col("seq.source_pos") % 4 > 0, F.col("seq.source_pos") % 7 + 1).alias("category_id"),
+        "run_ts",
+        "seq",
+    )
+    return maintain.fill_category_once(masters, matches).select("master_key", "category_id")
+
+
+@register
+def rawmap_append(spark, sf_dir):
+    accepted = _resolved_texts(spark, sf_dir).filter(F.col("route") == "accept")
+    return maintain.rawmap_append(views.raw_map(spark), accepted.select("raw_text", "category_id"))
+
+
+@register
+def review_enqueue(spark, sf_dir):
+    doubtful = _resolved_texts(spark, sf_dir).filter(F.col("route") == "review")
+    doubtful = doubtful.select("raw_text", F.col("guess_id").alias("category_id"), "score")
+    return maintain.review_enqueue(views.queue_seed(spark), doubtful).withColumn("score", F.round("score", 9))
+
+
+def _decisions(queue: DataFrame) -> DataFrame:
+    action = F.when(F.col("id") % 3 == 0, "reject").when(F.col("id") % 2 == 0, "approve")
+    return queue.select("id", action.alias("action")).filter(F.col("action").isNotNull())
+
+
+@register
+def review_approve(spark, sf_dir):
+    queue = views.review_queue(spark, sf_dir)
+    after, mapped = maintain.review_approve(queue, views.raw_map(spark), _decisions(queue))
+    return after.select("raw_text", F.col("suggested_id").alias("category_id"), "status").unionByName(
+        mapped.select("raw_text", "category_id", F.lit("in raw map").alias("status"))
+    )
+
+
+@register
+def review_reject(spark, sf_dir):
+    queue = views.review_queue(spark, sf_dir)
+    return maintain.review_reject(queue, _decisions(queue)).select("id", "raw_text", "status")
+
+
+@register
+def run_counts(spark, sf_dir):
+    seen = _resolved(spark, sf_dir).withColumn("matched", ~category.is_false_positive())
+    return maintain.run_counts(seen).withColumn("run_ts", F.date_format("run_ts", "yyyy-MM-dd HH:mm:ss"))
