@@ -32,14 +32,20 @@ def hot_keys(df: DataFrame, keys: Sequence[str], task_rows: int = TASK_ROWS) ->
 
 
 def salted_join(
-    many: DataFrame, one: DataFrame, keys: Sequence[str], how: str = "inner", task_rows: int = TASK_ROWS
+    many: DataFrame,
+    one: DataFrame,
+    keys: Sequence[str],
+    how: str = "inner",
+    task_rows: int = TASK_ROWS,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Equi-join whose ``many`` side may have hot keys: hot keys are spread over several tasks.
 
     Rows of a hot key get a salt on the ``many`` side and are repeated once per salt on the ``one``
     side; every other key has the single salt 0. ``how`` may be inner, left, left_semi or left_anti.
+    ``hot`` gives the hot keys where they are known already.
     """
-    hot = settle(hot_keys(many, keys, task_rows))
+    hot = settle(hot_keys(many, keys, task_rows) if hot is None else hot)
     if hot.isEmpty():
         return many.join(one, list(keys), how)
     hot = broadcast_if_small(hot)

@@ -178,3 +178,45 @@ SQL["run_counts"] = _with(
     """SELECT strftime(run_ts, '%Y-%m-%d %H:%M:%S') AS run_ts, source, count(*) AS fetched, count(*) FILTER (NOT dropped) AS saved,
  count(*) FILTER (dropped) AS failed FROM listing2 GROUP BY ALL""",
 )
+
+# Entity matching
+
+_BLOCK = "concat_ws('|', pack_quantity, coalesce(CAST(size_value AS VARCHAR), ''), coalesce(size_unit, ''), lower({0}))"
+_STORED = f"""{p.LISTING}, {p.CATEGORIES}, {p.MASTERS},
+ stored AS (SELECT master_key, CAST(master_key AS BIGINT) AS ord, {_BLOCK.format('brand')} AS block, {p.title_words('canonical_title', 'brand')} AS ws FROM masters),
+ titled AS (SELECT DISTINCT title, safe_brand FROM listing),
+ sized AS (SELECT title, safe_brand, {_BLOCK.format('safe_brand')} AS block, {p.title_words('title', 'safe_brand')} AS ws FROM {p.sized('titled', 'title')})"""
+SQL["candidate_blocking"] = _with(
+    _STORED,
+    """SELECT source, pos, n_candidates, oldest_master FROM listing JOIN
+ (SELECT title, safe_brand, count(master_key) AS n_candidates, arg_min(master_key, ord) AS oldest_master FROM sized LEFT JOIN stored USING (block) GROUP BY ALL)
+ USING (title, safe_brand)""",
+)
+SQL["best_match"] = _with(
+    f"""{_STORED}, pairs AS (SELECT title, safe_brand, master_key, ord, {p.first_seen('m')} AS m, {p.first_seen('s')} AS s FROM
+ (SELECT title, safe_brand, master_key, ord, stored.ws AS m, sized.ws AS s FROM sized JOIN stored USING (block))),
+ scored AS (SELECT title, safe_brand, master_key, ord, {p.score('m', 's', '1')} AS score FROM pairs),
+ best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY title, safe_brand ORDER BY score DESC, ord) AS rn FROM scored WHERE score >= 0.7) WHERE rn = 1)""",
+    "SELECT source, pos, master_key, round(score, 9) AS score FROM listing LEFT JOIN best USING (title, safe_brand)",
+)
+
+
+def _sequential(source: str) -> str:
+    """Appearances one after the other, block by block, in a recursive query."""
+    best = (
+        f"list_sort(list_filter(list_transform(w.leaders, lambda l: {{'s': -({p.score('l.t', 'i.t', '1')}), 'k': l.k}}), lambda x: x.s <= -0.7))[1].k"
+    )
+    return f"""ordered AS (SELECT *, row_number() OVER (ORDER BY {p.ARRIVAL}) AS k FROM {source}),
+ blocked AS (SELECT *, {_BLOCK.format('safe_brand')} AS block, {p.title_words('title', 'safe_brand')} AS ws FROM {p.sized('ordered', 'title')}),
+ items AS (SELECT block, k, {p.first_seen('ws')} AS t, row_number() OVER (PARTITION BY block ORDER BY k) AS i FROM blocked),
+ walk AS (SELECT block, i, k, k AS leader, [{{'k': k, 't': t}}] AS leaders FROM items WHERE i = 1
+  UNION ALL SELECT block, i, k, coalesce(hit, k), CASE WHEN hit IS NULL THEN list_append(leaders, {{'k': k, 't': t}}) ELSE leaders END
+  FROM (SELECT i.block, i.i, i.k, i.t, w.leaders, {best} AS hit FROM walk w JOIN items i ON i.block = w.block AND i.i = w.i + 1)),
+ keyed AS (SELECT *, concat_ws(':', source, external_id, strftime(run_ts, '%Y%m%d%H%M%S%f'), term_pos, source_pos, pos) AS own_key FROM ordered),
+ assigned AS (SELECT o.*, f.own_key AS master_key, walk.leader = walk.k AS founds, f.title AS master_title FROM walk JOIN keyed o ON o.k = walk.k JOIN keyed f ON f.k = walk.leader)"""
+
+
+SQL["assign_masters"] = f"WITH RECURSIVE {p.LISTING}, {_sequential('listing')} SELECT source, pos, master_key, founds FROM assigned"
+SQL["match_products"] = f"""WITH RECURSIVE {RESOLVED}, kept AS (SELECT * FROM listing2 WHERE NOT dropped), {_sequential('kept')}
+ SELECT 'link' AS kind, source || '/' || external_id AS item, arg_max(master_key, k) AS master_key, NULL AS category_id FROM assigned GROUP BY source, external_id
+ UNION ALL SELECT 'master', master_title, master_key, first(category_id ORDER BY k) FILTER (category_id IS NOT NULL) FROM assigned GROUP BY master_title, master_key"""

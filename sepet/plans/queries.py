@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions import similarity, size, text
 from ..functions.display import percent_display, price_display
-from ..operators import catalog, category, deals, fuzzy, maintain
+from ..operators import catalog, category, deals, fuzzy, maintain, match
 from ..session import settle
 from . import sample_views as views
 
@@ -397,3 +397,51 @@ def review_reject(spark, sf_dir):
 def run_counts(spark, sf_dir):
     seen = _resolved(spark, sf_dir).withColumn("matched", ~category.is_false_positive())
     return maintain.run_counts(seen).withColumn("run_ts", F.date_format("run_ts", "yyyy-MM-dd HH:mm:ss"))
+
+
+# Entity matching
+
+
+def _prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match.prepare_listings(views.listings(spark, sf_dir))
+
+
+@register
+def candidate_blocking(spark, sf_dir):
+    stored = match.prepare_masters(views.stored_masters(spark, sf_dir))
+    found = match.candidate_blocking(_prepared(spark, sf_dir), stored)
+    return found.select("source", "seq.pos", "n_candidates", "oldest_master")
+
+
+@register
+def best_match(spark, sf_dir):
+    stored = match.prepare_masters(views.stored_masters(spark, sf_dir))
+    found = match.best_match(_prepared(spark, sf_dir), stored)
+    return found.select("source", "seq.pos", "master_key", F.round("score", 9).alias("score"))
+
+
+@register
+def assign_masters(spark, sf_dir):
+    found = match.assign_masters(_prepared(spark, sf_dir))
+    return found.select("source", "seq.pos", "master_key", "founds")
+
+
+@register
+def match_products(spark, sf_dir):
+    found = match.match_products(
+        views.listings(spark, sf_dir),
+        None,
+        views.categories(spark),
+        views.keyword_map(spark),
+        views.raw_map(spark),
+        views.queue_seed(spark),
+    )
+    links = found["links"].select(
+        F.lit("link").alias("kind"),
+        F.concat_ws("/", "source", F.col("external_id").cast("string")).alias("item"),
+        "master_key",
+        F.lit(None).cast("int").alias("category_id"),
+    )
+    return links.unionByName(
+        found["masters"].select(F.lit("master").alias("kind"), F.col("canonical_title").alias("item"), "master_key", "category_id")
+    )

@@ -104,7 +104,7 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("shop_"), F.col("l_suppkey").cast("string")).alias("source"),
         F.col("l_partkey").alias("external_id"),
         F.initcap(_noun()).alias("search_term"),
-        F.col("l_shipdate").alias("run_ts"),
+        F.col("l_shipdate").cast("timestamp").alias("run_ts"),
         F.struct(
             (F.array_position(F.array(*[F.lit(n) for n in NOUNS]), _noun()) - 1).cast("int").alias("term_pos"),
             F.col("l_suppkey").cast("int").alias("source_pos"),
@@ -159,3 +159,11 @@ def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((key % 46 + 40) / 100).alias("score"),
         F.when(F.col("quality") == 0, "Rejected").when(F.col("toxic") == 1, "Approved").otherwise("Pending").alias("status"),
     )
+
+
+def stored_masters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The masters as an earlier run left them, founded in the order of their keys."""
+    seq = F.struct(F.lit(0).alias("term_pos"), F.lit(0).alias("source_pos"), F.col("master_key").cast("long").alias("pos"))
+    return masters(spark, sf_dir).withColumn(
+        "founded_order", F.struct(F.lit("1970-01-01").cast("timestamp").alias("run_ts"), seq.alias("seq"))
+    )
