@@ -220,3 +220,65 @@ SQL["assign_masters"] = f"WITH RECURSIVE {p.LISTING}, {_sequential('listing')} S
 SQL["match_products"] = f"""WITH RECURSIVE {RESOLVED}, kept AS (SELECT * FROM listing2 WHERE NOT dropped), {_sequential('kept')}
  SELECT 'link' AS kind, source || '/' || external_id AS item, arg_max(master_key, k) AS master_key, NULL AS category_id FROM assigned GROUP BY source, external_id
  UNION ALL SELECT 'master', master_title, master_key, first(category_id ORDER BY k) FILTER (category_id IS NOT NULL) FROM assigned GROUP BY master_title, master_key"""
+
+# Feeds
+
+_SLUG_BAD, _SLUG_RUN = "[^a-z0-9\\s-]", "[\\s-]+"
+
+
+def _slug(x: str) -> str:
+    return f"replace(trim(regexp_replace(regexp_replace({p.norm(x)}, '{_SLUG_BAD}', '', 'g'), '{_SLUG_RUN}', ' ', 'g')), ' ', '-')"
+
+
+def _md5_key(x: str) -> str:
+    k = f"CAST({_MD5_KEY.format(x)} AS HUGEINT)"
+    return f"CAST(CASE WHEN {k} > 9223372036854775807 THEN {k} - 18446744073709551616 ELSE {k} END AS BIGINT)"
+
+
+_PARTS = f"""base AS (SELECT p_partkey AS k, 'page ' || (p_partkey - p_partkey % 24) AS search_term, p_partkey - p_partkey % 24 AS term_pos,
+ row_number() OVER (PARTITION BY p_partkey - p_partkey % 24 ORDER BY p_partkey) - 1 AS pos, {p.spelling('p_partkey % 5')} || {p.SIZE_TEXT} AS title,
+ CASE WHEN p_partkey % 50 <> 0 THEN p_brand END AS brand, CASE WHEN p_partkey % 5 <> 3 THEN p_type END AS category,
+ CASE WHEN p_partkey % 7 <> 0 THEN 'http://img/' || p_partkey END AS image, round(p_retailprice * 100) / 100 AS price,
+ (round(p_retailprice * 100) + 500) / 100 AS higher, p_partkey % 97 = 96 AS bad FROM part)"""
+_COLUMNS = "source, search_term, pos, external_id, title, brand, barcode, image_url, price, regular_price, source_category, product_url"
+_NONE = "CAST(NULL AS VARCHAR)"
+_FALLBACK = "CASE WHEN k % 3 = 1 THEN higher ELSE price END"
+_SHOP = {
+    "migros": f"SELECT 'migros' AS source, 0 AS source_pos, search_term, term_pos, pos, k AS external_id, title, brand, {_NONE} AS barcode, image AS image_url, price, higher AS regular_price, category AS source_category, 'https://www.migros.com.tr/part-' || k AS product_url FROM base WHERE NOT bad",
+    "macrocenter": f"SELECT 'macrocenter', 1, search_term, term_pos, pos, k, title, brand, {_NONE}, image, price, higher, category, 'https://www.macrocenter.com.tr/part-' || k FROM base WHERE NOT bad",
+    "marketfiyati": f"SELECT 'marketfiyati', 2, search_term, term_pos, pos, {_md5_key(chr(39) + 'M' + chr(39) + ' || k')}, title, brand, {_NONE}, image, CASE WHEN k % 11 = 0 THEN 0 ELSE price END, CASE WHEN k % 11 = 0 THEN 0 ELSE price END, category, 'https://marketfiyati.org.tr/detay/M' || k || '/' || {_slug('title')} FROM base WHERE NOT bad OR k % 11 = 0",
+    "hakmarexpress": f"SELECT 'hakmarexpress', 3, search_term, term_pos, pos, k, title, brand, '869' || k, image, price, {_FALLBACK}, category, 'https://www.hakmarexpress.com.tr/part-' || k FROM base WHERE k % 13 <> 12 AND NOT bad",
+    "mion": f"SELECT 'mion', 4, search_term, term_pos, pos, k, title, {_NONE}, {_NONE}, image, price, higher, {_NONE}, 'https://www.mion.com.tr/urun/part-' || k FROM base WHERE NOT bad",
+    "cagrimarket": f"SELECT 'cagrimarket', 5, search_term, term_pos, pos, CASE WHEN k % 19 = 0 THEN 0 ELSE k END, title, {_NONE}, {_NONE}, image, price, {_FALLBACK}, {_NONE}, 'http://c/' || k FROM base WHERE (term_pos // 24) % 3 < 2 AND NOT bad",
+    "evidea": f"SELECT 'evidea', 6, search_term, term_pos, pos, CASE WHEN k % 23 = 0 OR k % 17 = 0 THEN 0 ELSE k END, title, {_NONE}, {_NONE}, image, price, {_FALLBACK}, {_NONE}, 'http://e/' || k FROM base WHERE NOT bad",
+}
+_HEAD = "shops(source, source_pos, search_term, term_pos, pos, external_id, title, brand, barcode, image_url, price, regular_price, source_category, product_url)"
+
+
+def _shops(*names: str) -> str:
+    return f"{_PARTS}, {_HEAD} AS ({' UNION ALL '.join(_SHOP[n] for n in names)})"
+
+
+SQL["feed_flatten_nested"] = _with(_shops("migros", "macrocenter", "mion", "marketfiyati", "evidea"), f"SELECT {_COLUMNS} FROM shops")
+SQL["feed_root_or_data_array"] = _with(_shops("cagrimarket"), f"SELECT {_COLUMNS} FROM shops")
+SQL["feed_find_array"] = _with(_shops("hakmarexpress"), f"SELECT {_COLUMNS} FROM shops")
+SQL["array_first_field"] = _with(_shops("migros", "marketfiyati", "evidea"), "SELECT source, search_term, pos, image_url, price FROM shops")
+SQL["array_last_field"] = _with(_shops("hakmarexpress"), "SELECT external_id, source_category FROM shops")
+SQL["array_key_lookup"] = _with(_shops("evidea"), "SELECT search_term, pos, external_id FROM shops")
+SQL["minor_units_price"] = _with(_shops("migros", "macrocenter", "mion"), "SELECT source, external_id, price, regular_price FROM shops")
+SQL["regular_price_fallback"] = _with(
+    _shops("hakmarexpress", "evidea", "cagrimarket", "marketfiyati"), "SELECT source, search_term, pos, price, regular_price FROM shops"
+)
+SQL["stable_key_md5"] = f"SELECT doc_id, {_md5_key('text')} AS stable_key FROM documents"
+SQL["slug_url"] = _with(
+    _shops("marketfiyati"), f"SELECT 'url' AS kind, product_url FROM shops UNION ALL SELECT 'document', {_slug('text')} FROM documents"
+)
+SQL["url_template"] = _with(_shops("migros", "macrocenter", "mion", "hakmarexpress"), "SELECT source, external_id, product_url FROM shops")
+_EVERY = "migros", "macrocenter", "marketfiyati", "hakmarexpress", "mion", "cagrimarket", "evidea"
+SQL["feed_quarantine"] = _with(
+    _shops(*_EVERY),
+    "SELECT source, search_term, pos, 'good' AS outcome FROM shops UNION ALL "
+    "SELECT source, search_term, pos, 'item not readable' FROM base, (SELECT unnest(['migros','macrocenter','marketfiyati','hakmarexpress','mion','cagrimarket','evidea']) AS source) "
+    "WHERE bad AND NOT (source = 'marketfiyati' AND k % 11 = 0) AND NOT (source = 'hakmarexpress' AND k % 13 = 12) AND NOT (source = 'cagrimarket' AND (term_pos // 24) % 3 = 2)",
+)
+SQL["feed_union"] = _with(_shops(*_EVERY[:4]), "SELECT source, term_pos, source_pos, pos, external_id, title, price FROM shops")

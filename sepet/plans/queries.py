@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import similarity, size, text
+from ..functions import keys, similarity, size, text
 from ..functions.display import percent_display, price_display
 from ..operators import catalog, category, deals, fuzzy, maintain, match
 from ..session import settle
+from ..sources import feeds
+from ..sources.layouts import ACTIVE, FIELDS
 from . import sample_views as views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -445,3 +447,84 @@ def match_products(spark, sf_dir):
     return links.unionByName(
         found["masters"].select(F.lit("master").alias("kind"), F.col("canonical_title").alias("item"), "master_key", "category_id")
     )
+
+
+# Feeds
+
+
+def _listed(spark: SparkSession, sf_dir: str, *sources: str) -> DataFrame:
+    found, _ = feeds.feed_union(views.raw_feed(spark, sf_dir, sources), sources)
+    return found.select("source", "search_term", F.col("seq.pos").alias("pos"), *FIELDS)
+
+
+@register
+def feed_flatten_nested(spark, sf_dir):
+    return _listed(spark, sf_dir, "migros", "macrocenter", "mion", "marketfiyati", "evidea")
+
+
+@register
+def feed_root_or_data_array(spark, sf_dir):
+    return _listed(spark, sf_dir, "cagrimarket")
+
+
+@register
+def feed_find_array(spark, sf_dir):
+    return _listed(spark, sf_dir, "hakmarexpress")
+
+
+@register
+def array_first_field(spark, sf_dir):
+    found = _listed(spark, sf_dir, "migros", "marketfiyati", "evidea")
+    return found.select("source", "search_term", "pos", "image_url", "price")
+
+
+@register
+def array_last_field(spark, sf_dir):
+    return _listed(spark, sf_dir, "hakmarexpress").select("external_id", "source_category")
+
+
+@register
+def array_key_lookup(spark, sf_dir):
+    return _listed(spark, sf_dir, "evidea").select("search_term", "pos", "external_id")
+
+
+@register
+def minor_units_price(spark, sf_dir):
+    found = _listed(spark, sf_dir, "migros", "macrocenter", "mion")
+    return found.select("source", "external_id", "price", "regular_price")
+
+
+@register
+def regular_price_fallback(spark, sf_dir):
+    found = _listed(spark, sf_dir, "hakmarexpress", "evidea", "cagrimarket", "marketfiyati")
+    return found.select("source", "search_term", "pos", "price", "regular_price")
+
+
+@register
+def stable_key_md5(spark, sf_dir):
+    return views.table(spark, sf_dir, "documents").select("doc_id", keys.stable_key_md5(F.col("text")).alias("stable_key"))
+
+
+@register
+def slug_url(spark, sf_dir):
+    links = _listed(spark, sf_dir, "marketfiyati").select(F.lit("url").alias("kind"), "product_url")
+    texts = views.table(spark, sf_dir, "documents").select(F.lit("document").alias("kind"), text.slug(F.col("text")).alias("product_url"))
+    return links.unionByName(texts)
+
+
+@register
+def url_template(spark, sf_dir):
+    found = _listed(spark, sf_dir, "migros", "macrocenter", "mion", "hakmarexpress")
+    return found.select("source", "external_id", "product_url")
+
+
+@register
+def feed_quarantine(spark, sf_dir):
+    parsed = feeds.union_parsed(views.raw_feed(spark, sf_dir), views.FEED_SOURCES)
+    return parsed.select("source", "search_term", "pos", F.coalesce("reason", F.lit("good")).alias("outcome"))
+
+
+@register
+def feed_union(spark, sf_dir):
+    found, _ = feeds.feed_union(views.raw_feed(spark, sf_dir, ACTIVE))
+    return found.select("source", "seq.term_pos", "seq.source_pos", "seq.pos", "external_id", "title", "price")

@@ -167,3 +167,137 @@ def stored_masters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return masters(spark, sf_dir).withColumn(
         "founded_order", F.struct(F.lit("1970-01-01").cast("timestamp").alias("run_ts"), seq.alias("seq"))
     )
+
+
+PAGE = 24
+FEED_SOURCES = ("migros", "macrocenter", "marketfiyati", "hakmarexpress", "mion", "cagrimarket", "evidea")
+
+
+def _feed_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts with the fields that feed items are made of."""
+    key = F.col("p_partkey")
+    return table(spark, sf_dir, "part").select(
+        key,
+        (key - key % PAGE).cast("long").alias("first_key"),
+        F.concat(_spelling(key % 5), _size_text()).alias("title"),
+        F.when(key % 50 != 0, F.col("p_brand")).alias("brand"),
+        F.when(key % 5 != 3, F.col("p_type")).alias("category"),
+        F.when(key % 7 != 0, F.concat(F.lit("http://img/"), key.cast("string"))).alias("image"),
+        F.round(F.col("p_retailprice") * 100).cast("long").alias("cents"),
+    )
+
+
+def _field(name: str, text: Column) -> Column:
+    return F.concat(F.lit(f'"{name}":'), text)
+
+
+def _object(*fields: Column) -> Column:
+    """A JSON object out of fields; null ones are left out."""
+    return F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit("}"))
+
+
+def _quoted(col: Column) -> Column:
+    """JSON string; titles hold no quotes or backslashes."""
+    return F.concat(F.lit('"'), col, F.lit('"'))
+
+
+def _amount(cents: Column) -> Column:
+    return (cents.cast("decimal(16,0)") / F.lit(100).cast("decimal(3,0)")).cast("decimal(18,2)").cast("string")
+
+
+def _item(source: str) -> Column:
+    key, cents = F.col("p_partkey"), F.col("cents")
+    bad = key % 97 == 96
+    minor = F.when(bad, F.lit('"n/a"')).otherwise(cents.cast("string"))
+    price = F.when(bad, F.lit('"n/a"')).otherwise(_amount(cents))
+    named = lambda col: _object(_field("name", _quoted(col)))
+    name = _field("name", _quoted(F.col("title")))
+    part_slug = _quoted(F.concat(F.lit("part-"), key.cast("string")))
+    image = _quoted(F.col("image"))
+    old = F.when(key % 3 == 0, F.lit("null")).when(key % 3 == 1, _amount(cents + 500))
+    number = _field("id", key.cast("string"))
+    if source in ("migros", "macrocenter", "mion"):
+        images = F.concat(F.lit("["), F.coalesce(_object(_field("urls", _object(_field("PRODUCT_DETAIL", image)))), F.lit("")), F.lit("]"))
+        images = F.when(F.col("image").isNull(), F.lit("[]")).otherwise(images)
+        more = [] if source == "mion" else [_field("brand", named(F.col("brand"))), _field("category", named(F.col("category")))]
+        return _object(
+            number, name, *more, _field("images", images), _field("shownPrice", minor),
+            _field("regularPrice", (cents + 500).cast("string")), _field("prettyName", part_slug),
+        )
+    if source == "marketfiyati":
+        depot = lambda text: _object(_field("price", text))
+        depots = F.when(key % 11 == 0, F.lit("[]")).otherwise(
+            F.concat(F.lit("["), depot(price), F.lit(","), depot(_amount(cents + 900)), F.lit("]"))
+        )
+        return _object(
+            _field("id", _quoted(F.concat(F.lit("M"), key.cast("string")))), _field("title", _quoted(F.col("title"))),
+            _field("brand", _quoted(F.col("brand"))), _field("imageUrl", image),
+            _field("main_category", _quoted(F.col("category"))), _field("productDepotInfoList", depots),
+        )
+    if source == "hakmarexpress":
+        kinds = F.concat(F.lit("["), named(F.lit("Gida")), F.lit(","), named(F.col("category")), F.lit("]"))
+        kinds = F.coalesce(F.when(F.col("category").isNotNull(), kinds), F.lit("[]"))
+        product = _object(
+            number, name, _field("imageUrl", image), _field("brand", F.coalesce(named(F.col("brand")), F.lit("null"))),
+            _field("barcode", _quoted(F.concat(F.lit("869"), key.cast("string")))), _field("categories", kinds),
+            _field("price", price), _field("oldPrice", old), _field("slug", part_slug),
+        )
+        return F.when(key % 13 == 12, F.lit('{"ad":true}')).otherwise(_object(_field("product", product)))
+    if source == "cagrimarket":
+        link = _field("url", _quoted(F.concat(F.lit("http://c/"), key.cast("string"))))
+        return _object(
+            F.when(key % 19 != 0, number), name, link, _field("price", price), _field("oldPrice", old), _field("image", image)
+        )
+    value = F.when(key % 17 == 0, F.lit("abc")).otherwise(key.cast("string"))
+    pair = lambda n, v: _object(_field("name", _quoted(F.lit(n))), _field("value", _quoted(v)))
+    marks = F.when(key % 23 == 0, F.concat(F.lit("["), pair("color", F.lit("mavi")), F.lit("]"))).otherwise(
+        F.concat(F.lit("["), pair("color", F.lit("mavi")), F.lit(","), pair("pk", value), F.lit(","), pair("pk", F.lit("5")), F.lit("]"))
+    )
+    images = F.when(F.col("image").isNull(), F.lit("[]")).otherwise(F.concat(F.lit("["), image, F.lit("]")))
+    return _object(
+        _field("code", _quoted(F.concat(F.lit("K"), key.cast("string")))), name,
+        _field("url", _quoted(F.concat(F.lit("http://e/"), key.cast("string")))), _field("price", price),
+        _field("oldPrice", old), _field("images", images), _field("attributes", marks),
+    )
+
+
+def _document(source: str, items: Column) -> Column:
+    page = F.col("first_key") / PAGE
+    array = F.concat(F.lit("["), items, F.lit("]"))
+    wrap = lambda before, after: F.concat(F.lit(before), array, F.lit(after))
+    if source in ("migros", "macrocenter"):
+        return wrap('{"data":{"storeProductInfos":', "}}")
+    if source == "mion":
+        return wrap('{"data":{"searchInfo":{"storeProductInfos":', "}}}")
+    if source == "marketfiyati":
+        return wrap('{"content":', "}")
+    if source == "hakmarexpress":
+        shallow = wrap('{"component":"product-list","products":', "}")
+        deep = wrap('{"z":{"blocks":[{"component":"banner"},[{"component":"product-list","products":', '}]]},"a":{"component":"product-list","products":[]}}')
+        return F.when(page % 2 == 0, shallow).otherwise(deep)
+    if source == "cagrimarket":
+        return F.when(page % 3 == 0, array).when(page % 3 == 1, wrap('{"data":', "}")).otherwise(wrap('{"rows":', "}"))
+    return wrap('{"results":{"products":{"data":', "}}}")
+
+
+def raw_feed(spark: SparkSession, sf_dir: str, sources: tuple[str, ...] = FEED_SOURCES) -> DataFrame:
+    """Every part offered by every source, in pages of 24 items, as the shops' JSON documents."""
+    parts = _feed_parts(spark, sf_dir)
+    made = None
+    for source in sources:
+        # A page holds at most PAGE items, whatever the table's size.
+        pages = (
+            parts.select("first_key", F.struct("p_partkey", _item(source).alias("text")).alias("item"))
+            .groupBy("first_key")
+            .agg(F.array_sort(F.collect_list("item")).alias("items"))
+        )
+        feed = pages.select(
+            F.lit("2024-01-01").cast("timestamp").alias("run_ts"),
+            F.lit(source).alias("source"),
+            F.concat(F.lit("page "), F.col("first_key").cast("string")).alias("search_term"),
+            F.col("first_key").cast("int").alias("term_pos"),
+            F.lit(FEED_SOURCES.index(source)).alias("source_pos"),
+            _document(source, F.array_join(F.transform("items", lambda i: i["text"]), ",")).alias("payload"),
+        )
+        made = feed if made is None else made.unionByName(feed)
+    return made
