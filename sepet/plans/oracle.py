@@ -282,3 +282,15 @@ SQL["feed_quarantine"] = _with(
     "WHERE bad AND NOT (source = 'marketfiyati' AND k % 11 = 0) AND NOT (source = 'hakmarexpress' AND k % 13 = 12) AND NOT (source = 'cagrimarket' AND (term_pos // 24) % 3 = 2)",
 )
 SQL["feed_union"] = _with(_shops(*_EVERY[:4]), "SELECT source, term_pos, source_pos, pos, external_id, title, price FROM shops")
+
+# Whole runs
+
+_FEED_LISTING = f"""{_shops(*_EVERY[:4])}, listing AS (SELECT *, TIMESTAMP '2024-01-01' AS run_ts, coalesce(brand, 'Unknown') AS safe_brand FROM shops)"""
+SQL["ingest_run"] = f"""WITH RECURSIVE {RESOLVED.replace(p.LISTING, _FEED_LISTING)}, kept AS (SELECT * FROM listing2 WHERE NOT dropped), {_sequential('kept')},
+ grouped AS (SELECT master_key, first(category_id ORDER BY k) FILTER (category_id IS NOT NULL) AS category_id FROM assigned GROUP BY ALL)
+ SELECT source, external_id, title, price, product_url, master_key, grouped.category_id FROM assigned JOIN grouped USING (master_key)"""
+SQL["stream_upsert"] = """WITH last AS (SELECT *, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts DESC, event_id DESC) AS rn,
+ first_value(event_id) OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) AS first_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events)
+ SELECT event_type AS source, user_id AS external_id, 'k ' || k AS title, value AS price, value AS regular_price,
+ CASE WHEN k % 2 = 0 THEN 'even' END AS source_category, 'http://event/' || first_id AS product_url,
+ strftime(ts, '%Y-%m-%d %H:%M:%S') AS last_updated FROM last WHERE rn = 1"""

@@ -12,10 +12,13 @@ from pyspark.sql import types as T
 from ..functions import keys, similarity, size, text
 from ..functions.display import percent_display, price_display
 from ..operators import catalog, category, deals, fuzzy, maintain, match
-from ..session import settle
+from ..session import new_shared_path, settle
 from ..sources import feeds
 from ..sources.layouts import ACTIVE, FIELDS
+from ..streaming import ingest_stream
+from . import ingest
 from . import sample_views as views
+from .store import TableStore
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -528,3 +531,32 @@ def feed_quarantine(spark, sf_dir):
 def feed_union(spark, sf_dir):
     found, _ = feeds.feed_union(views.raw_feed(spark, sf_dir, ACTIVE))
     return found.select("source", "seq.term_pos", "seq.source_pos", "seq.pos", "external_id", "title", "price")
+
+
+# Whole runs
+
+
+@register
+def ingest_run(spark, sf_dir):
+    state = ingest.ingest_run(
+        views.raw_feed(spark, sf_dir, ACTIVE),
+        None,
+        None,
+        views.raw_map(spark),
+        views.queue_seed(spark),
+        views.categories(spark),
+        views.keyword_map(spark),
+    )
+    named = state["masters"].select("master_key", "category_id")
+    return state["products"].join(named, "master_key").select(
+        "source", "external_id", "title", "price", "product_url", "master_key", "category_id"
+    )
+
+
+@register
+def stream_upsert(spark, sf_dir):
+    store = TableStore(spark, new_shared_path(spark, "stream-upsert"))
+    schema = views.table(spark, sf_dir, "events").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    ingest_stream.stream_upsert(views.event_listings(events), store, once=True).awaitTermination()
+    return _product_columns(store.read("products")).drop("image_url")

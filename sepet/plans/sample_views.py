@@ -301,3 +301,21 @@ def raw_feed(spark: SparkSession, sf_dir: str, sources: tuple[str, ...] = FEED_S
         )
         made = feed if made is None else made.unionByName(feed)
     return made
+
+
+def event_listings(events: DataFrame) -> DataFrame:
+    """Events as listings: the type is the source, the user the item, the value the price."""
+    k = F.get_json_object("props", "$.k")
+    return events.select(
+        F.col("event_type").alias("source"),
+        F.col("user_id").alias("external_id"),
+        F.lit("event").alias("search_term"),
+        F.col("ts").cast("timestamp").alias("run_ts"),
+        F.struct(F.lit(0).alias("term_pos"), F.lit(0).alias("source_pos"), F.col("event_id").alias("pos")).alias("seq"),
+        F.concat(F.lit("k "), k).alias("title"),
+        F.lit(None).cast("string").alias("image_url"),
+        F.col("value").cast("decimal(18,2)").alias("price"),
+        F.col("value").cast("decimal(18,2)").alias("regular_price"),
+        F.when(k.cast("int") % 2 == 0, F.lit("even")).alias("source_category"),
+        F.concat(F.lit("http://event/"), F.col("event_id").cast("string")).alias("product_url"),
+    )
