@@ -140,8 +140,11 @@ def deals_other_units(sections: DataFrame) -> DataFrame:
 
 
 def deals(masters: DataFrame, products: DataFrame, category_id: int | None = None) -> DataFrame:
-    """The whole answer: primary offers with rank, other offers without, told apart by ``section``."""
-    offers = deals_offers(masters, products, category_id)
+    """The whole answer: primary offers with rank, other offers without, told apart by ``section``.
+
+    The joined offers are written once and read by the statistics and by both sections.
+    """
+    offers = settle(deals_offers(masters, products, category_id))
     stats = settle(family_stats(offers))
     sections = split_sections(offers, stats)
     other = deals_other_units(sections).withColumn("rank", F.lit(None).cast("int"))

@@ -3,10 +3,10 @@
 Listings are handled in order inside blocks of equal brand, size, unit and pack. Each joins the best
 master so far that scores at least the threshold, or founds a new one. Blocks never interact.
 
-What is compared are *shapes*, the distinct token sets of a block; copies of a title fold into one
-shape before anything is compared. The outcome for a shape is a short list of *records*: the masters
-that were, at their founding, better for it than every older one. A listing takes the last record
-founded no later than itself.
+What is compared are *shapes*, the distinct token sets of a block. Appearances fold into distinct
+titles before a title is parsed, and titles fold into shapes before anything is compared. The outcome
+for a shape is a short list of *records*: the masters that were, at their founding, better for it
+than every older one. A listing takes the last record founded no later than itself.
 
 Blocks with few shapes are folded in one row each. Larger ones, whatever their size, go through
 joins over agreeing tokens, so that no block is ever gathered in one task.
@@ -24,17 +24,18 @@ from ..functions.similarity import sizes_can_reach, token_set_score
 from ..functions.size import extract_size
 from ..functions.text import default_brand, tokenize_title
 from ..session import settle
-from .category import false_positive_filter, resolve_category, resolve_texts, distinct_texts
+from .category import distinct_texts, false_positive_filter, resolve_category, resolve_texts
 from .fuzzy import fuzzy_token_join
 from .maintain import PRODUCT_KEY, fill_category_once
 from .skew import TASK_ROWS, broadcast_if_small, salted_join
 
-FOLD_LIMIT = 256
+FOLD_LIMIT = 1000
 FIRST_BATCH = 256
 BATCH_GROWTH = 8
 
+TITLE = ["title", "brand"]
 SHAPE = ["block", "sig"]
-ORDER = "struct<is_new:int,run_ts:timestamp,term_pos:int,source_pos:int,pos:bigint>"
+SIZE = ["size_value", "size_unit", "pack_quantity"]
 
 
 def block_key(brand: Column, size_value: Column, size_unit: Column, pack_quantity: Column) -> Column:
@@ -81,30 +82,53 @@ def _sig(title: Column, brand: Column) -> Column:
 
 
 def prepare_listings(listings: DataFrame) -> DataFrame:
-    """Default brand, size, block, token set and order for each appearance."""
+    """Default brand, order and founder key for each appearance."""
     return (
-        listings.withColumn("brand", default_brand(F.col("brand")))
-        .withColumn("_size", extract_size(F.col("title")))
-        .select("*", "_size.*")
-        .drop("_size")
-        .withColumn("block", block_key(*map(F.col, ("brand", "size_value", "size_unit", "pack_quantity"))))
-        .withColumn("sig", _sig(F.col("title"), F.col("brand")))
+        listings.withColumn("title", F.coalesce("title", F.lit("")))
+        .withColumn("brand", default_brand(F.col("brand")))
         .withColumn("ord", order_key(1, F.col("run_ts"), F.col("seq")))
         .withColumn("own_key", founder_key())
     )
 
 
+def parse_titles(listings: DataFrame) -> DataFrame:
+    """Distinct (title, brand) of prepared listings: first appearance, count, size, block, token set.
+
+    Map-side combine leaves one row per title and task, so a title is parsed once however often it
+    is listed.
+    """
+    titles = settle(
+        listings.groupBy(*TITLE).agg(
+            F.min(F.struct("ord", F.col("own_key").alias("key"))).alias("first"), F.count(F.lit(1)).alias("n")
+        )
+    )
+    return (
+        titles.withColumn("_size", extract_size(F.col("title")))
+        .select(*TITLE, "first", "n", "_size.*")
+        .withColumn("block", block_key(*map(F.col, ("brand", *SIZE))))
+        .withColumn("sig", _sig(F.col("title"), F.col("brand")))
+    )
+
+
 def prepare_masters(masters: DataFrame) -> DataFrame:
     """Block, token set and order of stored masters; needs ``founded_order`` (run_ts, seq)."""
     return masters.select(
         "master_key",
-        block_key(*map(F.col, ("brand", "size_value", "size_unit", "pack_quantity"))).alias("block"),
+        block_key(*map(F.col, ("brand", *SIZE))).alias("block"),
         _sig(F.col("canonical_title"), F.col("brand")).alias("sig"),
         order_key(0, F.col("founded_order.run_ts"), F.col("founded_order.seq")).alias("ord"),
     )
 
 
-def candidate_blocking(listings: DataFrame, masters: DataFrame) -> DataFrame:
+def _by_title(listings: DataFrame, titles: DataFrame, columns: list[str], task_rows: int) -> DataFrame:
+    """Bring columns of the parsed titles back to the appearances; titles listed often are salted."""
+    hot = titles.filter(F.col("n") > task_rows).select(
+        *TITLE, F.ceil(F.col("n") / task_rows).cast("int").alias("_salts")
+    )
+    return salted_join(listings, titles.select(*TITLE, *columns), TITLE, "left", hot=hot)
+
+
+def candidate_blocking(listings: DataFrame, masters: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
     """Number of candidate masters and the oldest one for each prepared listing.
 
     Candidates stay counted per block; pairs are never written out.
@@ -112,9 +136,10 @@ def candidate_blocking(listings: DataFrame, masters: DataFrame) -> DataFrame:
     per_block = masters.groupBy("block").agg(
         F.count(F.lit(1)).alias("n_candidates"), F.min_by("master_key", "ord").alias("oldest_master")
     )
-    return listings.join(per_block, "block", "left").withColumn(
+    titles = parse_titles(listings).join(per_block, "block", "left").withColumn(
         "n_candidates", F.coalesce("n_candidates", F.lit(0))
     )
+    return _by_title(listings, settle(titles), ["n_candidates", "oldest_master"], task_rows)
 
 
 def match_pairs(leaders: DataFrame, probes: DataFrame, threshold: float = MATCH_THRESHOLD) -> DataFrame:
@@ -308,15 +333,12 @@ def _split(shapes: DataFrame, counted: DataFrame, fold_limit: int) -> tuple[Data
     return shapes.join(large, "block", "left_anti"), shapes.join(large, "block", "left_semi")
 
 
-def _with_master(listings: DataFrame, shapes: DataFrame, records: DataFrame, task_rows: int) -> DataFrame:
-    """Give each listing the last record founded no later than itself."""
-    hot = shapes.filter(F.col("n") > task_rows).select(
-        *SHAPE, F.ceil(F.col("n") / task_rows).cast("int").alias("_salts")
-    )
-    joined = salted_join(listings, records, SHAPE, "left", hot=hot)
+def _with_master(listings: DataFrame, titles: DataFrame, records: DataFrame, task_rows: int) -> DataFrame:
+    """Give each listing the last record founded no later than itself, and its title's size."""
+    known = settle(titles.join(records, SHAPE, "left"))
+    joined = _by_title(listings, known, [*SIZE, "size_ok", "records"], task_rows)
     last = F.filter("records", lambda r: r["ord"] <= F.col("ord"))
-    best = F.get(last, F.size(last) - 1)
-    return joined.withColumn("_best", best).drop("records")
+    return joined.withColumn("_best", F.get(last, F.size(last) - 1)).drop("records")
 
 
 def best_match(
@@ -330,9 +352,11 @@ def best_match(
 
     The master's tokens are set 1; the oldest master wins ties.
     """
-    leaders = masters.groupBy(*SHAPE).agg(F.min("ord").alias("ord"), F.min_by("master_key", "ord").alias("key"))
-    leaders = settle(leaders)
-    shapes = settle(listings.groupBy(*SHAPE).agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("first")))
+    leaders = settle(
+        masters.groupBy(*SHAPE).agg(F.min("ord").alias("ord"), F.min_by("master_key", "ord").alias("key"))
+    )
+    titles = settle(parse_titles(listings))
+    shapes = titles.filter("size_ok").select(*SHAPE).distinct()
     few, many = _split(leaders, leaders, fold_limit)
     entry = F.struct("ord", "key", _tokens(F.col("sig")).alias("tokens"))
     arrays = few.groupBy("block").agg(F.array_sort(F.collect_list(entry)).alias("leaders"))
@@ -340,12 +364,9 @@ def best_match(
         *SHAPE, _records(F.col("leaders"), _tokens(F.col("sig")), threshold).alias("records")
     )
     if many is not None:
-        stored = many.withColumn("fixed", F.lit(True))
-        asked = shapes.join(many.select("block").distinct(), "block", "left_semi").join(many, SHAPE, "left_anti")
-        asked = asked.select(*SHAPE, F.col("first").alias("ord"), F.lit(None).cast("string").alias("key"), F.lit(False).alias("fixed"))
-        # Listings found nothing here: they are given as shapes that only look up.
-        records = records.unionByName(_lookup_blocks(stored, asked, threshold))
-    matched = _with_master(listings, shapes, records, task_rows)
+        asked = shapes.join(broadcast_if_small(many.select("block").distinct()), "block", "left_semi")
+        records = records.unionByName(_lookup_blocks(many, asked, threshold))
+    matched = _with_master(listings, titles, records, task_rows)
     return matched.withColumn("master_key", F.col("_best.key")).withColumn("score", F.col("_best.score")).drop("_best")
 
 
@@ -359,7 +380,7 @@ def _lookup_blocks(stored: DataFrame, asked: DataFrame, threshold: float) -> Dat
             )
         )
     )
-    every = stored.select(*SHAPE).unionByName(asked.select(*SHAPE)).join(heads, "block")
+    every = settle(asked.join(heads, "block"))
     by_shape = match_pairs(stored, every, threshold).join(
         stored.select("block", F.col("sig").alias("l_sig"), "ord", "key"), ["block", "l_sig"]
     ).select(*SHAPE, "score", F.struct("ord", "key").alias("at"))
@@ -385,26 +406,27 @@ def assign_masters(
     first_batch: int = FIRST_BATCH,
     task_rows: int = TASK_ROWS,
 ) -> DataFrame:
-    """Prepared listings with ``master_key`` and ``founds`` (true where a listing founds its master).
+    """Prepared listings with size, ``master_key`` and ``founds`` (true where a listing founds its master).
 
-    Equal to handling the appearances one after the other in order.
+    Titles whose numbers do not fit get no master. Otherwise equal to handling the appearances one after the other in order.
     """
-    found = listings.select(*SHAPE, "ord", F.col("own_key").alias("key"))
+    titles = settle(parse_titles(listings))
+    found = titles.filter("size_ok").select(*SHAPE, "first.ord", "first.key")
     if masters is not None:
         found = masters.select(*SHAPE, "ord", F.col("master_key").alias("key")).unionByName(found)
     shapes = settle(
         found.groupBy(*SHAPE)
-        .agg(F.min(F.struct("ord", "key")).alias("first"), F.count(F.lit(1)).alias("n"))
-        .select(*SHAPE, "first.ord", "first.key", "n", (F.col("first.ord.is_new") == 0).alias("fixed"))
+        .agg(F.min(F.struct("ord", "key")).alias("first"))
+        .select(*SHAPE, "first.ord", "first.key", (F.col("first.ord.is_new") == 0).alias("fixed"))
     )
     few, many = _split(shapes, shapes, fold_limit)
     records = _fold_blocks(few, threshold)
     if many is not None:
         records = records.unionByName(_join_blocks(many, threshold, first_batch))
     return (
-        _with_master(listings, shapes, records, task_rows)
+        _with_master(listings, titles, records, task_rows)
         .withColumn("master_key", F.col("_best.key"))
-        .withColumn("founds", F.col("_best.ord") == F.col("ord"))
+        .withColumn("founds", F.coalesce(F.col("_best.ord") == F.col("ord"), F.lit(False)))
         .drop("_best")
     )
 
@@ -445,17 +467,16 @@ def match_products(
     """
     texts = settle(resolve_texts(distinct_texts(listings), categories, raw_map, queue))
     kept, dropped = false_positive_filter(settle(resolve_category(listings, keyword_map, texts)))
-    prepared = settle(prepare_listings(kept))
-    usable = prepared.filter("size_ok")
     stored = prepare_masters(masters) if masters is not None else None
-    assigned = settle(assign_masters(usable, stored, **options))
+    placed = settle(assign_masters(prepare_listings(kept), stored, **options))
+    assigned = placed.filter("size_ok")
     founded = new_masters(assigned)
     every = founded if masters is None else masters.select(*founded.columns).unionByName(founded)
     joined = assigned.filter(~F.col("founds")).select("master_key", "category_id", "run_ts", "seq")
     return {
         "assigned": assigned,
         "dropped": dropped,
-        "unmatched": prepared.filter(~F.col("size_ok")),
+        "unmatched": placed.filter(~F.col("size_ok")),
         "masters": fill_category_once(every, joined),
         "links": last_links(assigned),
         "texts": texts,

@@ -129,7 +129,7 @@ def price_display_of_products(spark, sf_dir):
 
 
 def _sections(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    offers = deals.deals_offers(*_catalog(spark, sf_dir))
+    offers = settle(deals.deals_offers(*_catalog(spark, sf_dir)))
     stats = settle(deals.family_stats(offers))
     return deals.split_sections(offers, stats), stats
 

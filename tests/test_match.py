@@ -27,18 +27,25 @@ def items(rng, n, blocks, most, blank=0.03):
     return out
 
 
+def at(df, day):
+    seq = F.struct(F.lit(0).alias("term_pos"), F.lit(0).alias("source_pos"), F.col("i").alias("pos"))
+    return df.withColumn("run_ts", F.lit(day).cast("timestamp")).withColumn("seq", seq)
+
+
 def as_listings(spark, rows):
-    data = [(b, f"k{i}", " ".join(t), i) for b, i, t in rows]
-    df = spark.createDataFrame(data, "block string, own_key string, sig string, i int")
-    at = F.struct(F.lit(0).alias("term_pos"), F.lit(0).alias("source_pos"), F.col("i").alias("pos"))
-    return df.withColumn("ord", match.order_key(1, F.lit("2024-01-01").cast("timestamp"), at))
+    """Brand alone makes the block; words come back as the token set."""
+    data = [("shop", i, b, " ".join(t), i) for b, i, t in rows]
+    df = at(spark.createDataFrame(data, "source string, external_id long, brand string, title string, i long"), "2024-01-01")
+    return match.prepare_listings(df).withColumn("own_key", F.concat(F.lit("k"), F.col("i").cast("string")))
 
 
 def as_masters(spark, rows):
     data = [(b, f"m{i}", " ".join(t), i) for b, i, t in rows]
-    df = spark.createDataFrame(data, "block string, master_key string, sig string, i int")
-    at = F.struct(F.lit(0).alias("term_pos"), F.lit(0).alias("source_pos"), F.col("i").alias("pos"))
-    return df.withColumn("ord", match.order_key(0, F.lit("2023-01-01").cast("timestamp"), at)).drop("i")
+    df = at(spark.createDataFrame(data, "brand string, master_key string, canonical_title string, i long"), "2023-01-01")
+    size = [F.lit(None).cast("decimal(18,4)").alias("size_value"), F.lit(None).cast("string").alias("size_unit")]
+    return match.prepare_masters(
+        df.select("*", *size, F.lit(1).alias("pack_quantity"), F.struct("run_ts", "seq").alias("founded_order"))
+    )
 
 
 def test_fuzzy_join_finds_all_pairs(spark):
@@ -95,8 +102,8 @@ def test_joined_blocks_with_stored_masters(spark):
 
 
 def test_matching_order_case(spark):
-    three = [("b", 0, ["a1x", "b1x"]), ("b", 1, ["a1x", "b1x", "c1x"]), ("b", 2, ["c1x", "b1x"])]
-    two = [("c", 3, ["a1x", "b1x", "c1x", "d1x"]), ("c", 4, ["a1x", "b1x", "c1x"])]
+    three = [("p", 0, ["a1x", "b1x"]), ("p", 1, ["a1x", "b1x", "c1x"]), ("p", 2, ["c1x", "b1x"])]
+    two = [("q", 3, ["a1x", "b1x", "c1x", "d1x"]), ("q", 4, ["a1x", "b1x", "c1x"])]
     got = match.assign_masters(as_listings(spark, three + two)).filter("founds").collect()
     assert sorted(r["own_key"] for r in got) == ["k0", "k1", "k2", "k3"]
 
