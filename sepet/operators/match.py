@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.constants import MATCH_THRESHOLD
-from ..functions.similarity import sizes_can_reach, token_set_score
+from ..functions.similarity import sizes_can_reach, token_set_score, tokens_agree
 from ..functions.size import extract_size
 from ..functions.text import default_brand, tokenize_title
 from ..session import settle
@@ -32,6 +32,8 @@ from .skew import TASK_ROWS, broadcast_if_small, salted_join
 FOLD_LIMIT = 1000
 FIRST_BATCH = 256
 BATCH_GROWTH = 8
+# Shapes of one block scored against an array of masters in one task.
+BLOCK_SHAPES = 20_000
 
 TITLE = ["title", "brand"]
 SHAPE = ["block", "sig"]
@@ -191,8 +193,17 @@ def match_pairs(leaders: DataFrame, probes: DataFrame, threshold: float = MATCH_
 
 
 def _score_if_reachable(leader: Column, shape: Column, threshold: float) -> Column:
+    """The score, or 0 where cheap tests rule the threshold out.
+
+    Sizes must allow it; and of any n - a + 1 tokens, a being the matches needed, one must agree.
+    """
     n1, n2 = F.size(leader), F.size(shape)
-    possible = (n1 == 0) | (n2 == 0) | sizes_can_reach(n1, n2, threshold)
+    needed = F.ceil((n1 + n2) * (threshold / (1 + threshold)) - 1e-9).cast("int")
+    some_agree = F.exists(
+        F.slice(shape, F.lit(1), F.greatest(n2 - needed + 1, F.lit(0))),
+        lambda t: F.exists(leader, lambda o: tokens_agree(o, t)),
+    )
+    possible = (n1 == 0) | (n2 == 0) | (sizes_can_reach(n1, n2, threshold) & some_agree)
     return F.when(possible, token_set_score(leader, shape, True)).otherwise(0.0)
 
 
@@ -229,7 +240,10 @@ def _fold_blocks(shapes: DataFrame, threshold: float) -> DataFrame:
         )
         return F.when(shape["fixed"] | ~taken, F.array_append(leaders, shape)).otherwise(leaders)
 
-    blocks = shapes.groupBy("block").agg(F.array_sort(F.collect_list(entry)).alias("shapes"))
+    # Few bytes but much work: a fixed number of partitions is not merged at runtime.
+    spark = shapes.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism) * 4
+    blocks = shapes.repartition(tasks, "block").groupBy("block").agg(F.array_sort(F.collect_list(entry)).alias("shapes"))
     led = blocks.withColumn("leaders", F.aggregate("shapes", F.slice("shapes", 1, 0), step))
     return led.select("block", "leaders", F.explode("shapes").alias("s")).select(
         "block", "s.sig", _records(F.col("leaders"), F.col("s.tokens"), threshold).alias("records")
@@ -360,7 +374,7 @@ def best_match(
     few, many = _split(leaders, leaders, fold_limit)
     entry = F.struct("ord", "key", _tokens(F.col("sig")).alias("tokens"))
     arrays = few.groupBy("block").agg(F.array_sort(F.collect_list(entry)).alias("leaders"))
-    records = shapes.join(arrays, "block").select(
+    records = salted_join(shapes, arrays, ["block"], task_rows=BLOCK_SHAPES).select(
         *SHAPE, _records(F.col("leaders"), _tokens(F.col("sig")), threshold).alias("records")
     )
     if many is not None:
