@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import PENDING
 from ..functions.text import lower_text
-from .skew import broadcast_if_small
+from ..session import settle
+from .skew import TASK_ROWS, broadcast_if_small, salted_join
 
 
 def brands(masters: DataFrame, products: DataFrame) -> DataFrame:
@@ -36,16 +37,20 @@ def product_offers(masters: DataFrame, products: DataFrame, master_key: str | in
     )
 
 
-def cheapest_offer_flag(products: DataFrame) -> DataFrame:
+def cheapest_offer_flag(products: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
     """Mark the first offer by price of each master.
 
     The minimum is folded before the shuffle and joined back, where a window would gather a
-    popular master in one task.
+    popular master in one task; masters with very many offers are salted.
     """
     linked = products.filter(F.col("master_key").isNotNull())
     place = F.struct("price", "source", "external_id")
-    first = linked.groupBy("master_key").agg(F.min(place).alias("_first"))
-    return linked.join(first, "master_key").withColumn("is_cheapest", place == F.col("_first")).drop("_first")
+    first = settle(linked.groupBy("master_key").agg(F.min(place).alias("_first"), F.count(F.lit(1)).alias("_n")))
+    hot = first.filter(F.col("_n") > task_rows).select(
+        "master_key", F.ceil(F.col("_n") / task_rows).cast("int").alias("_salts")
+    )
+    joined = salted_join(linked, first.drop("_n"), ["master_key"], task_rows=task_rows, hot=hot)
+    return joined.withColumn("is_cheapest", place == F.col("_first")).drop("_first")
 
 
 def text_filter(masters: DataFrame, q: str | None) -> DataFrame:

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import settle
+from ..session import settle, settle_partitions
 
 TASK_ROWS = 2_000_000
 
@@ -77,7 +77,7 @@ def rank_in_groups(
         return df.withColumn(rank, F.row_number().over(by_group))
     keys = broadcast_if_small(large.select(group))
     small_part = df.join(keys, [group], "left_anti").withColumn(rank, F.row_number().over(by_group))
-    ranged = settle(
+    ranged = settle_partitions(
         df.join(keys, [group], "left_semi")
         .repartitionByRange(math.ceil(total / task_rows), F.col(group), *order)
         .sortWithinPartitions(F.col(group), *order)

@@ -49,6 +49,17 @@ def new_shared_path(spark: SparkSession, label: str) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and cut its lineage with a reliable checkpoint."""
+    """Compute ``df`` once and cut its lineage: written to the shared folder and read back.
+
+    A table rather than a checkpoint: readers prune columns, and its size is known, so Spark
+    broadcasts it only when it is small.
+    """
+    path = new_shared_path(df.sparkSession, "settled")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def settle_partitions(df: DataFrame) -> DataFrame:
+    """Like ``settle`` where partitions and the order inside them must stay: a reliable checkpoint."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
