@@ -230,6 +230,13 @@ def _records(leaders: Column, tokens: Column, threshold: float) -> Column:
     return _rising(F.filter(scored, lambda r: r["score"] >= threshold))
 
 
+def _by_block(df: DataFrame) -> DataFrame:
+    """Partition by block. Few bytes but much work: a fixed number of partitions is not merged at runtime."""
+    spark = df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism) * 4
+    return df.repartition(tasks, "block")
+
+
 def _fold_blocks(shapes: DataFrame, threshold: float) -> DataFrame:
     """Leaders and records of blocks that fit one row each."""
     entry = F.struct("ord", "key", "sig", _tokens(F.col("sig")).alias("tokens"), "fixed")
@@ -240,10 +247,7 @@ def _fold_blocks(shapes: DataFrame, threshold: float) -> DataFrame:
         )
         return F.when(shape["fixed"] | ~taken, F.array_append(leaders, shape)).otherwise(leaders)
 
-    # Few bytes but much work: a fixed number of partitions is not merged at runtime.
-    spark = shapes.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism) * 4
-    blocks = shapes.repartition(tasks, "block").groupBy("block").agg(F.array_sort(F.collect_list(entry)).alias("shapes"))
+    blocks = _by_block(shapes).groupBy("block").agg(F.array_sort(F.collect_list(entry)).alias("shapes"))
     led = blocks.withColumn("leaders", F.aggregate("shapes", F.slice("shapes", 1, 0), step))
     return led.select("block", "leaders", F.explode("shapes").alias("s")).select(
         "block", "s.sig", _records(F.col("leaders"), F.col("s.tokens"), threshold).alias("records")
@@ -370,11 +374,11 @@ def best_match(
         masters.groupBy(*SHAPE).agg(F.min("ord").alias("ord"), F.min_by("master_key", "ord").alias("key"))
     )
     titles = settle(parse_titles(listings))
-    shapes = titles.filter("size_ok").select(*SHAPE).distinct()
+    shapes = settle(titles.filter("size_ok").select(*SHAPE).distinct())
     few, many = _split(leaders, leaders, fold_limit)
     entry = F.struct("ord", "key", _tokens(F.col("sig")).alias("tokens"))
-    arrays = few.groupBy("block").agg(F.array_sort(F.collect_list(entry)).alias("leaders"))
-    records = salted_join(shapes, arrays, ["block"], task_rows=BLOCK_SHAPES).select(
+    arrays = _by_block(few).groupBy("block").agg(F.array_sort(F.collect_list(entry)).alias("leaders"))
+    records = salted_join(_by_block(shapes), arrays, ["block"], task_rows=BLOCK_SHAPES).select(
         *SHAPE, _records(F.col("leaders"), _tokens(F.col("sig")), threshold).alias("records")
     )
     if many is not None:
