@@ -28,15 +28,14 @@ SIZES = [
 ]
 
 
-@pytest.mark.parametrize("title,value,unit,pack", SIZES)
-def test_extract_size(spark, title, value, unit, pack):
-    got = one(spark, title, size.extract_size)
-    assert (got["size_value"], got["size_unit"], got["pack_quantity"]) == (
-        None if value is None else Decimal(value),
-        unit,
-        pack,
-    )
-    assert got["size_ok"]
+def test_extract_size(spark):
+    df = spark.createDataFrame([(i, r[0]) for i, r in enumerate(SIZES)], "i int, x string")
+    rows = df.select("i", size.extract_size(F.col("x")).alias("y")).collect()
+    for i, got in rows:
+        title, value, unit, pack = SIZES[i]
+        want = (None if value is None else Decimal(value), unit, pack)
+        assert (got["size_value"], got["size_unit"], got["pack_quantity"]) == want, title
+        assert got["size_ok"], title
 
 
 def test_count_beyond_int_is_flagged(spark):
@@ -44,11 +43,12 @@ def test_count_beyond_int_is_flagged(spark):
 
 
 def test_normalize_is_idempotent(spark):
-    for raw in ["ÇAY Şişe ĞÜÖIı", "İçecek", "  ", "", None, "Zeytinyağı 5 Lt"]:
-        first = one(spark, raw, text.normalize_text)
-        assert one(spark, first, text.normalize_text) == first
-    assert one(spark, "İçecek", text.normalize_text) == "icecek"
-    assert one(spark, " \t", text.normalize_text) == ""
+    raws = ["ÇAY Şişe ĞÜÖIı", "İçecek", "  ", "", None, "Zeytinyağı 5 Lt", " \t"]
+    once = text.normalize_text(F.col("x"))
+    df = spark.createDataFrame([(r,) for r in raws], "x string").select("x", once.alias("y"), text.normalize_text(once).alias("z"))
+    got = {r["x"]: r["y"] for r in df.collect() if r["y"] == r["z"]}
+    assert len(got) == len(raws)
+    assert got["İçecek"] == "icecek" and got[" \t"] == "" and got[None] == ""
 
 
 def test_tokenize(spark):
@@ -75,11 +75,10 @@ PAIRS = [
 ]
 
 
-@pytest.mark.parametrize("a,b,expected", PAIRS)
-def test_tokens_agree(spark, a, b, expected):
-    df = spark.createDataFrame([(a, b), (b, a)], "a string, b string")
-    got = df.select(similarity.tokens_agree(F.col("a"), F.col("b")).alias("y")).collect()
-    assert [r["y"] for r in got] == [expected] * 2
+def test_tokens_agree(spark):
+    df = spark.createDataFrame([(a, b, e) for a, b, e in PAIRS] + [(b, a, e) for a, b, e in PAIRS], "a string, b string, e boolean")
+    got = df.select("a", "b", "e", similarity.tokens_agree(F.col("a"), F.col("b")).alias("y")).collect()
+    assert [tuple(r) for r in got if r["e"] != r["y"]] == []
 
 
 def test_score(spark):

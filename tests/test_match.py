@@ -90,15 +90,15 @@ def test_folded_blocks_equal_the_loop(spark, seed):
 @pytest.mark.parametrize("seed,blank", [(4, 0.0), (5, 0.03)])
 def test_joined_blocks_equal_the_loop(spark, seed, blank):
     rng = random.Random(seed)
-    rows = items(rng, 250, 2, 5, blank)
-    check(spark, rows, [], fold_limit=0, first_batch=2, task_rows=40)
+    rows = items(rng, 160, 2, 5, blank)
+    check(spark, rows, [], fold_limit=0, first_batch=8, task_rows=40)
 
 
 def test_joined_blocks_with_stored_masters(spark):
     rng = random.Random(6)
-    rows = items(rng, 150, 3, 4, 0.05)
-    check(spark, rows, items(rng, 25, 3, 3, 0.0), fold_limit=0, first_batch=4)
-    check(spark, rows, items(rng, 25, 3, 3, 0.2), fold_limit=10, first_batch=4)
+    rows = items(rng, 120, 3, 4, 0.05)
+    check(spark, rows, items(rng, 25, 3, 3, 0.0), fold_limit=0, first_batch=16)
+    check(spark, rows, items(rng, 25, 3, 3, 0.2), fold_limit=10, first_batch=16)
 
 
 def test_matching_order_case(spark):
