@@ -2,7 +2,6 @@
 
 import json
 
-import pytest
 from pyspark.sql import functions as F
 
 from sepet.plans.ingest import ingest_into, ingest_run
