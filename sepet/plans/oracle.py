@@ -57,11 +57,11 @@ SQL["cheapest_offer_flag"] = _with(
 
 _OFFER = "category_id, source, external_id, canonical_title, brand, price, size_unit, total_size, round(price_per_unit, 6) AS price_per_unit"
 SQL["unit_price"] = _with(p.DEALS, "SELECT source, external_id, total_size, round(price_per_unit, 6) AS price_per_unit FROM offers")
-SQL["unit_label_of_masters"] = _with(
+SQL["unit_label"] = _with(
     f"{p.CATEGORIES}, {p.MASTERS}",
     "SELECT master_key, CASE size_unit WHEN 'ML' THEN 'L' WHEN 'G' THEN 'kg' ELSE 'adet' END AS unit_label FROM masters",
 )
-SQL["price_display_of_products"] = _with(
+SQL["price_display"] = _with(
     f"{p.LISTING}, {p.PRODUCTS}, {_QUEUE}",
     "SELECT source || '/' || external_id AS item, '₺' || translate(format('{:,}', CAST(round(price * 100) AS BIGINT) // 100), ',', '.') || ',' || "
     "lpad(CAST(CAST(round(price * 100) AS BIGINT) % 100 AS VARCHAR), 2, '0') AS shown FROM products "

@@ -9,8 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import keys, similarity, size, text
-from ..functions.display import percent_display, price_display
+from ..functions import display, keys, similarity, size, text
 from ..operators import catalog, category, deals, fuzzy, maintain, match
 from ..session import new_shared_path, settle
 from ..sources import feeds
@@ -112,19 +111,19 @@ def unit_price(spark, sf_dir):
 
 
 @register
-def unit_label_of_masters(spark, sf_dir):
+def unit_label(spark, sf_dir):
     return views.masters(spark, sf_dir).select("master_key", size.unit_label(F.col("size_unit")).alias("unit_label"))
 
 
 @register
-def price_display_of_products(spark, sf_dir):
+def price_display(spark, sf_dir):
     queue = views.review_queue(spark, sf_dir)
     shown = views.products(spark, sf_dir).select(
         F.concat_ws("/", "source", F.col("external_id").cast("string")).alias("item"),
-        price_display(F.col("price")).alias("shown"),
+        display.price_display(F.col("price")).alias("shown"),
     )
     return shown.unionByName(
-        queue.select(F.concat(F.lit("review/"), F.col("id").cast("string")).alias("item"), percent_display(F.col("score")).alias("shown"))
+        queue.select(F.concat(F.lit("review/"), F.col("id").cast("string")).alias("item"), display.percent_display(F.col("score")).alias("shown"))
     )
 
 
