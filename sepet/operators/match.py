@@ -233,7 +233,7 @@ def _records(leaders: Column, tokens: Column, threshold: float) -> Column:
 def _by_block(df: DataFrame) -> DataFrame:
     """Partition by block. Few bytes but much work: a fixed number of partitions is not merged at runtime."""
     spark = df.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism) * 4
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism * 4)
     return df.repartition(tasks, "block")
 
 
