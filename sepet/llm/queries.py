@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from ..session import settle
 from .common import word_count
 from .decision_list import apply_rules, learn_rules, text_statistics
+from .license_scan import scan_licenses
 from .line_dedup import drop_boilerplate_lines, html_lines, url_host
 from .mixing import mix_sources
+from .pieces import encode_pieces
+from .simhash import near_duplicates
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -55,3 +58,30 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = settle(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     return mix_sources(sized, "source", "size", key).select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+@query
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate documents by fingerprint."""
+    found = near_duplicates(table(spark, sf_dir, "documents"), "text", "doc_id")
+    return found.select(
+        F.col("ident").alias("doc_id"),
+        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+        F.col("component").alias("component_id"),
+    )
+
+
+@query
+def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document, the losses of the n best segmentations, and whether decoding restores the text."""
+    return encode_pieces(table(spark, sf_dir, "documents"), "text", "doc_id").select(
+        F.col("ident").alias("doc_id"), "ids", "score", "losses", "restored"
+    )
+
+
+@query
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence labels of every document."""
+    return scan_licenses(table(spark, sf_dir, "documents"), "text", "doc_id").select(
+        F.col("ident").alias("doc_id"), "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"
+    )
