@@ -15,6 +15,7 @@ from .line_dedup import drop_boilerplate_lines, html_lines, url_host
 from .mixing import mix_sources
 from .pieces import encode_pieces
 from .simhash import near_duplicates
+from .suffix_dedup import remove_repeats
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -85,3 +86,11 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"), "text", "doc_id").select(
         F.col("ident").alias("doc_id"), "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"
     )
+
+
+@query
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that repeat in strings of 200 bytes."""
+    return remove_repeats(table(spark, sf_dir, "documents"), "text", "doc_id").select(
+        F.col("ident").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
