@@ -14,6 +14,7 @@ from .license_scan import scan_licenses
 from .line_dedup import drop_boilerplate_lines, html_lines, url_host
 from .mixing import mix_sources
 from .pieces import encode_pieces
+from .rp_forest import link_vectors
 from .simhash import near_duplicates
 from .suffix_dedup import remove_repeats
 
@@ -94,3 +95,15 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), "text", "doc_id").select(
         F.col("ident").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
     )
+
+
+@query
+def op6_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate embeddings."""
+    found = link_vectors(table(spark, sf_dir, "embeddings"), "embedding", "vec_id")
+    return found.select(
+        F.col("ident").alias("vec_id"),
+        "n_links",
+        F.col("component").alias("component_id"),
+        F.col("ident").eqNullSafe(F.col("component")).alias("kept"),
+    )
