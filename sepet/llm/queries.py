@@ -17,6 +17,7 @@ from .pieces import encode_pieces
 from .rp_forest import link_vectors
 from .simhash import near_duplicates
 from .suffix_dedup import remove_repeats
+from .toxicity import CUT, learn_toxicity, sample_labels, score_toxicity
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -107,3 +108,20 @@ def op6_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("component").alias("component_id"),
         F.col("ident").eqNullSafe(F.col("component")).alias("kept"),
     )
+
+
+@query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; labels of two thirds of the ids are learned from, the rest are held out."""
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    third = lambda c: F.crc32(F.coalesce(c.cast("string"), F.lit(""))) % 3
+    known = sample_labels(labels.filter(third(F.col("doc_id")) != 1), "doc_id", "toxic")
+    machine = learn_toxicity(docs.join(F.broadcast(known), F.col("doc_id") == F.col("ident")), "text", "toxic", "ident")
+    scored = score_toxicity(docs, "text", "doc_id", machine)
+    return scored.select(
+        F.col("ident").alias("doc_id"),
+        (third(F.col("ident")) == 1).alias("held_out"),
+        "score",
+        (F.col("score") >= CUT).cast("int").alias("predicted"),
+        "passage",
+    )
