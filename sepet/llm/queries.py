@@ -14,6 +14,7 @@ from .license_scan import scan_licenses
 from .line_dedup import drop_boilerplate_lines, html_lines, url_host
 from .mixing import mix_sources
 from .pieces import encode_pieces
+from .pitman_yor import score_texts
 from .rp_forest import link_vectors
 from .simhash import near_duplicates
 from .suffix_dedup import remove_repeats
@@ -125,3 +126,12 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= CUT).cast("int").alias("predicted"),
         "passage",
     )
+
+
+@query
+def op3_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document; six sevenths of the ids are learned from, the rest are held out."""
+    held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7 == 2
+    return score_texts(table(spark, sf_dir, "documents"), "text", "doc_id", held).select(
+        F.col("ident").alias("doc_id"), F.col("held").alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
