@@ -53,6 +53,7 @@ def mix_sources(
     most: int = 2,
     bucket_rows: int = BUCKET_ROWS,
     sizes: DataFrame | None = None,
+    sizes_column: str | None = None,
 ) -> DataFrame:
     """Every row of ``rows`` with ``source_size``, ``target`` and ``taken``, the part of ``size`` the mix takes.
 
@@ -63,13 +64,15 @@ def mix_sources(
     rows in order until the budget is used up; the last row gives just what is missing.
 
     Null sources are one source; null sizes count as 0; a source of size 0 takes nothing. Rows that tie in
-    key and size are interchangeable. An empty table gives an empty result. ``sizes`` may give rows (source,
-    size) that are cheaper to read than ``rows``.
+    key and size are interchangeable. An empty table gives an empty result. ``sizes`` may give the
+    same rows in a form that is cheaper to read, with the size in ``sizes_column``.
     """
     names = ["_mix_source", "_mix_size", "_mix_key", "_mix_range"]
     assert not set(names) & set(rows.columns), "reserved column names"
     light = (rows if sizes is None else sizes).select(
-        col(source).alias("source"), F.coalesce(col(size), F.lit(0)).cast("bigint").alias("size"), key.alias("key")
+        col(source).alias("source"),
+        F.coalesce(col(sizes_column or size), F.lit(0)).cast("bigint").alias("size"),
+        key.alias("key"),
     )
     counted = light.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     largest = counted.agg(F.max("n")).first()[0] or 0
