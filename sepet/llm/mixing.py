@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .common import col
 
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 1_000
 
 
 def source_targets(
