@@ -13,6 +13,14 @@ UNIT_FACTORS = {
 COUNT_UNIT = "ADET"
 COUNT_SUFFIXES = ("li", "lı", "lu", "lü", "adet")
 
+# Patterns of sizes in titles: pack count before the size, size alone, count alone.
+SIZE_NUMBER = r"(\d+[.,]?\d*)"
+SIZE_UNIT = "(" + "|".join(UNIT_FACTORS) + r")\b"
+SIZE_FLAGS = "(?iuU)"
+PACK_FIRST = rf"{SIZE_FLAGS}(\d+)\s*x\s*{SIZE_NUMBER}\s*{SIZE_UNIT}"
+SIZE_ONLY = rf"{SIZE_FLAGS}{SIZE_NUMBER}\s*{SIZE_UNIT}"
+COUNT_ONLY = rf"{SIZE_FLAGS}(\d+)\s*'?\s*(?:{'|'.join(COUNT_SUFFIXES)})\b"
+
 # Words dropped from a product title before comparing.
 UNIT_WORDS = ("ml", "lt", "l", "g", "gr", "kg", "adet", "cc", "pet")
 FILLER_WORDS = ("pet", "sise", "su", "dogal", "kaynak", "sade")
@@ -24,9 +32,6 @@ TITLE_ALIASES = {"kalem": "penne rigate"}
 FOLD_FROM = "ığüşöç"
 FOLD_TO = "igusoc"
 
-# Search terms of one run, in order.
-SEARCH_TERMS = ("su", "nutella", "çay", "kahve", "makarna", "zeytinyağı", "peynir", "yumurta")
-
 UNKNOWN_BRAND = "Unknown"
 MATCH_THRESHOLD = 0.70
 CATEGORY_ACCEPT = 0.85

@@ -5,17 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .constants import COUNT_SUFFIXES, COUNT_UNIT, UNIT_FACTORS
+from .constants import COUNT_ONLY, COUNT_UNIT, PACK_FIRST, SIZE_ONLY, UNIT_FACTORS
 
 SIZE_TYPE = "decimal(18,4)"
 
-_NUMBER = r"(\d+[.,]?\d*)"
-_UNIT = "(" + "|".join(UNIT_FACTORS) + r")\b"
-_FLAGS = "(?iuU)"
-PACK_FIRST = rf"{_FLAGS}(\d+)\s*x\s*{_NUMBER}\s*{_UNIT}"
-SIZE_ONLY = rf"{_FLAGS}{_NUMBER}\s*{_UNIT}"
-COUNT_ONLY = rf"{_FLAGS}(\d+)\s*'?\s*(?:{'|'.join(COUNT_SUFFIXES)})\b"
-
 
 def _base_value(number: Column, unit: Column) -> Column:
     factors = F.create_map(*[F.lit(x) for u, (_, f) in UNIT_FACTORS.items() for x in (u, f)])

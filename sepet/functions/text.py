@@ -52,6 +52,11 @@ def default_brand(col: Column) -> Column:
     return F.when(is_blank(col), F.lit(UNKNOWN_BRAND)).otherwise(col)
 
 
+def brand_key(brand: Column) -> Column:
+    """What two spellings of one brand share: case, the dotted capital I and end spaces do not count."""
+    return lower_text(F.rtrim(brand))
+
+
 def brand_words(brand: Column) -> Column:
     """The brand's own words: normalised and split on spaces, punctuation kept."""
     return F.filter(F.split(normalize_text(brand), " "), lambda w: F.length(w) > 0)

@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.constants import PENDING
-from ..functions.text import lower_text
+from ..functions.text import brand_key, lower_text
 from ..session import settle
-from .skew import TASK_ROWS, broadcast_if_small, salted_join
+from .skew import TASK_ROWS, broadcast_if_small, rank_in_groups, salted_join
 
 
 def brands(masters: DataFrame, products: DataFrame) -> DataFrame:
@@ -66,7 +66,7 @@ def text_filter(masters: DataFrame, q: str | None) -> DataFrame:
 def brand_filter(masters: DataFrame, brand: str | None) -> DataFrame:
     if brand is None or not brand.strip():
         return masters
-    return masters.filter(F.col("brand") == F.lit(brand))
+    return masters.filter(brand_key(F.col("brand")) == brand_key(F.lit(brand)))
 
 
 def price_having(grouped: DataFrame, min_price: Decimal | None, max_price: Decimal | None) -> DataFrame:
@@ -99,10 +99,16 @@ def product_search(
 ) -> DataFrame:
     """Masters with lowest price, number of listings and one image.
 
-    Listings are folded per master before the join: one row per master crosses it.
+    Listings are folded per master before the join: one row per master crosses it. With a text or a
+    brand given, listings of other masters are left out before they are folded.
     """
+    chosen = brand_filter(text_filter(masters, q), brand).select("master_key", "canonical_title", "brand")
+    listed = products.filter(F.col("master_key").isNotNull())
+    if any(x and x.strip() for x in (q, brand)):
+        chosen = settle(chosen)
+        listed = listed.join(broadcast_if_small(chosen.select("master_key")), "master_key", "left_semi")
     per_master = (
-        products.filter(F.col("master_key").isNotNull())
+        listed
         .groupBy("master_key")
         .agg(
             F.min("price").alias("lowest_price"),
@@ -110,7 +116,6 @@ def product_search(
             F.max("image_url").alias("image_url"),
         )
     )
-    chosen = brand_filter(text_filter(masters, q), brand).select("master_key", "canonical_title", "brand")
     return chosen.join(price_having(per_master, min_price, max_price), "master_key").orderBy(*sort_keys(sort))
 
 
@@ -137,3 +142,8 @@ def review_pending(queue: DataFrame, categories: DataFrame) -> DataFrame:
     )
 
 
+def search_places(found: DataFrame, sort: str | None = None, task_rows: int = TASK_ROWS) -> DataFrame:
+    """Found masters with ``place``, their number in the order of the sort word."""
+    alone = found.withColumn("_all", F.lit(0))
+    sizes = settle(alone.groupBy("_all").agg(F.count(F.lit(1)).alias("n")))
+    return rank_in_groups(alone, "_all", sort_keys(sort), sizes, "place", task_rows).drop("_all")

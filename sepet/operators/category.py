@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.constants import CATEGORY_ACCEPT, CATEGORY_REVIEW, REJECTED
 from ..functions.similarity import token_set_score
 from ..functions.text import is_blank, lower_text, tokenize, trim_all
+from ..session import settle
 from .fuzzy import fuzzy_token_join
 from .skew import broadcast_if_small
 
@@ -47,7 +48,8 @@ def category_best_guess(texts: DataFrame, categories: DataFrame) -> DataFrame:
     Only categories that share an agreeing token can score, so candidates come from a token join
     and not from pairing every text with every category.
     """
-    asked = texts.select("raw_text").distinct().withColumn("tokens", tokenize(F.col("raw_text")))
+    # Written once: it is read three times below.
+    asked = settle(texts.select("raw_text").distinct().withColumn("tokens", tokenize(F.col("raw_text"))))
     named = categories.select(F.col("id").alias("category_id"), tokenize(F.col("name")).alias("tokens"))
     asked_tokens, named_tokens = _exploded(asked, "raw_text"), _exploded(named, "category_id")
     pairs = fuzzy_token_join(asked_tokens, named_tokens)
@@ -90,7 +92,7 @@ def resolve_texts(texts: DataFrame, categories: DataFrame, raw_map: DataFrame, q
     The answer depends on the four tables alone, so one pass over distinct texts gives what
     handling listing after listing gives.
     """
-    looked_up = raw_category_lookup(texts.select("raw_text").distinct(), raw_map)
+    looked_up = settle(raw_category_lookup(texts.select("raw_text").distinct(), raw_map))
     open_texts = rejected_anti(looked_up.filter(F.col("category_id").isNull()).select("raw_text"), queue)
     guessed = category_route(category_best_guess(open_texts, categories)).withColumnRenamed("category_id", "guess_id")
     refused = queue.filter(F.col("status") == REJECTED).select("raw_text", F.lit(True).alias("_refused"))

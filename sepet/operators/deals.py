@@ -14,7 +14,7 @@ from ..functions.constants import COUNT_FAMILY, COUNT_UNIT, OUTLIER_FACTOR, WEIG
 from ..functions.size import is_weight_or_volume, total_size, unit_price
 from ..session import settle
 from .category import keyword_category
-from .skew import broadcast_if_small, rank_in_groups
+from .skew import TASK_ROWS, broadcast_if_small, rank_in_groups
 
 OFFER_COLUMNS = [
     "category_id",
@@ -124,14 +124,14 @@ def split_sections(offers: DataFrame, stats: DataFrame) -> DataFrame:
     )
 
 
-def deals_ranked(sections: DataFrame, stats: DataFrame) -> DataFrame:
+def deals_ranked(sections: DataFrame, stats: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
     """Primary offers numbered by unit price inside their category.
 
     ``stats`` should be settled; it tells which categories are too large for one task.
     """
     sizes = stats.select("category_id", F.greatest("n_weight", "n_count").alias("n"))
     order = [F.col("price_per_unit"), *_tie_keys()]
-    return rank_in_groups(sections.filter(F.col("section") == "primary"), "category_id", order, sizes)
+    return rank_in_groups(sections.filter(F.col("section") == "primary"), "category_id", order, sizes, task_rows=task_rows)
 
 
 def deals_other_units(sections: DataFrame) -> DataFrame:
@@ -147,7 +147,7 @@ def deals(masters: DataFrame, products: DataFrame, category_id: int | None = Non
     offers = settle(deals_offers(masters, products, category_id))
     stats = settle(family_stats(offers))
     sections = split_sections(offers, stats)
-    other = deals_other_units(sections).withColumn("rank", F.lit(None).cast("int"))
+    other = sections.filter(F.col("section") == "other").withColumn("rank", F.lit(None).cast("bigint"))
     return deals_ranked(sections, stats).unionByName(other)
 
 
@@ -156,7 +156,7 @@ def deals_top(sections: DataFrame, k: int = 3) -> DataFrame:
     order = Window.partitionBy("category_id").orderBy("price_per_unit", *_tie_keys())
     return (
         sections.filter(F.col("section") == "primary")
-        .withColumn("rank", F.row_number().over(order))
+        .withColumn("rank", F.row_number().over(order).cast("bigint"))
         .filter(F.col("rank") <= k)
     )
 
@@ -180,10 +180,21 @@ def deals_filter_sort(
     chosen = list(chosen_brands)
     wanted = F.col("brand").isin(chosen) if chosen else F.lit(True)
     kept = sections.filter((F.col("section") == "other") | wanted)
-    key = {"price": F.col("price").asc(), "priceDesc": F.col("price").desc()}.get(sort_by, F.col("price_per_unit").asc())
     if sort_by in ("price", "priceDesc"):
-        ranked = kept.withColumn("rank", F.lit(None).cast("int"))
+        ranked = kept.withColumn("rank", F.lit(None).cast("bigint"))
     else:
-        other = kept.filter(F.col("section") == "other").withColumn("rank", F.lit(None).cast("int"))
+        other = kept.filter(F.col("section") == "other").withColumn("rank", F.lit(None).cast("bigint"))
         ranked = deals_ranked(kept, stats).unionByName(other)
-    return ranked.orderBy("category_id", F.desc("section"), key, *_tie_keys())
+    return ranked.orderBy("category_id", *sort_order(sort_by))
+
+
+def sort_order(sort_by: str = "unitPrice") -> list[Column]:
+    """Order of the offers of a category: primary before other, then by the sort word."""
+    key = {"price": F.col("price").asc(), "priceDesc": F.col("price").desc()}.get(sort_by, F.col("price_per_unit").asc())
+    return [F.desc("section"), key, *_tie_keys()]
+
+
+def deals_places(found: DataFrame, sort_by: str = "unitPrice", task_rows: int = TASK_ROWS) -> DataFrame:
+    """Found offers with ``place``, their number in their category in the order of the sort word."""
+    sizes = settle(found.groupBy("category_id").agg(F.count(F.lit(1)).alias("n")))
+    return rank_in_groups(found, "category_id", sort_order(sort_by), sizes, "place", task_rows)

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import EDIT_MIN_LENGTH, EDIT_ONE_MAX_LENGTH, MAX_SUFFIX, tokens_agree
 
-# Words up to this length are keyed by what is left after deletions, longer ones by segments:
-# the number of deletions grows with the square of the length, that of segments does not.
-DELETION_MAX_LENGTH = 16
+# Words up to this length are keyed by what is left after deletions, longer ones by pairs of segments:
+# the number of deletions grows with the square of the length, that of pairs does not.
+DELETION_MAX_LENGTH = 32
 _TWO_EDITS_MIN = EDIT_ONE_MAX_LENGTH + 1
 
 
@@ -60,37 +60,46 @@ def _ints(*values: int) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
+_PAIRS = [(i, j) for i in range(4) for j in range(i + 1, 4)]
+# By how much a word within two edits is longer, and how far its untouched segments lie from their places there.
+_MOVES = [
+    (first + between + rest, -first, -first - between)
+    for first in range(-2, 3)
+    for between in range(-2, 3)
+    for rest in range(-2, 3)
+    if abs(first) + abs(between) + abs(rest) <= 2
+]
+
+
 def _segment(token: Column, length: Column, i: Column, shift: Column) -> Column:
-    """Key of segment i of a word of ``length``, cut from ``token`` at its place plus ``shift``.
+    """Quarter i of a word of ``length``, cut from ``token`` at its place plus ``shift``; null where it would not
+    lie inside the token."""
+    quarter = F.floor(length / 4).cast("int")
+    size = F.when(i < 3, quarter).otherwise(length - quarter * 3)
+    start = quarter * i + 1 + shift
+    return F.when((start >= 1) & (start + size - 1 <= F.length(token)), F.substring(token, start, size))
 
-    Null when the segment would not lie inside the token.
-    """
-    third = F.floor(length / 3).cast("int")
-    size = F.when(i < 2, third).otherwise(length - third * 2)
-    start = third * i + 1 + shift
-    key = F.concat_ws("/", F.lit("part"), i.cast("string"), length.cast("string"), F.substring(token, start, size))
-    return F.when((start >= 1) & (start + size - 1 <= F.length(token)), key)
+
+def _pair_key(token: Column, i: int, j: int, gap: Column, shift_i: Column, shift_j: Column) -> Column:
+    length = F.length(token) + gap
+    first, second = _segment(token, length, F.lit(i), shift_i), _segment(token, length, F.lit(j), shift_j)
+    # concat, unlike concat_ws, is null where a part is.
+    return F.concat(F.lit(f"part/{i}{j}/"), length.cast("string"), F.lit("/"), first, F.lit("/"), second)
 
 
 def _own_segments(token: Column) -> Column:
-    return F.transform(_ints(0, 1, 2), lambda i: _segment(token, F.length(token), i, F.lit(0)))
+    none = F.lit(0)
+    return F.array(*[_pair_key(token, i, j, none, none, none) for i, j in _PAIRS])
 
 
 def _sought_segments(token: Column) -> Column:
-    """Where the three segments of a word within two edits may lie in ``token``."""
-    near = _ints(-2, -1, 0, 1, 2)
-    keys = F.flatten(
-        F.transform(
-            near,
-            lambda gap: F.flatten(
-                F.transform(
-                    _ints(0, 1, 2),
-                    lambda i: F.transform(near, lambda shift: _segment(token, F.length(token) + gap, i, shift)),
-                )
-            ),
-        )
-    )
-    return F.array_distinct(F.array_compact(keys))
+    """Where two quarters of a word within two edits may lie in ``token``: two edits leave two of them whole."""
+    moves = F.array(*[_ints(*m) for m in _MOVES])
+
+    def of_pair(i: int, j: int) -> Column:
+        return F.transform(moves, lambda m: _pair_key(token, i, j, m[0], m[1], m[2]))
+
+    return F.array_distinct(F.array_compact(F.concat(*[of_pair(i, j) for i, j in _PAIRS])))
 
 
 def _signatures(token: Column, seeking: bool) -> Column:
@@ -115,7 +124,7 @@ def fuzzy_token_join(left: DataFrame, right: DataFrame, by: Sequence[str] = ())
 
     Every rule of agreement is turned into shared keys, so this is an equi-join: equal words share
     the word; a root and its longer form share the root; words within one or two edits share what
-    is left after as many deletions, or, when long, one of three segments. No rule is missed, and
+    is left after as many deletions, or, when long, two of four segments. No rule is missed, and
     each candidate is checked, so the result is exact.
     """
     keys = [*by, "_sig"]

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ..functions.constants import MATCH_THRESHOLD
 from ..functions.similarity import sizes_can_reach, token_set_score, tokens_agree
 from ..functions.size import extract_size
-from ..functions.text import default_brand, tokenize_title
+from ..functions.text import brand_key, default_brand, tokenize_title
 from ..session import settle
 from .category import distinct_texts, false_positive_filter, resolve_category, resolve_texts
 from .fuzzy import fuzzy_token_join
@@ -47,7 +47,7 @@ def block_key(brand: Column, size_value: Column, size_unit: Column, pack_quantit
         pack_quantity.cast("string"),
         F.coalesce(size_value.cast("decimal(18,4)").cast("string"), F.lit("")),
         F.coalesce(size_unit, F.lit("")),
-        F.lower(F.rtrim(brand)),
+        brand_key(brand),
     )
 
 

@@ -74,9 +74,11 @@ def rank_in_groups(
     large = sizes.filter(F.col("n") > task_rows).select(group, "n")
     total = large.agg(F.sum("n")).first()[0]
     if not total:
-        return df.withColumn(rank, F.row_number().over(by_group))
+        return df.withColumn(rank, F.row_number().over(by_group).cast("bigint"))
     keys = broadcast_if_small(large.select(group))
-    small_part = df.join(keys, [group], "left_anti").withColumn(rank, F.row_number().over(by_group))
+    small_part = df.join(keys, [group], "left_anti").withColumn(
+        rank, F.row_number().over(by_group).cast("bigint")
+    )
     ranged = settle_partitions(
         df.join(keys, [group], "left_semi")
         .repartitionByRange(math.ceil(total / task_rows), F.col(group), *order)
@@ -90,6 +92,6 @@ def rank_in_groups(
     before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = pieces.select(group, "_part", "_first", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
     numbered = placed.join(broadcast_if_small(starts), [group, "_part"]).withColumn(
-        rank, (F.col("_id") - F.col("_first") + F.col("_before") + 1).cast("int")
+        rank, (F.col("_id") - F.col("_first") + F.col("_before") + 1).cast("bigint")
     )
     return small_part.unionByName(numbered.select(*df.columns, rank))

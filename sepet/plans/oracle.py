@@ -36,6 +36,15 @@ SQL["search_sort"] = _with(
     "SELECT master_key, canonical_title, min(price) AS lowest_price FROM masters JOIN (SELECT master_key, price FROM products) USING (master_key) "
     "WHERE contains(lower(canonical_title), 'gear') OR contains(lower(brand), 'gear') GROUP BY ALL ORDER BY lowest_price DESC, master_key",
 )
+for _sort, _keys in {
+    "price_asc": "lowest_price, master_key",
+    "price_desc": "lowest_price DESC, master_key",
+    "name_asc": "canonical_title, master_key",
+    "name_desc": "canonical_title DESC, master_key",
+}.items():
+    SQL[f"search_order_{_sort}"] = (
+        f"SELECT master_key, canonical_title, lowest_price, row_number() OVER (ORDER BY {_keys}) AS place FROM ({_search()})"
+    )
 SQL["category_counts"] = _with(
     f"{p.CATEGORIES}, {p.MASTERS}",
     "SELECT id, name, slug, icon, count(master_key) AS product_count FROM categories LEFT JOIN masters ON category_id = id "
@@ -53,6 +62,8 @@ SQL["cheapest_offer_flag"] = _with(
     "SELECT master_key, source, external_id, price, row_number() OVER (PARTITION BY master_key ORDER BY price, source, external_id) = 1 AS is_cheapest FROM products",
 )
 
+SQL["cheapest_offer_flag_salted"] = SQL["cheapest_offer_flag"]
+
 # Unit prices and deals
 
 _OFFER = "category_id, source, external_id, canonical_title, brand, price, size_unit, total_size, round(price_per_unit, 6) AS price_per_unit"
@@ -85,6 +96,12 @@ SQL["deals_filter_sort"] = _with(
     p.DEALS,
     f"SELECT {_OFFER}, section, {_RANK} FROM sections WHERE {_CHOSEN} UNION ALL SELECT {_OFFER}, section, NULL FROM sections WHERE section = 'other'",
 )
+for _sort, _key in {"deals_sort_price": "price", "deals_sort_price_desc": "price DESC"}.items():
+    SQL[_sort] = _with(
+        p.DEALS,
+        f"SELECT {_OFFER}, section, row_number() OVER (PARTITION BY category_id ORDER BY section DESC, {_key}, source, external_id) AS place FROM sections",
+    )
+SQL["deals_ranked_split"] = SQL["deals_ranked"]
 SQL["deals_top3"] = _with(p.DEALS, f"SELECT * FROM (SELECT {_OFFER}, {_RANK} FROM sections WHERE section = 'primary') WHERE rank <= 3")
 
 # Text
@@ -217,6 +234,7 @@ def _sequential(source: str) -> str:
 
 
 SQL["assign_masters"] = f"WITH RECURSIVE {p.LISTING}, {_sequential('listing')} SELECT source, pos, master_key, founds FROM assigned"
+SQL["assign_masters_joined"], SQL["best_match_joined"] = SQL["assign_masters"], SQL["best_match"]
 SQL["match_products"] = f"""WITH RECURSIVE {RESOLVED}, kept AS (SELECT * FROM listing2 WHERE NOT dropped), {_sequential('kept')}
  SELECT 'link' AS kind, source || '/' || external_id AS item, arg_max(master_key, k) AS master_key, NULL AS category_id FROM assigned GROUP BY source, external_id
  UNION ALL SELECT 'master', master_title, master_key, first(category_id ORDER BY k) FILTER (category_id IS NOT NULL) FROM assigned GROUP BY master_title, master_key"""

@@ -82,6 +82,31 @@ def search_sort(spark, sf_dir):
     return found.select("master_key", "canonical_title", "lowest_price")
 
 
+def _search_order(spark: SparkSession, sf_dir: str, sort: str | None) -> DataFrame:
+    found = catalog.search_places(catalog.product_search(*_catalog(spark, sf_dir), sort=sort), sort)
+    return found.select("master_key", "canonical_title", "lowest_price", "place")
+
+
+@register
+def search_order_price_asc(spark, sf_dir):
+    return _search_order(spark, sf_dir, "price_asc")
+
+
+@register
+def search_order_price_desc(spark, sf_dir):
+    return _search_order(spark, sf_dir, "price_desc")
+
+
+@register
+def search_order_name_asc(spark, sf_dir):
+    return _search_order(spark, sf_dir, None)
+
+
+@register
+def search_order_name_desc(spark, sf_dir):
+    return _search_order(spark, sf_dir, "name_desc")
+
+
 @register
 def category_counts(spark, sf_dir):
     return catalog.category_counts(views.categories(spark), views.masters(spark, sf_dir))
@@ -99,6 +124,16 @@ def cheapest_offer_flag(spark, sf_dir):
     )
 
 
+#: Bounds so small that the ways for very large groups are taken on the sample tables too.
+SMALL_TASK, NO_FOLD = 500, 0
+
+
+@register
+def cheapest_offer_flag_salted(spark, sf_dir):
+    flagged = catalog.cheapest_offer_flag(views.products(spark, sf_dir), task_rows=2)
+    return flagged.select("master_key", "source", "external_id", "price", "is_cheapest")
+
+
 # Unit prices and deals
 
 
@@ -127,12 +162,15 @@ def price_display(spark, sf_dir):
     )
 
 
-def _sections(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    offers = settle(deals.deals_offers(*_catalog(spark, sf_dir)))
+def _sections(spark: SparkSession, sf_dir: str, *columns: str) -> tuple[DataFrame, DataFrame]:
+    """Offers by section, and statistics; the offers are written once, with these columns only if some are given."""
+    offers = deals.deals_offers(*_catalog(spark, sf_dir))
+    offers = settle(offers.select(*columns) if columns else offers)
     stats = settle(deals.family_stats(offers))
     return deals.split_sections(offers, stats), stats
 
 
+_DEAL = ["category_id", "source", "external_id", "canonical_title", "brand", "price", "size_unit", "total_size", "price_per_unit", "family"]
 _OFFER = ["category_id", "source", "external_id", "canonical_title", "brand", "price", "size_unit"]
 
 
@@ -164,12 +202,17 @@ def deals_median_cap(spark, sf_dir):
 
 @register
 def deals_ranked(spark, sf_dir):
-    return _offer(deals.deals_ranked(*_sections(spark, sf_dir)), "rank")
+    return _offer(deals.deals_ranked(*_sections(spark, sf_dir, *_DEAL)), "rank")
+
+
+@register
+def deals_ranked_split(spark, sf_dir):
+    return _offer(deals.deals_ranked(*_sections(spark, sf_dir, *_DEAL), task_rows=SMALL_TASK), "rank")
 
 
 @register
 def deals_other_units(spark, sf_dir):
-    return _offer(deals.deals_other_units(_sections(spark, sf_dir)[0]))
+    return _offer(deals.deals_other_units(_sections(spark, sf_dir, *_DEAL)[0]))
 
 
 @register
@@ -179,18 +222,33 @@ def deals_by_category(spark, sf_dir):
 
 @register
 def deals_brand_facet(spark, sf_dir):
-    return deals.deals_brand_facet(_sections(spark, sf_dir)[0])
+    return deals.deals_brand_facet(_sections(spark, sf_dir, "category_id", "family", "total_size", "brand")[0])
 
 
 @register
 def deals_filter_sort(spark, sf_dir):
-    sections, stats = _sections(spark, sf_dir)
+    sections, stats = _sections(spark, sf_dir, *_DEAL)
     return _offer(deals.deals_filter_sort(sections, stats, ["Brand#3", "Brand#7", "Unknown"]), "section", "rank")
 
 
+def _sorted_deals(spark: SparkSession, sf_dir: str, sort_by: str) -> DataFrame:
+    found = deals.deals_filter_sort(*_sections(spark, sf_dir, *_DEAL), sort_by=sort_by)
+    return _offer(deals.deals_places(found, sort_by), "section", "place")
+
+
+@register
+def deals_sort_price(spark, sf_dir):
+    return _sorted_deals(spark, sf_dir, "price")
+
+
+@register
+def deals_sort_price_desc(spark, sf_dir):
+    return _sorted_deals(spark, sf_dir, "priceDesc")
+
+
 @register
 def deals_top3(spark, sf_dir):
-    return _offer(deals.deals_top(_sections(spark, sf_dir)[0]), "rank")
+    return _offer(deals.deals_top(_sections(spark, sf_dir, *_DEAL)[0]), "rank")
 
 
 # Text
@@ -424,6 +482,19 @@ def best_match(spark, sf_dir):
     return found.select("source", "seq.pos", "master_key", F.round("score", 9).alias("score"))
 
 
+@register
+def best_match_joined(spark, sf_dir):
+    stored = match.prepare_masters(views.stored_masters(spark, sf_dir))
+    found = match.best_match(_prepared(spark, sf_dir), stored, fold_limit=NO_FOLD)
+    return found.select("source", "seq.pos", "master_key", F.round("score", 9).alias("score"))
+
+
+@register
+def assign_masters_joined(spark, sf_dir):
+    found = match.assign_masters(_prepared(spark, sf_dir), fold_limit=NO_FOLD)
+    return found.select("source", "seq.pos", "master_key", "founds")
+
+
 @register
 def assign_masters(spark, sf_dir):
     found = match.assign_masters(_prepared(spark, sf_dir))

@@ -21,7 +21,9 @@ class TableStore:
         """The last committed version."""
         try:
             commits = self.spark.read.schema("version bigint").parquet(f"{self.root}/commits")
-        except AnalysisException:
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
             return None
         return commits.agg(F.max("version")).first()[0]
 

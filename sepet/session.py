@@ -30,14 +30,17 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, **conf:
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and state.
 
-    It is the one the cluster names in ``spark.checkpoint.dir``. Only where that is unset, as in
-    tests on one machine, a new local folder is made and set.
+    It is the one the cluster names in ``spark.checkpoint.dir``. Where that is unset, a new local
+    folder is made and set if all executors run on this machine inside the driver; on a cluster that
+    would lose rows without an error, so there the setting must be given.
     """
     named = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
     if named:
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(named)
         return named
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError(f"set {CHECKPOINT_CONF} to a folder that the driver and all executors share")
     own = tempfile.mkdtemp(prefix="sepet-")
     spark.sparkContext.setCheckpointDir(own)
     return own
