@@ -238,8 +238,8 @@ def _by_block(df: DataFrame) -> DataFrame:
 
 
 def _fold_blocks(shapes: DataFrame, threshold: float) -> DataFrame:
-    """Leaders and records of blocks that fit one row each."""
-    entry = F.struct("ord", "key", "sig", _tokens(F.col("sig")).alias("tokens"), "fixed")
+    """Records of the shapes asked for, of blocks that fit one row each."""
+    entry = F.struct("ord", "key", "sig", _tokens(F.col("sig")).alias("tokens"), "fixed", "asked")
 
     def step(leaders: Column, shape: Column) -> Column:
         taken = F.exists(
@@ -249,9 +249,12 @@ def _fold_blocks(shapes: DataFrame, threshold: float) -> DataFrame:
 
     blocks = _by_block(shapes).groupBy("block").agg(F.array_sort(F.collect_list(entry)).alias("shapes"))
     led = blocks.withColumn("leaders", F.aggregate("shapes", F.slice("shapes", 1, 0), step))
-    return led.select("block", "leaders", F.explode("shapes").alias("s")).select(
-        "block", "s.sig", _records(F.col("leaders"), F.col("s.tokens"), threshold).alias("records")
+    # Inside the row, so that the leaders are not copied for every shape.
+    answers = F.transform(
+        F.filter("shapes", lambda s: s["asked"]),
+        lambda s: F.struct(s["sig"].alias("sig"), _records(F.col("leaders"), s["tokens"], threshold).alias("records")),
     )
+    return led.select("block", F.explode(answers).alias("a")).select("block", "a.sig", "a.records")
 
 
 def _independent(batch: DataFrame, threshold: float) -> DataFrame:
@@ -306,7 +309,7 @@ def _greedy_founders(stored: DataFrame, undecided: DataFrame, threshold: float,
 
 
 def _join_blocks(shapes: DataFrame, threshold: float, first_batch: int) -> DataFrame:
-    """Records of blocks of any size, by joins."""
+    """Records of the shapes asked for, of blocks of any size, by joins."""
     heads = shapes.groupBy("block").agg(
         F.min(F.struct("ord", "key", "sig")).alias("head"),
         # A block has one shape without tokens at most; it matches everything.
@@ -321,10 +324,11 @@ def _join_blocks(shapes: DataFrame, threshold: float, first_batch: int) -> DataF
     open_shapes = full.filter(~F.col("fixed") & (F.col("blank").isNull() | (F.col("ord") < F.col("blank.ord"))))
     founders = _greedy_founders(stored, open_shapes.select(*SHAPE, "ord"), threshold, first_batch)
     leaders = full.select(*SHAPE, "ord", "key").join(stored.unionByName(founders), SHAPE, "left_semi")
-    by_shape = match_pairs(leaders, full, threshold).join(
+    wanted = full.filter("asked")
+    by_shape = match_pairs(leaders, wanted, threshold).join(
         leaders.withColumnRenamed("sig", "l_sig"), ["block", "l_sig"]
     ).select(*SHAPE, "score", "ord", "key")
-    by_blank = full.filter(F.col("blank").isNotNull()).select(
+    by_blank = wanted.filter(F.col("blank").isNotNull()).select(
         *SHAPE, F.lit(1.0).alias("score"), "blank.ord", "blank.key"
     )
     # The oldest leader per score is enough, which bounds the list by the number of scores.
@@ -338,7 +342,7 @@ def _join_blocks(shapes: DataFrame, threshold: float, first_batch: int) -> DataF
     )
     # A shape without tokens takes the oldest leader of its block: nothing scores above 1.
     first_record = F.struct("head.ord", "head.key", F.lit(1.0).alias("score"))
-    blanks = shapes.filter(F.col("sig") == "").join(heads, "block").select(*SHAPE, F.array(first_record).alias("records"))
+    blanks = shapes.filter("asked").filter(F.col("sig") == "").join(heads, "block").select(*SHAPE, F.array(first_record).alias("records"))
     return records.unionByName(blanks)
 
 
@@ -426,16 +430,20 @@ def assign_masters(
 ) -> DataFrame:
     """Prepared listings with size, ``master_key`` and ``founds`` (true where a listing founds its master).
 
-    Titles whose numbers do not fit get no master. Otherwise equal to handling the appearances one after the other in order.
+    Titles whose numbers do not fit get no master. Otherwise equal to handling the appearances one after the other
+    in order. Of stored masters only those in blocks of these listings are compared, and only the listings' own
+    token sets are looked up, so the work follows the listings and not the masters.
     """
     titles = settle(parse_titles(listings))
-    found = titles.filter("size_ok").select(*SHAPE, "first.ord", "first.key")
+    found = titles.filter("size_ok").select(*SHAPE, "first.ord", "first.key", F.lit(True).alias("asked"))
     if masters is not None:
-        found = masters.select(*SHAPE, "ord", F.col("master_key").alias("key")).unionByName(found)
+        touched = broadcast_if_small(settle(found.select("block").distinct()))
+        stored = masters.join(touched, "block", "left_semi")
+        found = stored.select(*SHAPE, "ord", F.col("master_key").alias("key"), F.lit(False).alias("asked")).unionByName(found)
     shapes = settle(
         found.groupBy(*SHAPE)
-        .agg(F.min(F.struct("ord", "key")).alias("first"))
-        .select(*SHAPE, "first.ord", "first.key", (F.col("first.ord.is_new") == 0).alias("fixed"))
+        .agg(F.min(F.struct("ord", "key")).alias("first"), F.max("asked").alias("asked"))
+        .select(*SHAPE, "first.ord", "first.key", (F.col("first.ord.is_new") == 0).alias("fixed"), "asked")
     )
     few, many = _split(shapes, shapes, fold_limit)
     records = _fold_blocks(few, threshold)

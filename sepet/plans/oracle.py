@@ -234,6 +234,7 @@ def _sequential(source: str) -> str:
 
 
 SQL["assign_masters"] = f"WITH RECURSIVE {p.LISTING}, {_sequential('listing')} SELECT source, pos, master_key, founds FROM assigned"
+SQL["assign_masters_stored"] = SQL["assign_masters"] + " WHERE run_ts >= TIMESTAMP '1996-01-01'"
 SQL["assign_masters_joined"], SQL["best_match_joined"] = SQL["assign_masters"], SQL["best_match"]
 SQL["match_products"] = f"""WITH RECURSIVE {RESOLVED}, kept AS (SELECT * FROM listing2 WHERE NOT dropped), {_sequential('kept')}
  SELECT 'link' AS kind, source || '/' || external_id AS item, arg_max(master_key, k) AS master_key, NULL AS category_id FROM assigned GROUP BY source, external_id

@@ -501,6 +501,17 @@ def assign_masters(spark, sf_dir):
     return found.select("source", "seq.pos", "master_key", "founds")
 
 
+@register
+def assign_masters_stored(spark, sf_dir):
+    """A second run: the masters that the listings of the first years left, then the listings after."""
+    listings, turn = views.listings(spark, sf_dir), F.lit("1996-01-01").cast("timestamp")
+    first = match.assign_masters(match.prepare_listings(listings.filter(F.col("run_ts") < turn)))
+    stored = settle(match.new_masters(first.withColumn("category_id", F.lit(None).cast("int"))))
+    later = match.prepare_listings(listings.filter(F.col("run_ts") >= turn))
+    found = match.assign_masters(later, match.prepare_masters(stored))
+    return found.select("source", "seq.pos", "master_key", "founds")
+
+
 @register
 def match_products(spark, sf_dir):
     found = match.match_products(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sepet import session
 from sepet.functions.text import brand_key
-from sepet.operators import catalog, fuzzy, skew
+from sepet.operators import catalog, fuzzy, match, skew
 from sepet.plans.store import TableStore
 
 
@@ -111,3 +111,23 @@ def _candidates(spark, n):
 
 def test_codes_with_a_common_beginning_give_few_candidates(spark):
     assert _candidates(spark, 2_000) <= 400 and _candidates(spark, 4_000) <= 800
+
+
+def test_masters_of_untouched_blocks_are_not_compared(spark, monkeypatch):
+    stored = spark.createDataFrame(
+        [(f"m{k}", f"Makarna {k} burgu 500 Gr", f"brand{k}", 500.0, "G", 1, k) for k in range(6)],
+        "master_key string, canonical_title string, brand string, v double, size_unit string, pack_quantity int, pos long",
+    ).select(
+        "master_key", "canonical_title", "brand", F.col("v").cast("decimal(18,4)").alias("size_value"), "size_unit", "pack_quantity",
+        F.struct(F.lit("2020-01-01").cast("timestamp").alias("run_ts"), F.struct(F.lit(0).alias("term_pos"), F.lit(0).alias("source_pos"), "pos").alias("seq")).alias("founded_order"),
+    )
+    new = spark.createDataFrame(
+        [("a", 1, "Makarna burgu 500 Gr", "brand2"), ("a", 2, "Bulgur 1 KG", "brand9")],
+        "source string, external_id long, title string, brand string",
+    ).select("*", F.lit("2024-01-01").cast("timestamp").alias("run_ts"), F.struct(F.lit(0).alias("term_pos"), F.lit(0).alias("source_pos"), F.col("external_id").alias("pos")).alias("seq"))
+    seen = []
+    fold = match._fold_blocks
+    monkeypatch.setattr(match, "_fold_blocks", lambda shapes, threshold: seen.append({(r["block"], r["asked"]) for r in shapes.collect()}) or fold(shapes, threshold))
+    out = match.assign_masters(match.prepare_listings(new), match.prepare_masters(stored)).collect()
+    assert {r["external_id"]: (r["master_key"] == "m2", r["founds"]) for r in out} == {1: (True, False), 2: (False, True)}
+    assert len({b for b, _ in seen[0]}) == 2 and sum(a for _, a in seen[0]) == 2
