@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.maintain import link_update, rawmap_append, review_enqueue, run_counts, upsert_latest
 from ..operators.match import match_products
-from ..session import settle
+from ..session import settle, settling
 from ..sources.feeds import good_listings, quarantine, union_parsed
 from ..sources.layouts import ACTIVE
 from .store import TableStore
@@ -69,6 +69,7 @@ def ingest_into(
     state = {name: store.read(name) for name in ("products", "masters", "raw_map", "queue")}
     state["raw_map"] = first_raw_map if state["raw_map"] is None else state["raw_map"]
     state["queue"] = first_queue if state["queue"] is None else state["queue"]
-    store.commit(
-        version, ingest_run(feeds, **state, categories=categories, keyword_map=keyword_map, sources=sources, **options)
-    )
+    with settling(store.spark):
+        after = ingest_run(feeds, **state, categories=categories, keyword_map=keyword_map, sources=sources, **options)
+        store.commit(version, after)
+    store.expire(after)

@@ -313,3 +313,4 @@ SQL["stream_upsert"] = """WITH last AS (SELECT *, row_number() OVER (PARTITION B
  SELECT event_type AS source, user_id AS external_id, 'k ' || k AS title, value AS price, value AS regular_price,
  CASE WHEN k % 2 = 0 THEN 'even' END AS source_category, 'http://event/' || first_id AS product_url,
  strftime(ts, '%Y-%m-%d %H:%M:%S') AS last_updated FROM last WHERE rn = 1"""
+SQL["stream_ingest"] = SQL["ingest_run"]

@@ -634,6 +634,27 @@ def ingest_run(spark, sf_dir):
     )
 
 
+@register
+def stream_ingest(spark, sf_dir):
+    """Landed feeds through the whole run, as micro-batches into a store."""
+    landing = new_shared_path(spark, "landing")
+    views.raw_feed(spark, sf_dir, ACTIVE).write.parquet(landing)
+    store = TableStore(spark, new_shared_path(spark, "stream-ingest"))
+    ingest_stream.stream_ingest(
+        ingest_stream.feed_stream(spark, landing),
+        store,
+        views.categories(spark),
+        views.keyword_map(spark),
+        views.raw_map(spark),
+        views.queue_seed(spark),
+        once=True,
+    ).awaitTermination()
+    named = store.read("masters").select("master_key", "category_id")
+    return store.read("products").join(named, "master_key").select(
+        "source", "external_id", "title", "price", "product_url", "master_key", "category_id"
+    )
+
+
 @register
 def stream_upsert(spark, sf_dir):
     store = TableStore(spark, new_shared_path(spark, "stream-upsert"))

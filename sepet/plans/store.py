@@ -7,10 +7,14 @@ the last version in force and is simply repeated.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import delete_path
+
 
 class TableStore:
     def __init__(self, spark: SparkSession, root: str):
@@ -41,3 +45,11 @@ class TableStore:
             df.write.mode("overwrite").parquet(f"{self.root}/{name}/version={version}")
         done = self.spark.range(1).select(F.lit(version).cast("bigint").alias("version"))
         done.write.mode("append").parquet(f"{self.root}/commits")
+
+    def expire(self, tables: Iterable[str], keep: int = 3) -> None:
+        """Delete versions older than the last ``keep``, which readers may still be at."""
+        at = self.version()
+        old = [] if at is None else range(max(1, at - keep - 8), at - keep + 1)
+        for name in tables:
+            for version in old:
+                delete_path(self.spark, f"{self.root}/{name}/version={version}")

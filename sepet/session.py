@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,13 +54,35 @@ def new_shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+_SCOPE: ContextVar[str | None] = ContextVar("settled tables", default=None)
+
+
+@contextmanager
+def settling(spark: SparkSession) -> Iterator[None]:
+    """Tables settled inside are deleted at the end; what is made of them must be written before that."""
+    folder = new_shared_path(spark, "run")
+    before = _SCOPE.set(folder)
+    try:
+        yield
+    finally:
+        _SCOPE.reset(before)
+        delete_path(spark, folder)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder on whatever file system it lies."""
+    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jvm_path, True)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Compute ``df`` once and cut its lineage: written to the shared folder and read back.
 
     A table rather than a checkpoint: readers prune columns, and its size is known, so Spark
     broadcasts it only when it is small.
     """
-    path = new_shared_path(df.sparkSession, "settled")
+    scope = _SCOPE.get()
+    path = f"{scope}/{uuid.uuid4().hex}" if scope else new_shared_path(df.sparkSession, "settled")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -131,3 +131,18 @@ def test_masters_of_untouched_blocks_are_not_compared(spark, monkeypatch):
     out = match.assign_masters(match.prepare_listings(new), match.prepare_masters(stored)).collect()
     assert {r["external_id"]: (r["master_key"] == "m2", r["founds"]) for r in out} == {1: (True, False), 2: (False, True)}
     assert len({b for b, _ in seen[0]}) == 2 and sum(a for _, a in seen[0]) == 2
+
+
+def test_settled_tables_of_a_run_go_with_it(spark, tmp_path):
+    with session.settling(spark):
+        kept = session.settle(spark.range(5))
+        folder = kept.inputFiles()[0].rsplit("/", 2)[0]
+        assert kept.count() == 5
+    from pathlib import Path
+
+    assert not Path(folder.removeprefix("file:").replace("//", "/")).exists()
+    store = TableStore(spark, str(tmp_path))
+    for version in range(1, 7):
+        store.commit(version, {"t": spark.range(version)})
+    store.expire(["t"], keep=2)
+    assert sorted(p.name for p in (tmp_path / "t").iterdir()) == ["version=5", "version=6"] and store.read("t").count() == 6
