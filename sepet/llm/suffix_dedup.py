@@ -108,6 +108,9 @@ def unpack(run: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _anchor_rows(window: int, gram: int):
+    """Runs of texts: one row for all equal runs of a lot of texts, the first with its place, others in ``rest``."""
+    names = ["gram", "digest", "ident", "run", "rest"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, size = [], 0
@@ -118,17 +121,38 @@ def _anchor_rows(window: int, gram: int):
                 first, last, place, grams = anchors(np.frombuffer(raw, np.uint8), window, gram)
                 digest = hashlib.blake2b
                 whole = b"".join([digest(raw[a:b], digest_size=8).digest() for a, b in zip(first.tolist(), (last + window).tolist(), strict=True)])
-                rows.append((np.full(len(first), ident), grams, np.frombuffer(whole, np.int64), pack(first, last, place, tag)))
+                rows.append((grams, np.frombuffer(whole, np.int64), np.full(len(first), ident), pack(first, last, place, tag)))
                 size += len(first)
                 if size > 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*rows, strict=True)], ["ident", "gram", "digest", "run"])
+                    yield folded(rows)
                     rows, size = [], 0
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*rows, strict=True)], ["ident", "gram", "digest", "run"])
+                yield folded(rows)
+
+    def folded(rows: list[tuple]) -> pa.RecordBatch:
+        grams, digests, idents, runs = (np.concatenate(x) for x in zip(*rows, strict=True))
+        order = np.lexsort((digests, grams))
+        grams, digests, idents, runs = grams[order], digests[order], idents[order], runs[order]
+        new = np.flatnonzero(np.concatenate(([True], (grams[1:] != grams[:-1]) | (digests[1:] != digests[:-1]))))
+        many = np.diff(np.append(new, len(grams)))
+        rest: list[bytes | None] = [None] * len(new)
+        for k in np.flatnonzero(many > 1).tolist():
+            at = slice(new[k] + 1, new[k] + many[k])
+            rest[k] = np.stack((idents[at], runs[at]), 1).tobytes()
+        return pa.RecordBatch.from_arrays([*(pa.array(x[new]) for x in (grams, digests, idents, runs)), pa.array(rest, pa.binary())], names)
 
     return run
 
 
+def _unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The runs of ``rest``, one row each."""
+    for batch in batches:
+        both = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int64).reshape(-1, 2)
+        for at in range(0, len(both), 50_000):
+            part = both[at : at + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part[:, 0]), pa.array(part[:, 1])], ["ident", "run"])
+
+
 class SuffixSorter:
     """Merge sort of string starts by their first ``window`` bytes, inside classes, all classes at once.
 
@@ -333,8 +357,8 @@ def remove_repeats(df: DataFrame, text: str, ident: str, window: int = WINDOW, g
     the window stay. An empty table gives an empty result. Rows are told apart by ident and a tag of the text,
     so equal or null idents do no harm.
 
-    Text is shuffled to meet the runs to be cut from it and the spans to be removed; all else are rows of four
-    numbers. Groups that one anchor gathers are sorted in memory-bounded batches; under anchors with more than
+    Text is shuffled to meet the runs to be cut from it and the spans to be removed; all else are rows of some
+    numbers. Equal runs of one lot of texts, as periodic texts have them, are one row. Groups that one anchor gathers are sorted in memory-bounded batches; under anchors with more than
     ``HOT_RUNS`` runs every string is dealt by its own hash instead.
     """
     assert gram <= window <= gram + 255
@@ -343,19 +367,22 @@ def remove_repeats(df: DataFrame, text: str, ident: str, window: int = WINDOW, g
     docs = df.select(
         col(ident).cast("bigint").alias("own"), F.coalesce(col(ident).cast("bigint"), F.xxhash64(raw)).alias("ident"), tag.alias("tag"), raw.alias("raw")
     )
-    runs = docs.select("ident", "tag", "raw").mapInArrow(_anchor_rows(window, gram), "ident bigint, gram bigint, digest bigint, run bigint")
+    runs = docs.select("ident", "tag", "raw").mapInArrow(
+        _anchor_rows(window, gram), "gram bigint, digest bigint, ident bigint, run bigint, rest binary"
+    )
     same = Window.partitionBy("gram").orderBy("digest")
     whole = same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     judged = runs.select(
-        "ident", "gram", "run",
+        "ident", "gram", "run", "rest",
         F.coalesce(F.lag("digest").over(same) == F.col("digest"), F.lit(False)).alias("again"),
-        F.coalesce(F.lead("digest").over(same) == F.col("digest"), F.lit(False)).alias("more"),
+        (F.col("rest").isNotNull() | F.coalesce(F.lead("digest").over(same) == F.col("digest"), F.lit(False))).alias("more"),
         (F.first("digest").over(whole) != F.last("digest").over(whole)).alias("mixed"),
         (F.count(F.lit(1)).over(whole) > HOT_RUNS).alias("hot"),
     )
     judged = settle(judged.filter("again or more or mixed"))
     row_tag = F.shiftright("run", 48).alias("tag")
-    full = judged.filter("again or more").select("ident", "run")
+    rest = judged.filter("rest is not null").select("rest").mapInArrow(_unfold, "ident bigint, run bigint")
+    full = judged.filter("again or more").select("ident", "run").unionByName(rest)
     wanted = (
         judged.filter("mixed and not again")
         .select("ident", row_tag, F.struct("gram", "run", "hot", (~F.col("more")).alias("alone")).alias("w"))
