@@ -22,6 +22,8 @@ LEAF = 256
 #: Bound of the sample that the upper levels are fitted on, and the least sample rows of a leaf.
 SAMPLE = 65_536
 SAMPLE_LEAF = 32
+#: Bound of the sample in numbers: wide vectors are fewer.
+SAMPLE_VALUES = 8_000_000
 #: Vectors of one component that a task compares with each other.
 BLOCK = 2_048
 
@@ -200,9 +202,9 @@ def link_vectors(
     different widths do not link. Equal vectors are one, compared once and counted as often as they stand. An
     empty table gives an empty result.
 
-    The upper levels of the trees are fitted on a sample of at most ``sample`` distinct vectors, taken by hash;
-    every vector is filed, in each tree in one or more leaves. A leaf that gathers more rows than the sample
-    foretold is split on by its own rows. Leaves give spanning forests, not pairs; connected components follow.
+    The upper levels of the trees are fitted on a sample of at most ``sample`` distinct vectors and
+    ``SAMPLE_VALUES`` numbers, taken by hash; every vector is filed, in each tree in one or more leaves. A leaf
+    that gathers more rows than the sample foretold is split on by its own rows. Leaves give spanning forests, not pairs; connected components follow.
     Links are then counted inside components, where all of them are, block against block. A large component
     is cut into blocks, so that no task holds it whole.
     """
@@ -218,7 +220,9 @@ def link_vectors(
         rows.filter("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.min("ident").alias("first"))
         .withColumn("rep", F.monotonically_increasing_id())
     )
-    drawn = reps.select("v", F.xxhash64("v").alias("h")).orderBy("h").limit(sample).select("v").toArrow()
+    widest = reps.agg(F.max(F.size("v"))).first()[0] or 1
+    bound = max(1, min(sample, SAMPLE_VALUES // widest))
+    drawn = reps.select("v", F.xxhash64("v").alias("h")).orderBy("h").limit(bound).select("v").toArrow()
     model = fit_forest(_array(drawn.combine_chunks(), 0), trees) if drawn.num_rows else {}
     filed = reps.select("rep", "v").mapInArrow(_assign(model, trees), "leaf bigint, rep bigint, v array<double>")
     edges = filed.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(_link(threshold), "a bigint, b bigint")
