@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.skew import TASK_ROWS, salted_join
 from ..session import settle
 from .common import col
 
@@ -26,7 +27,7 @@ GRAM = 48
 PIECE = 1 << 17
 #: Bytes of runs sorted at once in a task.
 SORT_BYTES = 1 << 20
-#: Under an anchor with more runs than this, strings are dealt by their own hash.
+#: Under an anchor with more runs than this, strings are compared by digest and not sorted.
 HOT_RUNS = 20_000
 
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -238,7 +239,7 @@ class SuffixSorter:
 
 
 def _cut_runs(window: int):
-    """Bytes of the runs to be sorted; under hot anchors every string on its own, dealt by its hash."""
+    """Bytes of the runs to be sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -247,17 +248,9 @@ def _cut_runs(window: int):
             for ident, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 raw = text.as_py()
                 for w in wanted.as_py():
-                    first, last, offset = (int(x) for x in unpack(np.int64(w["run"])))
-                    if w["hot"]:
-                        for s in range(first, last + 1):
-                            part = raw[s : s + window]
-                            deal = int.from_bytes(hashlib.blake2b(part, digest_size=8).digest(), "little", signed=True)
-                            alone = (w["run"] & ~0xFFFFFFFFFFFF) | s << 16 | max(0, offset - (s - first))
-                            rows.append((w["gram"] ^ deal, ident, alone, w["alone"], part))
-                            size += window
-                    else:
-                        rows.append((w["gram"], ident, w["run"], w["alone"], raw[first : last + window]))
-                        size += last + window - first
+                    first, last, _ = (int(x) for x in unpack(np.int64(w["run"])))
+                    rows.append((w["gram"], ident, w["run"], w["alone"], raw[first : last + window]))
+                    size += last + window - first
                     if size > 4_000_000:
                         yield _batch(rows)
                         rows, size = [], 0
@@ -273,6 +266,48 @@ def _cut_runs(window: int):
     return run
 
 
+def _string_digests(window: int):
+    """Every string of the runs as 128 bits of digest, for anchors with too many runs to be sorted together."""
+    names = ["high", "low", "ident", "run", "alone"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for ident, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                raw = text.as_py()
+                for w in wanted.as_py():
+                    first, last, _ = (int(x) for x in unpack(np.int64(w["run"])))
+                    tag = w["run"] & ~0xFFFFFFFFFFFF
+                    for s in range(first, last + 1):
+                        both = hashlib.blake2b(raw[s : s + window], digest_size=16).digest()
+                        high, low = (int.from_bytes(x, "little", signed=True) for x in (both[:8], both[8:]))
+                        rows.append((high, low, ident, tag | s << 16, w["alone"]))
+                    if len(rows) > 50_000:
+                        yield _batch(rows)
+                        rows = []
+            if rows:
+                yield _batch(rows)
+
+    def _batch(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (*(pa.int64(),) * 4, pa.bool_())
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    return run
+
+
+def repeated_strings(strings: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
+    """(ident, run) of those rows marked ``alone`` whose digest (high, low) another row has as well.
+
+    Digests are counted with map-side combine and marked by a join, which deals a digest of very many rows to
+    several places. ``strings`` is read twice.
+    """
+    keys = ["high", "low"]
+    counts = settle(strings.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    hot = counts.filter(F.col("n") > task_rows).select(*keys, F.ceil(F.col("n") / task_rows).cast("int").alias("_salts"))
+    marked = strings.filter("alone").select(*keys, "ident", "run")
+    return salted_join(marked, counts.select(*keys), keys, "left_semi", task_rows, hot).select("ident", "run")
+
+
 def _sort_runs(window: int):
     """Sorts the strings of runs group by group; rows come ordered by group, an unfinished one waits for more."""
 
@@ -358,8 +393,9 @@ def remove_repeats(df: DataFrame, text: str, ident: str, window: int = WINDOW, g
     so equal or null idents do no harm.
 
     Text is shuffled to meet the runs to be cut from it and the spans to be removed; all else are rows of some
-    numbers. Equal runs of one lot of texts, as periodic texts have them, are one row. Groups that one anchor gathers are sorted in memory-bounded batches; under anchors with more than
-    ``HOT_RUNS`` runs every string is dealt by its own hash instead.
+    numbers. Equal runs of one lot of texts, as periodic texts have them, are one row. Groups that one anchor gathers are
+    sorted in memory-bounded batches; under anchors with more than ``HOT_RUNS`` runs the strings are counted by
+    128-bit digest instead, so that no task holds all copies of a string.
     """
     assert gram <= window <= gram + 255
     raw: Column = F.coalesce(col(text).cast("binary"), F.lit(b""))
@@ -383,17 +419,20 @@ def remove_repeats(df: DataFrame, text: str, ident: str, window: int = WINDOW, g
     row_tag = F.shiftright("run", 48).alias("tag")
     rest = judged.filter("rest is not null").select("rest").mapInArrow(_unfold, "ident bigint, run bigint")
     full = judged.filter("again or more").select("ident", "run").unionByName(rest)
-    wanted = (
-        judged.filter("mixed and not again")
-        .select("ident", row_tag, F.struct("gram", "run", "hot", (~F.col("more")).alias("alone")).alias("w"))
-        .groupBy("ident", "tag")
-        .agg(F.collect_list("w").alias("wanted"))
-    )
-    cut = (
-        docs.select("ident", "tag", "raw").join(wanted.hint("shuffle_hash"), ["ident", "tag"]).select("ident", "raw", "wanted")
-        .mapInArrow(_cut_runs(window), "grp bigint, ident bigint, run bigint, alone boolean, raw binary")
-    )
+    texts = docs.select("ident", "tag", "raw")
+
+    def wanted(which: DataFrame) -> DataFrame:
+        asked = which.select("ident", row_tag, F.struct("gram", "run", (~F.col("more")).alias("alone")).alias("w"))
+        asked = asked.groupBy("ident", "tag").agg(F.collect_list("w").alias("wanted"))
+        return texts.join(asked.hint("shuffle_hash"), ["ident", "tag"]).select("ident", "raw", "wanted")
+
+    parts = judged.filter("mixed and not again")
+    cut = wanted(parts.filter("not hot")).mapInArrow(_cut_runs(window), "grp bigint, ident bigint, run bigint, alone boolean, raw binary")
     part = cut.repartition("grp").sortWithinPartitions("grp").mapInArrow(_sort_runs(window), "ident bigint, run bigint")
+    hot = parts.filter("hot")
+    if not hot.isEmpty():
+        digests = wanted(hot).mapInArrow(_string_digests(window), "high bigint, low bigint, ident bigint, run bigint, alone boolean")
+        part = part.unionByName(repeated_strings(settle(digests)))
     spans = full.unionByName(part).select("ident", row_tag, "run").groupBy("ident", "tag").agg(F.collect_set("run").alias("runs"))
     joined = docs.join(spans.hint("shuffle_hash"), ["ident", "tag"], "left")
     return joined.select("own", "raw", "runs").mapInArrow(

@@ -91,3 +91,26 @@ def test_colliding_hashes_are_noticed(monkeypatch):
     sorter = SuffixSorter(data, 4)
     monkeypatch.setattr(sorter.hashes, "of", lambda start, length: np.zeros(len(start), np.uint64))
     assert sorter.repeated(np.array([0, 4, 8, 12]), np.zeros(4, np.int64)).tolist() == [0, 12]
+
+
+@pytest.mark.parametrize("task_rows", [20, 2_000_000])
+def test_copies_of_a_string_under_a_hot_anchor_meet_in_no_task(docs_of, monkeypatch, task_rows):
+    rng = random.Random(8)
+    own = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    passage = own(90)
+    texts = [own(60) + passage + own(60) for _ in range(120)] + [passage, own(70)]
+    sort, mark = suffix_dedup._sort_runs, getattr(suffix_dedup, "repeated_strings", None)
+
+    def watched(window):
+        def run(batches):
+            kept = list(batches)
+            groups = collections.Counter(g for b in kept for g in b.column(0).to_pylist())
+            assert max(groups.values(), default=0) <= 50
+            yield from sort(window)(iter(kept))
+
+        return run
+
+    monkeypatch.setattr(suffix_dedup, "HOT_RUNS", 50)
+    monkeypatch.setattr(suffix_dedup, "_sort_runs", watched)
+    monkeypatch.setattr(suffix_dedup, "repeated_strings", lambda strings: mark(strings, task_rows), raising=False)
+    assert found(docs_of(texts), window=50, gram=16) == dict(enumerate(brute(texts, 50)))
