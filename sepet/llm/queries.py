@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..session import settle
 from .common import word_count
 from .decision_list import apply_rules, learn_rules, text_statistics
+from .hilbert import SHARDS, curve_shards
 from .license_scan import scan_licenses
 from .line_dedup import drop_boilerplate_lines, html_lines, url_host
 from .mixing import mix_sources
@@ -135,3 +136,17 @@ def op3_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(table(spark, sf_dir, "documents"), "text", "doc_id", held).select(
         F.col("ident").alias("doc_id"), F.col("held").alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
     )
+
+
+@query
+def op13_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in shards of equal bytes along a Hilbert curve over source, language and size."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    light = table(spark, sf_dir, "documents").select(
+        "doc_id", "source", "lang", (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text).alias("text_crc32")
+    )
+    placed = curve_shards(settle(light), ["source", "lang", "size"], F.col("size"), ["text_crc32", "doc_id"], SHARDS)
+    return placed.select(
+        "row.doc_id", "row.size", "row.text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"), "curve",
+    )

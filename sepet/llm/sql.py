@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import zlib
+
+from .hilbert import BITS, SHARDS, curve_states
 from .line_dedup import _BREAK, _HIDDEN, _TAG, LEAST_PAGES, RATIO
 
 BLANK_CHARS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -72,3 +75,48 @@ SELECT doc_id, source, CAST(size AS BIGINT) AS size, source_size, target,
             + greatest(0, least(size, budget - (budget // source_size) * source_size - before)) END AS BIGINT) AS taken
 FROM budgets
 """
+
+
+# The step of CRC-32 for each value of a byte.
+_CRC = [zlib.crc32(bytes([b ^ 255])) ^ 0xFF000000 for b in range(256)]
+_DIGIT, _AFTER = curve_states(3)
+_DIMS = ("source", "lang", "size")
+
+
+def _curve_steps() -> str:
+    """One CTE per bit, from the highest: digit and next state by the corner that the levels' bits name."""
+    ctes = ["walk0 AS (SELECT *, 0::BIGINT AS curve, 0 AS state FROM levels)"]
+    for k, bit in enumerate(reversed(range(BITS))):
+        corner = " + ".join(f"((l_{d} >> {bit}) & 1) * {1 << j}" for j, d in enumerate(_DIMS))
+        ctes.append(
+            f"walk{k + 1} AS (SELECT * EXCLUDE (curve, state), curve * 8 + {_DIGIT}[state * 8 + {corner} + 1] AS curve, "
+            f"{_AFTER}[state * 8 + {corner} + 1] AS state FROM walk{k})"
+        )
+    return ",\n".join(ctes)
+
+
+SQL["op13_hilbert_shards"] = f"""
+WITH bytes AS (
+    SELECT doc_id, source, lang, coalesce(text, '') AS t, octet_length(encode(coalesce(text, ''))) + 1 AS size,
+           list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: CAST(concat('0x', h) AS BIGINT)) AS b
+    FROM documents),
+sized AS (
+    SELECT doc_id, source, lang, size,
+           xor(list_reduce(list_prepend(4294967295::BIGINT, b),
+               lambda crc, x: xor(crc >> 8, list_extract({_CRC}, (xor(crc, x) & 255) + 1))), 4294967295::BIGINT) AS text_crc32
+    FROM bytes),
+levels AS (
+    SELECT *, {", ".join(f"((rank() OVER (ORDER BY {d} NULLS FIRST) - 1) * {1 << BITS}) // count(*) OVER () AS l_{d}" for d in _DIMS)}
+    FROM sized),
+{_curve_steps()},
+placed AS (
+    SELECT *, coalesce(sum(size) OVER (ORDER BY curve, text_crc32, doc_id NULLS FIRST
+                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+           sum(size) OVER () AS total
+    FROM walk{BITS}),
+cut AS (SELECT *, CAST(before * {SHARDS} // total AS INTEGER) AS shard FROM placed)
+SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'bytes' AS law, shard,
+       row_number() OVER (PARTITION BY shard ORDER BY curve, text_crc32, doc_id NULLS FIRST) - 1 AS slot,
+       CAST(NULL AS INTEGER) AS grown_shard, curve
+FROM cut
+"""
