@@ -11,6 +11,7 @@ from ..session import settle
 from .common import word_count
 from .decision_list import apply_rules, learn_rules, text_statistics
 from .hilbert import SHARDS, curve_shards
+from .lexical import search_items
 from .license_scan import scan_licenses
 from .line_dedup import drop_boilerplate_lines, html_lines, url_host
 from .mixing import mix_sources
@@ -150,3 +151,12 @@ def op13_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         "row.doc_id", "row.size", "row.text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"), "curve",
     )
+
+
+@query
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents of each benchmark item."""
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return search_items(docs, "text", "doc_id", items, "text", "item_id").select(
+        F.col("item").alias("item_id"), "rank", F.col("doc").alias("doc_id"), "score"
+    )

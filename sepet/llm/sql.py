@@ -120,3 +120,33 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'bytes' AS law, shard,
        CAST(NULL AS INTEGER) AS grown_shard, curve
 FROM cut
 """
+
+
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_FOLDED = "regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '" + _TERM + "')"
+
+SQL["op12_lexical_search"] = f"""
+WITH docs AS (
+    SELECT row_number() OVER () AS rid, doc_id, {_FOLDED.format("text")} AS words FROM documents WHERE text IS NOT NULL),
+held AS (SELECT rid, doc_id, words, len(words) AS n FROM docs WHERE len(words) > 0),
+corpus AS (SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(n) AS BIGINT) AS total FROM held),
+tf AS (
+    SELECT rid, doc_id, n, term, CAST(count(*) AS BIGINT) AS tf
+    FROM (SELECT rid, doc_id, n, unnest(words) AS term FROM held) GROUP BY ALL),
+weights AS (
+    SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE)) AS BIGINT) AS w
+    FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), corpus),
+items AS (
+    SELECT item_id, text, term, count(*) AS times
+    FROM (SELECT item_id, text, unnest({_FOLDED.format("text")}) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark))
+    GROUP BY ALL),
+scores AS (
+    SELECT i.item_id, i.text, tf.rid, tf.doc_id,
+           CAST(sum(i.times * w.w * ((1000000000 * tf.tf) // (1000 * tf.tf + 12 * (100 - 25 + (25 * tf.n * c.n_docs) // c.total))))
+                AS BIGINT) AS score
+    FROM items i JOIN weights w USING (term) JOIN tf USING (term), corpus c GROUP BY ALL),
+ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id NULLS LAST) AS rank
+    FROM scores WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
