@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..session import settle
 from .common import word_count
 from .decision_list import apply_rules, learn_rules, text_statistics
+from .hard_negatives import mine_negatives
 from .hilbert import SHARDS, curve_shards
 from .lexical import search_items
 from .license_scan import scan_licenses
@@ -160,3 +161,18 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search_items(docs, "text", "doc_id", items, "text", "item_id").select(
         F.col("item").alias("item_id"), "rank", F.col("doc").alias("doc_id"), "score"
     )
+
+
+@query
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth embedding and its positives; a seventh of the labels is changed."""
+    vectors, one = table(spark, sf_dir, "embeddings"), F.col("vec_id")
+    label = F.when(one % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_negatives(vectors, "embedding", label, "vec_id", one % 100 == 0).select(
+        F.col("anchor").alias("anchor_id"),
+        F.col("positive").alias("positive_id"),
+        "rank",
+        F.col("negative").alias("negative_id"),
+        "positive_score",
+        "negative_score",
+    )
