@@ -14,6 +14,7 @@ joins over agreeing tokens, so that no block is ever gathered in one task.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -112,12 +113,20 @@ def parse_titles(listings: DataFrame) -> DataFrame:
     )
 
 
+def with_shape(masters: DataFrame) -> DataFrame:
+    """Masters with their block and token set: as they are stored, or made from brand, size and title."""
+    if set(SHAPE) <= set(masters.columns):
+        return masters
+    return masters.withColumns(
+        {"block": block_key(*map(F.col, ("brand", *SIZE))), "sig": _sig(F.col("canonical_title"), F.col("brand"))}
+    )
+
+
 def prepare_masters(masters: DataFrame) -> DataFrame:
     """Block, token set and order of stored masters; needs ``founded_order`` (run_ts, seq)."""
-    return masters.select(
+    return with_shape(masters).select(
         "master_key",
-        block_key(*map(F.col, ("brand", *SIZE))).alias("block"),
-        _sig(F.col("canonical_title"), F.col("brand")).alias("sig"),
+        *SHAPE,
         order_key(0, F.col("founded_order.run_ts"), F.col("founded_order.seq")).alias("ord"),
     )
 
@@ -358,7 +367,7 @@ def _split(shapes: DataFrame, counted: DataFrame, fold_limit: int) -> tuple[Data
 def _with_master(listings: DataFrame, titles: DataFrame, records: DataFrame, task_rows: int) -> DataFrame:
     """Give each listing the last record founded no later than itself, and its title's size."""
     known = settle(titles.join(records, SHAPE, "left"))
-    joined = _by_title(listings, known, [*SIZE, "size_ok", "records"], task_rows)
+    joined = _by_title(listings, known, [*SIZE, "size_ok", *SHAPE, "records"], task_rows)
     last = F.filter("records", lambda r: r["ord"] <= F.col("ord"))
     return joined.withColumn("_best", F.get(last, F.size(last) - 1)).drop("records")
 
@@ -427,14 +436,16 @@ def assign_masters(
     fold_limit: int = FOLD_LIMIT,
     first_batch: int = FIRST_BATCH,
     task_rows: int = TASK_ROWS,
+    titles: DataFrame | None = None,
 ) -> DataFrame:
     """Prepared listings with size, ``master_key`` and ``founds`` (true where a listing founds its master).
 
     Titles whose numbers do not fit get no master. Otherwise equal to handling the appearances one after the other
     in order. Of stored masters only those in blocks of these listings are compared, and only the listings' own
-    token sets are looked up, so the work follows the listings and not the masters.
+    token sets are looked up, so the work follows the listings and not the masters. ``titles`` are the parsed titles of the
+    listings, where they are at hand.
     """
-    titles = settle(parse_titles(listings))
+    titles = settle(parse_titles(listings)) if titles is None else titles
     found = titles.filter("size_ok").select(*SHAPE, "first.ord", "first.key", F.lit(True).alias("asked"))
     if masters is not None:
         touched = broadcast_if_small(settle(found.select("block").distinct()))
@@ -458,7 +469,7 @@ def assign_masters(
 
 
 def new_masters(assigned: DataFrame) -> DataFrame:
-    """Masters founded in this run, carrying the founder's title, brand, size and category."""
+    """Masters founded in this run, carrying the founder's title, brand, size, category, block and token set."""
     return assigned.filter("founds").select(
         "master_key",
         F.col("title").alias("canonical_title"),
@@ -468,6 +479,7 @@ def new_masters(assigned: DataFrame) -> DataFrame:
         "pack_quantity",
         F.col("category_id").cast("int").alias("category_id"),
         F.struct("run_ts", "seq").alias("founded_order"),
+        *SHAPE,
     )
 
 
@@ -478,14 +490,15 @@ def last_links(assigned: DataFrame) -> DataFrame:
 
 def match_products(
     listings: DataFrame,
-    masters: DataFrame | None,
+    masters: DataFrame | Callable[[DataFrame], DataFrame | None] | None,
     categories: DataFrame,
     keyword_map: DataFrame,
     raw_map: DataFrame,
     queue: DataFrame,
     **options,
 ) -> dict[str, DataFrame]:
-    """The whole matching step of a run.
+    """The whole matching step of a run. ``masters`` may be a function that gives those of the blocks it is asked for;
+    only these come back then.
 
     Returns: ``assigned`` (kept listings with master), ``dropped`` (false positives), ``unmatched``
     (numbers in the title that do not fit), ``masters`` (old and new, categories filled in),
@@ -493,11 +506,15 @@ def match_products(
     """
     texts = settle(resolve_texts(distinct_texts(listings), categories, raw_map, queue))
     kept, dropped = false_positive_filter(settle(resolve_category(listings, keyword_map, texts)))
+    prepared = prepare_listings(kept)
+    titles = settle(parse_titles(prepared))
+    if callable(masters):
+        masters = masters(titles.select("block").distinct())
     stored = prepare_masters(masters) if masters is not None else None
-    placed = settle(assign_masters(prepare_listings(kept), stored, **options))
+    placed = settle(assign_masters(prepared, stored, titles=titles, **options))
     assigned = placed.filter("size_ok")
     founded = new_masters(assigned)
-    every = founded if masters is None else masters.select(*founded.columns).unionByName(founded)
+    every = founded if masters is None else with_shape(masters).select(*founded.columns).unionByName(founded)
     joined = assigned.filter(~F.col("founds")).select("master_key", "category_id", "run_ts", "seq")
     return {
         "assigned": assigned,

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.category import distinct_texts
 from ..operators.maintain import link_update, rawmap_append, review_enqueue, run_counts, upsert_latest
 from ..operators.match import match_products
 from ..session import settle, settling
@@ -28,6 +29,21 @@ def ingest_run(
 ) -> dict[str, DataFrame]:
     """New state of all tables, with this run's ``quarantine`` and ``counts``."""
     parsed = settle(union_parsed(feeds, sources))
+    return ingest_parsed(parsed, products, masters, raw_map, queue, categories, keyword_map, **options)
+
+
+def ingest_parsed(
+    parsed: DataFrame,
+    products: DataFrame | None,
+    masters: DataFrame | Callable[[DataFrame], DataFrame | None] | None,
+    raw_map: DataFrame,
+    queue: DataFrame,
+    categories: DataFrame,
+    keyword_map: DataFrame,
+    **options,
+) -> dict[str, DataFrame]:
+    """``ingest_run`` on parsed feeds. State tables may be parts that hold all that the listings ask for; what comes
+    back then is the new state of those parts. ``masters`` may be asked for by blocks."""
     listings = good_listings(parsed)
     matched = match_products(listings, masters, categories, keyword_map, raw_map, queue, **options)
     texts = matched["texts"]
@@ -62,14 +78,24 @@ def ingest_into(
     sources: Iterable[str] = ACTIVE,
     **options,
 ) -> None:
-    """Run on the current version of a store and commit the next; a committed run is not repeated."""
-    at = store.version()
-    if at is not None and version <= at:
+    """Run on the buckets of a store that the feeds touch; a committed run is not repeated."""
+    if not store.begin(version):
         return
-    state = {name: store.read(name) for name in ("products", "masters", "raw_map", "queue")}
-    state["raw_map"] = first_raw_map if state["raw_map"] is None else state["raw_map"]
-    state["queue"] = first_queue if state["queue"] is None else state["queue"]
     with settling(store.spark):
-        after = ingest_run(feeds, **state, categories=categories, keyword_map=keyword_map, sources=sources, **options)
+        parsed = settle(union_parsed(feeds, sources))
+        listings = good_listings(parsed)
+        texts = settle(distinct_texts(listings))
+        part = lambda name, rows: store.read(name, store.touched(name, rows))
+        raw_map, queue = part("raw_map", texts), part("queue", texts)
+        after = ingest_parsed(
+            parsed,
+            part("products", listings),
+            lambda blocks: part("masters", blocks),
+            first_raw_map if raw_map is None else raw_map,
+            first_queue if queue is None else queue,
+            categories,
+            keyword_map,
+            **options,
+        )
         store.commit(version, after)
-    store.expire(after)
+    store.expire()

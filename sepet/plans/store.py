@@ -1,55 +1,135 @@
-"""Versioned parquet tables: a run reads version n and writes version n + 1.
+"""State between runs, on plain Parquet: tables in hash buckets of a key, and per-run outputs in versions.
 
-Plain parquet has no MERGE, and a table cannot be rewritten while it is read. Every version is a
-folder of its own; a row in ``commits`` makes it the current one, so a run that dies half way leaves
-the last version in force and is simply repeated.
+A run reads and rewrites only the buckets that its keys fall into, by Spark's dynamic partition overwrite. Since that
+replaces files in place, a run first writes its new buckets aside; only when all are there it puts them in place. A
+run that dies before that changed nothing, one that dies while putting in place is finished from the copy by the next
+writer, and a run that is committed is not repeated.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Mapping, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import delete_path
+from ..session import delete_path, folder_names
+
+#: Buckets of a new store; about a gigabyte of the largest table in each is a good choice.
+BUCKETS = 64
+#: What the buckets of a table go by. Masters lie by block, since that is how they are looked up.
+KEYS: Mapping[str, Sequence[str]] = {
+    "products": ("source", "external_id"),
+    "masters": ("block",),
+    "raw_map": ("raw_text",),
+    "queue": ("raw_text",),
+}
+BUCKET = "bucket"
+#: An empty file in a bucket that no key has keeps the columns of a table without rows.
+NO_BUCKET = -1
 
 
 class TableStore:
-    def __init__(self, spark: SparkSession, root: str):
+    """Tables named in ``keys`` are kept in buckets, others in one folder per version."""
+
+    def __init__(self, spark: SparkSession, root: str, keys: Mapping[str, Sequence[str]] = KEYS, buckets: int = BUCKETS):
         self.spark = spark
         self.root = root.rstrip("/")
+        self.keys = keys
+        self._first_buckets = buckets
 
-    def version(self) -> int | None:
-        """The last committed version."""
+    def _committed(self) -> tuple[int | None, int | None]:
+        """Last committed version, and the number of buckets, which never changes."""
         try:
-            commits = self.spark.read.schema("version bigint").parquet(f"{self.root}/commits")
+            commits = self.spark.read.schema("buckets int, version bigint").parquet(f"{self.root}/commits")
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
+            return None, None
+        return tuple(commits.agg(F.max("version"), F.max("buckets")).first())
+
+    def version(self) -> int | None:
+        """The last committed version."""
+        return self._committed()[0]
+
+    def _bucket(self, name: str) -> Column:
+        buckets = self._committed()[1] or self._first_buckets
+        return F.pmod(F.xxhash64(*self.keys[name]), F.lit(buckets)).cast("int")
+
+    def touched(self, name: str, rows: DataFrame) -> list[int]:
+        """Buckets of a table that the keys of ``rows`` fall into: at most as many numbers as there are buckets."""
+        return [r[0] for r in rows.select(self._bucket(name)).distinct().collect()]
+
+    def read(self, name: str, buckets: Sequence[int] | None = None) -> DataFrame | None:
+        """Current state of a table, or the given buckets of it; None before the first commit."""
+        at = self.version()
+        if at is None:
             return None
-        return commits.agg(F.max("version")).first()[0]
+        if name not in self.keys:
+            return self.spark.read.parquet(f"{self.root}/{name}/version={at}")
+        whole = self.spark.read.parquet(f"{self.root}/{name}")
+        return (whole if buckets is None else whole.filter(F.col(BUCKET).isin(list(buckets)))).drop(BUCKET)
 
-    def read(self, table: str) -> DataFrame | None:
-        """Current state of a table; None before the first commit."""
+    def begin(self, version: int) -> bool:
+        """Whether a run has still to be made. Finishes an earlier one that was interrupted while putting in place."""
         at = self.version()
-        return None if at is None else self.spark.read.parquet(f"{self.root}/{table}/version={at}")
+        for number in sorted(int(name.partition("=")[2]) for name in folder_names(self.spark, f"{self.root}/staged")):
+            if at is not None and number <= at:
+                delete_path(self.spark, f"{self.root}/staged/version={number}")
+            elif tables := self._staged(number):
+                self._put_in_place(number, tables)
+                at = number
+        return at is None or version > at
 
     def commit(self, version: int, tables: dict[str, DataFrame]) -> None:
-        """Write all tables, then make them current. A version that is committed already stays."""
-        at = self.version()
-        if at is not None and version <= at:
+        """Make ``tables`` the state: of a table in buckets all rows of each bucket that has any, of another table all.
+
+        A version that is committed already stays. Buckets without rows in ``tables`` are left as they are.
+        """
+        if not self.begin(version):
             return
         for name, df in tables.items():
-            df.write.mode("overwrite").parquet(f"{self.root}/{name}/version={version}")
-        done = self.spark.range(1).select(F.lit(version).cast("bigint").alias("version"))
-        done.write.mode("append").parquet(f"{self.root}/commits")
+            if name not in self.keys:
+                df.write.mode("overwrite").parquet(f"{self.root}/{name}/version={version}")
+                continue
+            aside = f"{self.root}/staged/version={version}/{name}"
+            # One file per bucket, more where a bucket is large.
+            dealt = df.withColumn(BUCKET, self._bucket(name)).hint("rebalance", BUCKET)
+            dealt.write.mode("overwrite").partitionBy(BUCKET).parquet(aside)
+            self.spark.createDataFrame([], df.schema).write.parquet(f"{aside}/{BUCKET}={NO_BUCKET}")
+        kept = [name for name in tables if name in self.keys]
+        marks = self.spark.createDataFrame([(name,) for name in kept], "name string")
+        marks.write.mode("overwrite").parquet(f"{self.root}/staged/version={version}/marks")
+        self._put_in_place(version, kept)
+
+    def _staged(self, version: int) -> list[str]:
+        """Tables of a version that lie aside, all of them complete; none where the run died before."""
+        path = f"{self.root}/staged/version={version}"
+        if "marks" not in folder_names(self.spark, path):
+            return []
+        return [r["name"] for r in self.spark.read.schema("name string").parquet(f"{path}/marks").collect()]
 
-    def expire(self, tables: Iterable[str], keep: int = 3) -> None:
-        """Delete versions older than the last ``keep``, which readers may still be at."""
+    def _put_in_place(self, version: int, names: Sequence[str]) -> None:
+        aside = f"{self.root}/staged/version={version}"
+        for name in names:
+            rows = self.spark.read.parquet(f"{aside}/{name}")
+            target = f"{self.root}/{name}"
+            rows.drop(BUCKET).limit(0).write.mode("ignore").parquet(f"{target}/{BUCKET}={NO_BUCKET}")
+            new = rows.hint("rebalance", BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            new.partitionBy(BUCKET).parquet(target)
+        buckets = self._committed()[1] or self._first_buckets
+        done = self.spark.range(1).select(F.lit(buckets).cast("int").alias("buckets"))
+        done.write.mode("overwrite").parquet(f"{self.root}/commits/version={version}")
+        delete_path(self.spark, aside)
+
+    def expire(self, keep: int = 3) -> None:
+        """Delete versions older than the last ``keep``, of all tables kept in versions."""
         at = self.version()
-        old = [] if at is None else range(max(1, at - keep - 8), at - keep + 1)
-        for name in tables:
-            for version in old:
-                delete_path(self.spark, f"{self.root}/{name}/version={version}")
+        if at is None:
+            return
+        for name in folder_names(self.spark, self.root):
+            for version in folder_names(self.spark, f"{self.root}/{name}"):
+                number = version.removeprefix("version=")
+                if name != "staged" and number != version and int(number) <= at - keep:
+                    delete_path(self.spark, f"{self.root}/{name}/{version}")

@@ -75,6 +75,13 @@ def delete_path(spark: SparkSession, path: str) -> None:
     jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
 
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files and folders in a folder; none where there is no such folder."""
+    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in files.listStatus(jvm_path)) if files.exists(jvm_path) else []
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Compute ``df`` once and cut its lineage: written to the shared folder and read back.
 

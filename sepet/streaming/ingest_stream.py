@@ -1,7 +1,7 @@
 """The repeating run as a stream over the landing folder.
 
-Each micro-batch is one run and one store version, numbered by the batch id, so a batch that is
-replayed after a failure changes nothing.
+Each micro-batch is one run of the store, numbered by the batch id, so a batch that is replayed after a failure changes
+nothing. It reads and rewrites only the buckets that its keys fall into.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from ..functions.constants import RUN_PERIOD
 from ..operators.maintain import upsert_latest
 from ..plans.ingest import ingest_into
 from ..plans.store import TableStore
+from ..session import settle, settling
 from ..sources.feeds import FEED_SCHEMA
 from ..sources.layouts import ACTIVE
 
@@ -57,6 +58,13 @@ def stream_upsert(stream: DataFrame, store: TableStore, once: bool = False) -> S
     """Merge a stream of listings into the products of a store."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        store.commit(batch_id + 1, {"products": upsert_latest(store.read("products"), batch)})
+        version = batch_id + 1
+        if not store.begin(version):
+            return
+        with settling(store.spark):
+            listings = settle(batch)
+            old = store.read("products", store.touched("products", listings))
+            store.commit(version, {"products": upsert_latest(old, listings)})
+        store.expire()
 
     return _start(stream, handle, store, once)

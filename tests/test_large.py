@@ -144,5 +144,5 @@ def test_settled_tables_of_a_run_go_with_it(spark, tmp_path):
     store = TableStore(spark, str(tmp_path))
     for version in range(1, 7):
         store.commit(version, {"t": spark.range(version)})
-    store.expire(["t"], keep=2)
+    store.expire(keep=2)
     assert sorted(p.name for p in (tmp_path / "t").iterdir()) == ["version=5", "version=6"] and store.read("t").count() == 6
