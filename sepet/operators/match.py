@@ -14,9 +14,11 @@ joins over agreeing tokens, so that no block is ever gathered in one task.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,13 +26,19 @@ from ..functions.constants import MATCH_THRESHOLD
 from ..functions.similarity import sizes_can_reach, token_set_score, tokens_agree
 from ..functions.size import extract_size
 from ..functions.text import brand_key, default_brand, tokenize_title
-from ..session import settle
+from ..session import settle, settle_partitions
 from .category import distinct_texts, false_positive_filter, resolve_category, resolve_texts
 from .fuzzy import fuzzy_token_join
 from .maintain import PRODUCT_KEY, fill_category_once
 from .skew import TASK_ROWS, broadcast_if_small, salted_join
 
-FOLD_LIMIT = 1000
+# Bytes of the shapes of a block that is folded in one row.
+FOLD_BYTES = 128_000
+# A key of agreeing tokens is widened until it finds about this many leaders, to so many tokens at most.
+FEW, MOST_WIDTH = 16, 3
+# Edges between shapes that a task goes through, in the first round and at most.
+TASK_EDGES, MOST_EDGES = 100_000, 2_000_000
+COVERED, FOUNDER, UNKNOWN = 0, 1, -1
 FIRST_BATCH = 256
 BATCH_GROWTH = 8
 # Shapes of one block scored against an array of masters in one task.
@@ -153,21 +161,55 @@ def candidate_blocking(listings: DataFrame, masters: DataFrame, task_rows: int =
     return _by_title(listings, settle(titles), ["n_candidates", "oldest_master"], task_rows)
 
 
-def match_pairs(leaders: DataFrame, probes: DataFrame, threshold: float = MATCH_THRESHOLD) -> DataFrame:
-    """All (block, l_sig, sig, score) with non-empty sets and score >= threshold, exactly.
+def _combinations(rows: DataFrame, items: str, k: int) -> DataFrame:
+    """``rows`` once for every ``k`` of the array ``items``, in its order, as the array ``chosen``."""
+    rows = rows.withColumns({"chosen": F.slice(items, 1, 0), "rest": F.col(items)})
+    for _ in range(k):
+        rows = rows.select(*[c for c in rows.columns if c != "rest"], F.posexplode("rest").alias("_at", "_item"), "rest").withColumns(
+            {"chosen": F.array_append("chosen", F.col("_item")), "rest": F.slice("rest", F.col("_at") + 2, F.size("rest"))}
+        ).drop("_at", "_item")
+    return rows.drop("rest")
+
+
+def _needed(n: Column, l_n: Column, threshold: float) -> Column:
+    """Agreeing tokens without which sets of these sizes cannot reach the threshold; errs on the side of fewer."""
+    return F.ceil((n + l_n) * (threshold / (1 + threshold)) - 1e-9).cast("int")
+
+
+def _width(terms: Column, n: Column, needed: Column, leaders: Column) -> Column:
+    """How many agreeing tokens make a key, up to ``MOST_WIDTH`` and to what is needed.
 
-    A pair that reaches the threshold shares at least ``a`` agreeing tokens, so one of any
-    n - a + 1 tokens of the probe agrees with some token of the leader. The probe is looked up by
-    its n - a + 1 tokens that are agreed with least often among the leaders. Both sides are given
-    by (block, sig); sizes are part of the lookup key.
+    The least that is expected to find no more than ``FEW`` leaders for a probe, else what is expected to find fewest. The
+    expectation takes the probe's first n - needed + k terms for alike and independent.
+    """
+
+    def expected(k: int) -> Column:
+        first = F.slice(terms, F.lit(1), n - needed + k)
+        mean = F.aggregate(first, F.lit(0.0), lambda x, t: x + t["weight"]) / F.size(first)
+        ways = reduce(lambda x, i: x * (F.size(first) - i) / (i + 1), range(k), F.lit(1.0))
+        return ways * mean**k / leaders ** (k - 1)
+
+    widths = range(1, MOST_WIDTH + 1)
+    possible = F.array(*[F.struct(expected(k).alias("cost"), F.lit(k).alias("k")) for k in widths])
+    possible = F.filter(possible, lambda x: x["k"] <= needed)
+    enough = F.filter(possible, lambda x: x["cost"] <= FEW)
+    return F.coalesce(F.get(enough, F.lit(0))["k"], F.array_min(possible)["k"])
+
+
+def candidate_pairs(leaders: DataFrame, probes: DataFrame, threshold: float = MATCH_THRESHOLD) -> DataFrame:
+    """Distinct (block, l_sig, sig) of non-empty sets among which are all that reach the threshold.
+
+    A pair that reaches it has at least ``a`` tokens of the probe that agree, one to one, with tokens of the leader. So of
+    any n - a + k tokens of the probe, k do. The probe is looked up by every k of those n - a + k of its tokens that are
+    agreed with least often, through all tokens that agree with them; a leader is filed under every k of its tokens. The
+    sizes of both sets are part of the key, and a match after the probe's last token looked at is never needed. k is
+    one where tokens are rare, more where all are common (see ``_width``), so that keys stay selective.
     """
     leaders = leaders.select("block", F.col("sig").alias("l_sig")).filter(F.col("l_sig") != "")
     probes = probes.select(*SHAPE).filter(F.col("sig") != "")
-    postings = leaders.withColumn("l_n", F.size(_tokens(F.col("l_sig")))).withColumn(
-        "token_b", F.explode(_tokens(F.col("l_sig")))
-    )
+    held = leaders.withColumn("l_tokens", F.array_sort(_tokens(F.col("l_sig")))).withColumn("l_n", F.size("l_tokens"))
     terms = probes.withColumn("token", F.explode(_tokens(F.col("sig"))))
-    posted = postings.groupBy("block", "token_b").agg(F.count(F.lit(1)).alias("posts"))
+    posted = held.select("block", F.explode("l_tokens").alias("token_b")).groupBy("block", "token_b").agg(F.count(F.lit(1)).alias("posts"))
     agreeing = settle(
         fuzzy_token_join(terms, posted.withColumnRenamed("token_b", "token"), by=["block"]).join(
             posted, ["block", "token_b"]
@@ -179,23 +221,40 @@ def match_pairs(leaders: DataFrame, probes: DataFrame, threshold: float = MATCH_
         .groupBy(*SHAPE)
         .agg(F.array_sort(F.collect_list(F.struct(F.coalesce("weight", F.lit(0)).alias("weight"), "token"))).alias("terms"))
         .withColumn("n", F.size("terms"))
+        .join(leaders.groupBy("block").agg(F.count(F.lit(1)).alias("n_leaders")), "block")
     )
     # Bounds err on the side of more candidates; the score decides.
     slack = 1e-9
     least = F.ceil(F.lit(threshold) * F.col("n") - slack).cast("int")
     most = F.floor(F.col("n") / threshold + slack).cast("int")
-    shared = F.ceil((F.col("n") + F.col("l_n")) * (threshold / (1 + threshold)) - slack).cast("int")
-    keys = (
+    needed = _needed(F.col("n"), F.col("l_n"), threshold)
+    asked = settle(
         ranked.withColumn("l_n", F.explode(F.sequence(F.greatest(least, F.lit(1)), most)))
-        .withColumn("term", F.explode(F.slice("terms", F.lit(1), F.col("n") - shared + 1)))
-        .filter(F.col("term.weight") > 0)
-        .select(*SHAPE, "l_n", F.col("term.token").alias("token_a"))
-    )
+        .withColumn("k", _width(F.col("terms"), F.col("n"), needed, F.col("n_leaders")))
+        .withColumn("first", F.slice("terms", F.lit(1), F.col("n") - needed + F.col("k")))
+        .select(*SHAPE, "l_n", "k", F.transform(F.filter("first", lambda t: t["weight"] > 0), lambda t: t["token"]).alias("first"))
+        .filter(F.size("first") >= F.col("k"))
+    )
+    found = []
+    for (k,) in sorted(asked.select("k").distinct().collect()):
+        mine = asked.filter(F.col("k") == k)
+        keys = _combinations(mine.select(*SHAPE, "l_n", "first"), "first", k).drop("first")
+        for i in range(k):
+            step = agreeing.select("block", F.col("token_a").alias(f"a{i}"), F.col("token_b").alias(f"b{i}"))
+            keys = keys.withColumn(f"a{i}", F.get("chosen", F.lit(i))).join(step, ["block", f"a{i}"])
+        sought = F.array_sort(F.array_distinct(F.array(*[f"b{i}" for i in range(k)])))
+        keys = keys.withColumn("key", sought).filter(F.size("key") == k).select("block", "l_n", "key", "sig")
+        filed = held.join(mine.select("block", "l_n").distinct(), ["block", "l_n"], "left_semi")
+        filed = _combinations(filed, "l_tokens", k).select("block", "l_n", F.col("chosen").alias("key"), "l_sig")
+        found.append(keys.join(filed, ["block", "l_n", "key"]).select("block", "l_sig", "sig"))
+    return reduce(DataFrame.unionByName, found).distinct() if found else leaders.join(probes, "block").select("block", "l_sig", "sig").limit(0)
+
+
+def match_pairs(leaders: DataFrame, probes: DataFrame, threshold: float = MATCH_THRESHOLD) -> DataFrame:
+    """All (block, l_sig, sig, score) with non-empty sets and score >= threshold, exactly. Both sides are given by
+    (block, sig)."""
     return (
-        keys.join(agreeing.select("block", "token_a", "token_b"), ["block", "token_a"])
-        .join(postings, ["block", "token_b", "l_n"])
-        .select("block", "l_sig", "sig")
-        .distinct()
+        candidate_pairs(leaders, probes, threshold)
         .withColumn("score", token_set_score(_tokens(F.col("l_sig")), _tokens(F.col("sig")), True))
         .filter(F.col("score") >= threshold)
     )
@@ -266,27 +325,60 @@ def _fold_blocks(shapes: DataFrame, threshold: float) -> DataFrame:
     return led.select("block", F.explode(answers).alias("a")).select("block", "a.sig", "a.records")
 
 
-def _independent(batch: DataFrame, threshold: float) -> DataFrame:
-    """Founders among a batch of shapes: in order, those that match no earlier founder of the batch."""
+def _numbered(batch: DataFrame) -> DataFrame:
+    """(block, sig, id): ids grow with the order inside each block."""
+    tasks = max(1, math.ceil(batch.count() / TASK_ROWS))
+    ranged = batch.select(*SHAPE, "ord").repartitionByRange(tasks, "block", "ord").sortWithinPartitions("block", "ord")
+    return settle_partitions(ranged).select(*SHAPE, F.monotonically_increasing_id().alias("id"))
+
+
+def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Go through edges (v, u, state of u) sorted by v, and decide every v that can be: covered by a founder, or
+    founder because all before it are covered. The order of v makes a chain inside the task one pass."""
+    known: dict[int, int] = {}
+    at, founder, open_ = None, False, False
+    for batch in batches:
+        done = []
+        for v, u, state in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if v != at:
+                if at is not None and (founder or not open_):
+                    known[at] = COVERED if founder else FOUNDER
+                    done.append(at)
+                at, founder, open_ = v, False, False
+            state = known.get(u, UNKNOWN) if state == UNKNOWN else state
+            founder |= state == FOUNDER
+            open_ |= state == UNKNOWN
+        yield pa.RecordBatch.from_pydict({"id": pa.array(done, pa.int64()), "found": pa.array([known[v] for v in done], pa.int32())})
+    if at is not None and (founder or not open_):
+        yield pa.RecordBatch.from_pydict({"id": pa.array([at], pa.int64()), "found": pa.array([COVERED if founder else FOUNDER], pa.int32())})
+
+
+def _independent(batch: DataFrame, threshold: float, task_edges: int = TASK_EDGES) -> DataFrame:
+    """Founders among a batch of shapes: in order, those that match no earlier founder of the batch.
+
+    Edges are dealt to tasks in ranges of the order. A round decides whatever its tasks can from what is known and from
+    the edges at hand, so that a chain inside a range takes one round, however long. What is left goes through
+    ranges of twice as many edges, up to a bound that fits a task: rounds grow with the logarithm of a chain.
+    """
     nodes = batch.select(*SHAPE)
-    order = batch.select(*SHAPE, "ord")
-    edges = match_pairs(nodes, nodes, threshold).select("block", "l_sig", "sig")
+    pairs = match_pairs(nodes, nodes, threshold).filter("l_sig <> sig").select("block", "l_sig", "sig")
+    numbered = _numbered(batch)
+    earlier = numbered.select("block", F.col("sig").alias("l_sig"), F.col("id").alias("u"))
     edges = settle(
-        edges.join(order, SHAPE)
-        .join(order.select("block", F.col("sig").alias("l_sig"), F.col("ord").alias("l_ord")), ["block", "l_sig"])
-        .filter(F.col("l_ord") < F.col("ord"))
-        .select("block", "l_sig", "sig")
-    )
-    founders = []
-    while not edges.isEmpty():
-        free = nodes.join(edges.select(*SHAPE).distinct(), SHAPE, "left_anti")
-        founders.append(free)
-        covered = edges.join(free.withColumnRenamed("sig", "l_sig"), ["block", "l_sig"], "left_semi").select(*SHAPE).distinct()
-        nodes = settle(nodes.join(free, SHAPE, "left_anti").join(covered, SHAPE, "left_anti"))
-        edges = settle(
-            edges.join(nodes, SHAPE, "left_semi").join(nodes.withColumnRenamed("sig", "l_sig"), ["block", "l_sig"], "left_semi")
-        )
-    return settle(reduce(DataFrame.unionByName, founders, nodes))
+        pairs.join(numbered.withColumnRenamed("id", "v"), SHAPE).join(earlier, ["block", "l_sig"]).filter("u < v").select("v", "u")
+    )
+    later = edges.select(F.col("v").alias("u")).distinct().withColumn("open", F.lit(UNKNOWN))
+    edges = settle(edges.join(later, "u", "left").select("v", "u", F.coalesce("open", F.lit(FOUNDER)).alias("state")))
+    covered = []
+    while left := edges.count():
+        ranged = edges.repartitionByRange(math.ceil(left / task_edges), "v").sortWithinPartitions("v")
+        found = settle(ranged.mapInArrow(_decide, "id bigint, found int"))
+        covered.append(found.filter(F.col("found") == COVERED).select("id"))
+        known = edges.join(found.select(F.col("id").alias("v")), "v", "left_anti").join(found.withColumnRenamed("id", "u"), "u", "left")
+        edges = settle(known.select("v", "u", F.coalesce("found", "state").alias("state")))
+        task_edges = min(2 * task_edges, max(MOST_EDGES, task_edges))
+    founders = reduce(lambda df, gone: df.join(gone, "id", "left_anti"), covered, numbered)
+    return settle(founders.select(*SHAPE))
 
 
 def _greedy_founders(stored: DataFrame, undecided: DataFrame, threshold: float, first_batch: int) -> DataFrame:
@@ -355,9 +447,11 @@ def _join_blocks(shapes: DataFrame, threshold: float, first_batch: int) -> DataF
     return records.unionByName(blanks)
 
 
-def _split(shapes: DataFrame, counted: DataFrame, fold_limit: int) -> tuple[DataFrame, DataFrame | None]:
-    """(shapes of small blocks, shapes of large blocks or None), by the rows of ``counted`` per block."""
-    large = settle(counted.groupBy("block").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > fold_limit))
+def _split(shapes: DataFrame, fold_bytes: int) -> tuple[DataFrame, DataFrame | None]:
+    """(shapes of blocks that fit a row of ``fold_bytes``, shapes of larger ones or None)."""
+    # A shape is its tokens, once as a text and once as an array, its key and its order.
+    own = 2 * F.octet_length("sig") + F.octet_length("key") + 40
+    large = settle(shapes.groupBy("block").agg(F.sum(own).alias("bytes")).filter(F.col("bytes") > fold_bytes))
     if large.isEmpty():
         return shapes, None
     large = broadcast_if_small(large.select("block"))
@@ -376,7 +470,7 @@ def best_match(
     listings: DataFrame,
     masters: DataFrame,
     threshold: float = MATCH_THRESHOLD,
-    fold_limit: int = FOLD_LIMIT,
+    fold_bytes: int = FOLD_BYTES,
     task_rows: int = TASK_ROWS,
 ) -> DataFrame:
     """Best stored master of each prepared listing and its score; null below the threshold.
@@ -388,7 +482,7 @@ def best_match(
     )
     titles = settle(parse_titles(listings))
     shapes = settle(titles.filter("size_ok").select(*SHAPE).distinct())
-    few, many = _split(leaders, leaders, fold_limit)
+    few, many = _split(leaders, fold_bytes)
     entry = F.struct("ord", "key", _tokens(F.col("sig")).alias("tokens"))
     arrays = _by_block(few).groupBy("block").agg(F.array_sort(F.collect_list(entry)).alias("leaders"))
     records = salted_join(_by_block(shapes), arrays, ["block"], task_rows=BLOCK_SHAPES).select(
@@ -433,7 +527,7 @@ def assign_masters(
     listings: DataFrame,
     masters: DataFrame | None = None,
     threshold: float = MATCH_THRESHOLD,
-    fold_limit: int = FOLD_LIMIT,
+    fold_bytes: int = FOLD_BYTES,
     first_batch: int = FIRST_BATCH,
     task_rows: int = TASK_ROWS,
     titles: DataFrame | None = None,
@@ -456,7 +550,7 @@ def assign_masters(
         .agg(F.min(F.struct("ord", "key")).alias("first"), F.max("asked").alias("asked"))
         .select(*SHAPE, "first.ord", "first.key", (F.col("first.ord.is_new") == 0).alias("fixed"), "asked")
     )
-    few, many = _split(shapes, shapes, fold_limit)
+    few, many = _split(shapes, fold_bytes)
     records = _fold_blocks(few, threshold)
     if many is not None:
         records = records.unionByName(_join_blocks(many, threshold, first_batch))

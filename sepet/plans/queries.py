@@ -485,13 +485,13 @@ def best_match(spark, sf_dir):
 @register
 def best_match_joined(spark, sf_dir):
     stored = match.prepare_masters(views.stored_masters(spark, sf_dir))
-    found = match.best_match(_prepared(spark, sf_dir), stored, fold_limit=NO_FOLD)
+    found = match.best_match(_prepared(spark, sf_dir), stored, fold_bytes=NO_FOLD)
     return found.select("source", "seq.pos", "master_key", F.round("score", 9).alias("score"))
 
 
 @register
 def assign_masters_joined(spark, sf_dir):
-    found = match.assign_masters(_prepared(spark, sf_dir), fold_limit=NO_FOLD)
+    found = match.assign_masters(_prepared(spark, sf_dir), fold_bytes=NO_FOLD)
     return found.select("source", "seq.pos", "master_key", "founds")
 
 

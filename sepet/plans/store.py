@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..session import delete_path, folder_names
 
 #: Buckets of a new store; about a gigabyte of the largest table in each is a good choice.
-BUCKETS = 64
+BUCKETS = 16
 #: What the buckets of a table go by. Masters lie by block, since that is how they are looked up.
 KEYS: Mapping[str, Sequence[str]] = {
     "products": ("source", "external_id"),

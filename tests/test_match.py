@@ -91,14 +91,14 @@ def test_folded_blocks_equal_the_loop(spark, seed):
 def test_joined_blocks_equal_the_loop(spark, seed, blank):
     rng = random.Random(seed)
     rows = items(rng, 160, 2, 5, blank)
-    check(spark, rows, [], fold_limit=0, first_batch=8, task_rows=40)
+    check(spark, rows, [], fold_bytes=0, first_batch=8, task_rows=40)
 
 
 def test_joined_blocks_with_stored_masters(spark):
     rng = random.Random(6)
     rows = items(rng, 120, 3, 4, 0.05)
-    check(spark, rows, items(rng, 25, 3, 3, 0.0), fold_limit=0, first_batch=16)
-    check(spark, rows, items(rng, 25, 3, 3, 0.2), fold_limit=10, first_batch=16)
+    check(spark, rows, items(rng, 25, 3, 3, 0.0), fold_bytes=0, first_batch=16)
+    check(spark, rows, items(rng, 25, 3, 3, 0.2), fold_bytes=1_000, first_batch=16)
 
 
 def test_matching_order_case(spark):
@@ -108,11 +108,11 @@ def test_matching_order_case(spark):
     assert sorted(r["own_key"] for r in got) == ["k0", "k1", "k2", "k3"]
 
 
-@pytest.mark.parametrize("fold_limit", [0, 256])
-def test_best_match_equals_the_loop(spark, fold_limit):
+@pytest.mark.parametrize("fold_bytes", [0, 100_000])
+def test_best_match_equals_the_loop(spark, fold_bytes):
     rng = random.Random(8)
     rows, stored = items(rng, 120, 3, 4, 0.05), items(rng, 60, 3, 4, 0.03)
-    found = match.best_match(as_listings(spark, rows), as_masters(spark, stored), fold_limit=fold_limit)
+    found = match.best_match(as_listings(spark, rows), as_masters(spark, stored), fold_bytes=fold_bytes)
     got = {r["own_key"]: (r["master_key"], r["score"]) for r in found.collect()}
     for b, i, t in rows:
         best = (None, 0.0)
