@@ -389,8 +389,8 @@ def remove_repeats(df: DataFrame, text: str, ident: str, window: int = WINDOW, g
     those covered by a string of ``window`` bytes that also starts anywhere else, in this or another row.
 
     Null texts count as empty. Repeated rows repeat each other's strings, so both lose them. Texts shorter than
-    the window stay. An empty table gives an empty result. Rows are told apart by ident and a tag of the text,
-    so equal or null idents do no harm.
+    the window stay. An empty table gives an empty result. Rows are told apart by 79 bits of digests of ident and
+    text, so equal or null idents do no harm.
 
     Text is shuffled to meet the runs to be cut from it and the spans to be removed; all else are rows of some
     numbers. Equal runs of one lot of texts, as periodic texts have them, are one row. Groups that one anchor gathers are
@@ -399,9 +399,11 @@ def remove_repeats(df: DataFrame, text: str, ident: str, window: int = WINDOW, g
     """
     assert gram <= window <= gram + 255
     raw: Column = F.coalesce(col(text).cast("binary"), F.lit(b""))
-    tag = F.shiftrightunsigned(F.xxhash64(raw), 49).cast("bigint")  # 15 bits, so that numbers stay positive
-    docs = df.select(
-        col(ident).cast("bigint").alias("own"), F.coalesce(col(ident).cast("bigint"), F.xxhash64(raw)).alias("ident"), tag.alias("tag"), raw.alias("raw")
+    # A row's name: 64 bits, and 15 more that leave the numbers of its runs positive, out of its ident and a digest of its
+    # whole text. Rows of one name are equal in both, so they lose the same.
+    digest = df.select(col(ident).cast("bigint").alias("own"), raw.alias("raw")).withColumn("digest", F.md5("raw"))
+    docs = digest.select(
+        "own", F.xxhash64("own", "digest").alias("ident"), F.shiftrightunsigned(F.xxhash64("digest", F.lit(1), "own"), 49).cast("bigint").alias("tag"), "raw"
     )
     runs = docs.select("ident", "tag", "raw").mapInArrow(
         _anchor_rows(window, gram), "gram bigint, digest bigint, ident bigint, run bigint, rest binary"

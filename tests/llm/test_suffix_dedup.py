@@ -114,3 +114,14 @@ def test_copies_of_a_string_under_a_hot_anchor_meet_in_no_task(docs_of, monkeypa
     monkeypatch.setattr(suffix_dedup, "_sort_runs", watched)
     monkeypatch.setattr(suffix_dedup, "repeated_strings", lambda strings: mark(strings, task_rows), raising=False)
     assert found(docs_of(texts), window=50, gram=16) == dict(enumerate(brute(texts, 50)))
+
+
+def test_many_texts_of_one_id(docs_of):
+    """Texts that stand nowhere else stay whole, whatever other rows of their id lose."""
+    rng = random.Random(9)
+    text = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(300))
+    own, twice = [text() for _ in range(300)], [text() for _ in range(300)]
+    rows = [(7, t, "s") for t in own + twice] + [(k, t, "s") for k, t in enumerate(twice, 100)]
+    out = remove_repeats(docs_of(rows), "text", "doc_id").collect()
+    kept = sorted(bytes(r["kept"]).decode() for r in out if r["ident"] == 7)
+    assert kept == sorted(own + [""] * 300)
