@@ -33,25 +33,27 @@ def parse_feeds(feeds: DataFrame, layout: Layout) -> DataFrame:
     The failure unit is the item; a document that cannot be read yields one row.
     """
     own = feeds.filter(F.col("source") == layout.source)
+    payload = "payload"
     if layout.search is not None:
-        # Only a document that names the mark can hold the list; an escape may hide the name.
-        mark = F.contains("payload", F.lit(layout.mark)) | F.contains("payload", F.lit("\\u"))
-        invalid = F.try_parse_json("payload").isNull()
-        own = own.filter(mark | invalid).withColumn("_found", layout.search(F.col("payload")))
-        payload = F.col("_found")
-    else:
-        payload = F.col("payload")
-    opened = own.withColumn("_items", layout.products(payload)).withColumn(
+        payload = "_found"
+        own = layout.search(own, "payload", payload)
+    opened = own.withColumn("_doc", layout.envelope.parse(F.col(payload)))
+    items, readable = layout.envelope.items(F.col("_doc")), layout.envelope.readable(F.col("_doc"))
+    # A payload that is null, or a search that found nothing, gives no document.
+    readable = (F.col(payload).isNotNull() if layout.search is None else F.lit(True)) & readable
+    opened = opened.select(*_FEED, "payload", items.alias("_items"), readable.alias("_readable")).withColumn(
         "_why",
-        F.when(~layout.envelope_ok(payload), "not readable").when(
+        F.when(~F.col("_readable"), "not readable").when(
             F.lit(layout.missing_is_error) & F.col("_items").isNull(), "no product list"
         ),
     )
     # A readable document without list leaves no row, one with a fault leaves one.
     items = F.when(F.col("_why").isNotNull(), F.array(F.col("payload"))).otherwise(F.col("_items"))
-    exploded = opened.select(*_FEED, "_why", F.posexplode(items).alias("pos", "text"))
     schema = f"{layout.item}, {_BAD} string"
-    parsed = exploded.withColumn("_item", F.from_json("text", schema, {"columnNameOfCorruptRecord": _BAD}))
+    # Parsed before they are dealt to rows: a filter on what is in an item would be pushed below and parse it again.
+    read = F.transform(items, lambda t: F.struct(t.alias("text"), F.from_json(t, schema, {"columnNameOfCorruptRecord": _BAD}).alias("item")))
+    exploded = opened.select(*_FEED, "_why", F.posexplode(read).alias("pos", "one"))
+    parsed = exploded.select(*_FEED, "_why", "pos", "one.text", F.col("one.item").alias("_item"))
     item = F.col("_item")
     broken = item.isNull() | item[_BAD].isNotNull()
     if layout.keep is not None:

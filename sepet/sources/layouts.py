@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import stable_key_md5
@@ -26,52 +26,57 @@ FIELDS = [
 ]
 
 
+@dataclass(frozen=True)
+class Envelope:
+    """How a payload is opened: parsed once, into one struct that gives the item texts and tells whether it could be read."""
+
+    parse: Callable[[Column], Column]
+    items: Callable[[Column], Column]
+    readable: Callable[[Column], Column]
+
+
 @dataclass(frozen=True)
 class Layout:
     """A feed layout.
 
-    ``products`` maps a payload to an array of item texts; ``envelope_ok`` tells whether the payload
-    could be read; ``item`` is the item's schema; ``columns`` maps the parsed item to listing
+    ``envelope`` opens a payload to an array of item texts; ``item`` is the item's schema; ``columns`` maps the parsed item to listing
     columns, the ones left out being null. Items without ``required`` columns go to quarantine.
     ``keep`` drops items that are no products. ``missing_is_error`` tells apart shops whose missing
     list is an empty answer from those where it is a failure. Where the place of the list varies,
-    ``search`` finds it in payloads that contain ``mark``, and the readers get what it found.
+    ``search`` finds it, and the envelope is what it found.
     """
 
     source: str
-    products: Callable[[Column], Column]
+    envelope: Envelope
     item: str
     columns: Callable[[Column], dict[str, Column]]
-    envelope_ok: Callable[[Column], Column]
     required: tuple[str, ...] = ("external_id", "price")
     keep: Callable[[Column], Column] | None = None
     missing_is_error: bool = False
     active: bool = True
-    search: Callable[[Column], Column] | None = None
-    mark: str | None = None
+    search: Callable[[DataFrame, str, str], DataFrame] | None = None
 
 
 def _text(col: Column) -> Column:
     return F.coalesce(col, F.lit(""))
 
 
-def _at_path(*path: str) -> tuple[Callable[[Column], Column], Callable[[Column], Column]]:
-    """Readers for an array of items at a fixed path. Items stay text, so that a bad one spoils no other."""
+def _at_path(*path: str) -> Envelope:
+    """An array of items at a fixed path. Items stay text, so that a bad one spoils no other."""
     shape = "array<string>"
     for name in reversed(path[1:]):
         shape = f"struct<{name}:{shape}>"
     schema = f"{path[0]} {shape}, _bad string"
 
-    def parsed(payload: Column) -> Column:
-        return F.from_json(payload, schema, {"columnNameOfCorruptRecord": "_bad"})
-
-    def products(payload: Column) -> Column:
-        col = parsed(payload)
+    def items(doc: Column) -> Column:
+        col = doc
         for name in path:
             col = col[name]
         return col
 
-    return products, lambda payload: payload.isNotNull() & parsed(payload)["_bad"].isNull()
+    return Envelope(
+        lambda payload: F.from_json(payload, schema, {"columnNameOfCorruptRecord": "_bad"}), items, lambda doc: doc["_bad"].isNull()
+    )
 
 
 def _minor(col: Column) -> Column:
@@ -174,75 +179,76 @@ def _evidea(item: Column) -> dict[str, Column]:
     }
 
 
-def _root_or_data(payload: Column) -> Column:
+def _root_or_data() -> Envelope:
     """The root when it is an array, else the array under ``data``."""
-    under_data, _ = _at_path("data")
-    is_array = F.startswith(F.ltrim(payload), F.lit("["))
-    return F.when(is_array, F.from_json(payload, "array<string>")).otherwise(under_data(payload))
-
-
-def _root_or_data_ok(payload: Column) -> Column:
-    is_array = F.startswith(F.ltrim(payload), F.lit("["))
-    readable = _at_path("data")[1](payload)
-    return F.when(is_array, F.from_json(payload, "array<string>").isNotNull()).otherwise(readable)
+    under_data = _at_path("data")
+
+    def parse(payload: Column) -> Column:
+        is_array = F.startswith(F.ltrim(payload), F.lit("["))
+        return F.struct(
+            is_array.alias("is_array"),
+            F.when(is_array, F.from_json(payload, "array<string>")).alias("root"),
+            F.when(~is_array, under_data.parse(payload)).alias("under"),
+        )
+
+    return Envelope(
+        parse,
+        lambda doc: F.when(doc["is_array"], doc["root"]).otherwise(under_data.items(doc["under"])),
+        lambda doc: F.when(doc["is_array"], doc["root"].isNotNull()).otherwise(under_data.readable(doc["under"])),
+    )
 
 
-_store_products, _store_ok = _at_path("data", "storeProductInfos")
-_mion_products, _mion_ok = _at_path("data", "searchInfo", "storeProductInfos")
-_content, _content_ok = _at_path("content")
-_evidea_products, _evidea_ok = _at_path("results", "products", "data")
+_found = Envelope(
+    lambda found: F.struct((found == NOT_JSON).alias("bad"), F.from_json(found, "array<string>").alias("root")),
+    lambda doc: doc["root"],
+    lambda doc: ~F.coalesce(doc["bad"], F.lit(False)),
+)
 
 LAYOUTS = {
     layout.source: layout
     for layout in (
-        Layout("migros", _store_products, _STORE_ITEM, _store("https://www.migros.com.tr/"), _store_ok),
-        Layout("macrocenter", _store_products, _STORE_ITEM, _store("https://www.macrocenter.com.tr/"), _store_ok),
+        Layout("migros", _at_path("data", "storeProductInfos"), _STORE_ITEM, _store("https://www.migros.com.tr/")),
+        Layout("macrocenter", _at_path("data", "storeProductInfos"), _STORE_ITEM, _store("https://www.macrocenter.com.tr/")),
         Layout(
             "marketfiyati",
-            _content,
+            _at_path("content"),
             "id string, title string, brand string, imageUrl string, main_category string, "
             "productDepotInfoList array<struct<price:decimal(18,2)>>",
             _marketfiyati,
-            _content_ok,
             missing_is_error=True,
         ),
         Layout(
             "hakmarexpress",
-            lambda found: F.from_json(found, "array<string>"),
+            _found,
             "product struct<id:bigint,name:string,imageUrl:string,brand:struct<name:string>,barcode:string,"
             "categories:array<struct<name:string>>,price:decimal(18,2),oldPrice:decimal(18,2),slug:string>",
             _hakmarexpress,
-            lambda found: found.isNull() | (found != NOT_JSON),
             keep=lambda card: card["product"].isNotNull(),
             search=find_list,
-            mark="product-list",
         ),
         Layout(
             "mion",
-            _mion_products,
+            _at_path("data", "searchInfo", "storeProductInfos"),
             "id bigint, name string, images array<struct<urls:struct<PRODUCT_DETAIL:string>>>, "
             "shownPrice int, regularPrice int, prettyName string",
             _mion,
-            _mion_ok,
             required=("external_id", "price", "regular_price"),
             missing_is_error=True,
             active=False,
         ),
         Layout(
             "cagrimarket",
-            _root_or_data,
+            _root_or_data(),
             "id bigint, name string, url string, price decimal(18,2), oldPrice decimal(18,2), image string",
             _cagri,
-            _root_or_data_ok,
             active=False,
         ),
         Layout(
             "evidea",
-            _evidea_products,
+            _at_path("results", "products", "data"),
             "code string, name string, url string, price decimal(18,2), oldPrice decimal(18,2), images array<string>, "
             "attributes array<struct<name:string,value:string>>",
             _evidea,
-            _evidea_ok,
             active=False,
         ),
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sepet.sources.feeds import FEED_SCHEMA, feed_union
 from sepet.sources.layouts import LAYOUTS
-from sepet.sources.tree import first_list
+from sepet.sources import tree
 
 STORE = (
     '{"id":11,"name":"Doğa Su 12 x 500 Ml","brand":{"name":"Doğa"},"category":{"name":"Su"},'
@@ -92,8 +92,39 @@ def test_bad_documents(spark):
     ]
 
 
-def test_first_list_goes_in_document_order():
-    text = '{"z":{"a":[{"component":"product-list","products":3},{"component":"product-list","products":[1]}]},"a":{"component":"product-list","products":[2]}}'
-    assert first_list(text) == "[1]"
-    assert first_list('{"component":"product-list"}') is None
-    assert first_list("{") == ""
+def found(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    return {r["i"]: r["found"] for r in tree.find_list(df, "text", "found").collect()}
+
+
+def test_first_list_goes_in_document_order(spark):
+    part = '{"component":"product-list","products":[%d]}'
+    texts = [
+        '{"z":{"a":[{"component":"product-list","products":3},{"component":"product-list","products":[1]}]},"a":{"component":"product-list","products":[2]}}',
+        '{"component":"product-list"}',
+        "{",
+        # Deeper but earlier; then an object before what it holds.
+        '{"b":[[[%s]]],"a":%s}' % (part % 1, part % 2),
+        '{"x":%s,"component":"product-list","products":[9,%s]}' % (part % 1, part % 2),
+        # Texts that look like JSON are no nodes, and a text is no list.
+        '{"a":"{\\"component\\":\\"product-list\\",\\"products\\":[1]}","b":%s}' % (part % 2),
+        '[{"component":"product-list","products":"[1]"},"[]",%s]' % (part % 3),
+        '{"component":["product-list"],"products":[1]}',
+        # An escape hides the name.
+        '{"a":{"component":"product\\u002dlist","products":[4]}}',
+        None,
+        "",
+        '"product-list"',
+        "[" * 11 + part % 5 + "]" * 11,
+    ]
+    want = ["[1]", None, "", "[1]", '[9,{"component":"product-list","products":[2]}]', "[2]", "[3]", None, "[4]", None, "", None, "[5]"]
+    assert found(spark, texts) == dict(enumerate(want))
+
+
+def test_each_document_is_parsed_once_and_in_the_jvm(spark):
+    for source in LAYOUTS:
+        listings, _ = feed_union(feeds(spark, [(source, PAYLOADS[source])]), [source])
+        plan = listings._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Pandas" not in plan
+        # The envelope, and each item; the two shapes of one feed are two readers, of which a row takes one.
+        assert plan.count("from_json(") == {"cagrimarket": 3}.get(source, 2), source
