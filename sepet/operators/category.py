@@ -10,7 +10,10 @@ from ..functions.similarity import token_set_score
 from ..functions.text import is_blank, lower_text, tokenize, trim_all
 from ..session import settle
 from .fuzzy import fuzzy_token_join
-from .skew import broadcast_if_small
+from .skew import TASK_ROWS, broadcast_if_small, hot_keys, salted_join
+
+# Resolved texts that are broadcast.
+MOST_TEXTS = 100_000
 
 
 def raw_text(col: Column) -> Column:
@@ -85,19 +88,51 @@ def category_route(
     )
 
 
-def resolve_texts(texts: DataFrame, categories: DataFrame, raw_map: DataFrame, queue: DataFrame) -> DataFrame:
-    """(raw_text, category_id, guess_id, score, route) for each distinct raw text.
+def open_texts(texts: DataFrame, raw_map: DataFrame, queue: DataFrame) -> DataFrame:
+    """Raw texts that have to be guessed: neither mapped nor rejected."""
+    unmapped = texts.select("raw_text").join(raw_map.filter("category_id is not null").select("raw_text"), "raw_text", "left_anti")
+    return rejected_anti(unmapped, queue)
+
+
+def lookup_version(categories: DataFrame) -> str:
+    """A text that changes whenever a category or its name does."""
+    mark = F.xxhash64("id", "name").cast("decimal(20,0)")
+    count, total = categories.agg(F.count(F.lit(1)), F.sum(mark)).first()
+    return f"{count}/{total}"
+
+
+def guess_texts(texts: DataFrame, categories: DataFrame, memo: DataFrame | None = None) -> DataFrame:
+    """(raw_text, version, category_id, score) for each of the distinct ``texts``, nulls where no category scores.
+
+    ``memo`` holds what earlier runs found. A text found in it under the version of these categories is not scored again.
+    """
+    version = lookup_version(categories)
+    known = None
+    if memo is not None:
+        known = memo.filter(F.col("version") == version).join(texts.select("raw_text"), "raw_text", "left_semi")
+        texts = texts.select("raw_text").join(known.select("raw_text"), "raw_text", "left_anti")
+    guessed = category_best_guess(texts, categories)
+    new = texts.join(guessed, "raw_text", "left").select("raw_text", F.lit(version).alias("version"), "category_id", "score")
+    return new if known is None else new.unionByName(known)
+
+
+def resolve_texts(
+    texts: DataFrame, categories: DataFrame, raw_map: DataFrame, queue: DataFrame, guesses: DataFrame | None = None
+) -> DataFrame:
+    """(raw_text, category_id, guess_id, score, route) for each of the distinct ``texts``, which should be settled.
 
     Routes: mapped, rejected, accept, review, none. ``category_id`` is set for mapped and accept.
     The answer depends on the four tables alone, so one pass over distinct texts gives what
-    handling listing after listing gives.
+    handling listing after listing gives. ``guesses`` are those of the open texts, where they are at hand.
     """
-    looked_up = settle(raw_category_lookup(texts.select("raw_text").distinct(), raw_map))
-    open_texts = rejected_anti(looked_up.filter(F.col("category_id").isNull()).select("raw_text"), queue)
-    guessed = category_route(category_best_guess(open_texts, categories)).withColumnRenamed("category_id", "guess_id")
+    if guesses is None:
+        guesses = category_best_guess(open_texts(texts, raw_map, queue), categories)
+    scored = guesses.filter("category_id is not null").select("raw_text", "category_id", "score")
+    guessed = category_route(scored).withColumnRenamed("category_id", "guess_id")
     refused = queue.filter(F.col("status") == REJECTED).select("raw_text", F.lit(True).alias("_refused"))
     return (
-        looked_up.join(refused.dropDuplicates(["raw_text"]), "raw_text", "left")
+        raw_category_lookup(texts.select("raw_text"), raw_map)
+        .join(refused.dropDuplicates(["raw_text"]), "raw_text", "left")
         .join(guessed, "raw_text", "left")
         .withColumn(
             "route",
@@ -120,23 +155,28 @@ def distinct_texts(listings: DataFrame) -> DataFrame:
     )
 
 
-def resolve_category(listings: DataFrame, keyword_map: DataFrame, resolved: DataFrame) -> DataFrame:
-    """Add keyword_id, resolved_id and category_id to listings.
+def resolve_category(
+    listings: DataFrame, keyword_map: DataFrame, resolved: DataFrame, task_rows: int = TASK_ROWS, most_texts: int = MOST_TEXTS
+) -> DataFrame:
+    """Add keyword_id, resolved_id and category_id to listings. ``resolved`` should be settled.
 
-    A blank raw category falls back to the keyword; a given one never does. Blank ones get spread
-    join keys that match nothing, so they do not meet in one task.
+    A blank raw category falls back to the keyword; a given one never does. Up to ``most_texts`` resolved texts are
+    broadcast. More are joined: a text that very many listings carry is salted by its count, and blank ones get
+    keys of their own that match nothing, so that neither meets in one task.
     """
     asked = raw_text(F.col("source_category"))
-    spread = F.concat(F.lit(" "), F.pmod(F.xxhash64("source", "external_id", "title"), F.lit(4096)).cast("string"))
     answers = resolved.select(F.col("raw_text").alias("_text"), F.col("category_id").alias("resolved_id"))
-    return (
-        keyword_category(listings, keyword_map, "keyword_id")
-        .withColumn("_blank", asked.isNull())
-        .withColumn("_text", F.coalesce(asked, spread))
-        .join(answers, "_text", "left")
-        .withColumn("category_id", F.when(F.col("_blank"), F.col("keyword_id")).otherwise(F.col("resolved_id")))
-        .drop("_text", "_blank")
-    )
+    told = keyword_category(listings, keyword_map, "keyword_id").withColumn("_blank", asked.isNull())
+    if answers.limit(most_texts + 1).count() <= most_texts:
+        joined = told.withColumn("_text", asked).join(F.broadcast(answers), "_text", "left")
+    else:
+        spread = F.concat(F.lit(" "), F.xxhash64("source", "external_id", "title").cast("string"))
+        keyed = told.withColumn("_text", F.coalesce(asked, spread))
+        hot = hot_keys(keyed.filter(~F.col("_blank")), ["_text"], task_rows)
+        joined = salted_join(keyed, answers, ["_text"], "left", task_rows, hot)
+    return joined.withColumn(
+        "category_id", F.when(F.col("_blank"), F.col("keyword_id")).otherwise(F.col("resolved_id"))
+    ).drop("_text", "_blank")
 
 
 def is_false_positive() -> Column:

@@ -27,7 +27,7 @@ from ..functions.similarity import sizes_can_reach, token_set_score, tokens_agre
 from ..functions.size import extract_size
 from ..functions.text import brand_key, default_brand, tokenize_title
 from ..session import settle, settle_partitions
-from .category import distinct_texts, false_positive_filter, resolve_category, resolve_texts
+from .category import distinct_texts, false_positive_filter, guess_texts, open_texts, resolve_category, resolve_texts
 from .fuzzy import fuzzy_token_join
 from .maintain import PRODUCT_KEY, fill_category_once
 from .skew import TASK_ROWS, broadcast_if_small, salted_join
@@ -589,6 +589,7 @@ def match_products(
     keyword_map: DataFrame,
     raw_map: DataFrame,
     queue: DataFrame,
+    memo: DataFrame | None = None,
     **options,
 ) -> dict[str, DataFrame]:
     """The whole matching step of a run. ``masters`` may be a function that gives those of the blocks it is asked for;
@@ -596,9 +597,12 @@ def match_products(
 
     Returns: ``assigned`` (kept listings with master), ``dropped`` (false positives), ``unmatched``
     (numbers in the title that do not fit), ``masters`` (old and new, categories filled in),
-    ``links`` (product to master) and ``texts`` (resolved raw categories, for raw map and queue).
+    ``links`` (product to master), ``texts`` (resolved raw categories, for raw map and queue) and ``guesses`` (``memo``, the
+    guesses of earlier runs, with those of this one).
     """
-    texts = settle(resolve_texts(distinct_texts(listings), categories, raw_map, queue))
+    asked = settle(distinct_texts(listings))
+    guesses = settle(guess_texts(open_texts(asked, raw_map, queue), categories, memo))
+    texts = settle(resolve_texts(asked, categories, raw_map, queue, guesses))
     kept, dropped = false_positive_filter(settle(resolve_category(listings, keyword_map, texts)))
     prepared = prepare_listings(kept)
     titles = settle(parse_titles(prepared))
@@ -617,4 +621,5 @@ def match_products(
         "masters": fill_category_once(every, joined),
         "links": last_links(assigned),
         "texts": texts,
+        "guesses": guesses if memo is None else guesses.unionByName(memo.join(guesses.select("raw_text"), "raw_text", "left_anti")),
     }

@@ -62,6 +62,7 @@ def ingest_parsed(
         "masters": matched["masters"],
         "raw_map": rawmap_append(raw_map, accepted),
         "queue": review_enqueue(queue, doubtful),
+        "guesses": matched["guesses"],
         "quarantine": quarantine(parsed),
         "counts": run_counts(outcome),
     }
@@ -95,6 +96,7 @@ def ingest_into(
             first_queue if queue is None else queue,
             categories,
             keyword_map,
+            memo=part("guesses", texts),
             **options,
         )
         store.commit(version, after)

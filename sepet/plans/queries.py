@@ -329,7 +329,7 @@ def keyword_category(spark, sf_dir):
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return category.distinct_texts(views.listings(spark, sf_dir))
+    return settle(category.distinct_texts(views.listings(spark, sf_dir)))
 
 
 def _guesses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -344,7 +344,7 @@ def _resolved_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return category.resolve_category(
-        views.listings(spark, sf_dir), views.keyword_map(spark), _resolved_texts(spark, sf_dir)
+        views.listings(spark, sf_dir), views.keyword_map(spark), settle(_resolved_texts(spark, sf_dir))
     )
 
 

@@ -24,6 +24,7 @@ KEYS: Mapping[str, Sequence[str]] = {
     "masters": ("block",),
     "raw_map": ("raw_text",),
     "queue": ("raw_text",),
+    "guesses": ("raw_text",),
 }
 BUCKET = "bucket"
 #: An empty file in a bucket that no key has keeps the columns of a table without rows.
@@ -62,9 +63,9 @@ class TableStore:
         return [r[0] for r in rows.select(self._bucket(name)).distinct().collect()]
 
     def read(self, name: str, buckets: Sequence[int] | None = None) -> DataFrame | None:
-        """Current state of a table, or the given buckets of it; None before the first commit."""
+        """Current state of a table, or the given buckets of it; None before the first commit that has it."""
         at = self.version()
-        if at is None:
+        if at is None or (name in self.keys and name not in folder_names(self.spark, self.root)):
             return None
         if name not in self.keys:
             return self.spark.read.parquet(f"{self.root}/{name}/version={at}")

@@ -3,6 +3,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from sepet import session
 from sepet.operators import category, deals, maintain
 
 
@@ -124,3 +125,15 @@ def test_family_and_upper_median(spark, weights, counts, primary, median):
     offers = spark.createDataFrame(rows, "category_id int, family string, total_size decimal(18,4)")
     row = deals.family_stats(offers).first()
     assert (row["primary_unit"], row["median_size"], row["cap"]) == (primary, median, median * 3)
+
+
+def test_many_resolved_texts_are_joined_with_salts(spark, lookups):
+    """A third of the listings carry one text, a third none; the way for many texts gives what a broadcast gives."""
+    rows = [("s", k, "su" if k % 7 else "yok", [" Çay ", None, f"metin {k % 50}"][k % 3], f"t{k}") for k in range(600)]
+    df = spark.createDataFrame(rows, "source string, external_id long, search_term string, source_category string, title string")
+    texts = session.settle(category.resolve_texts(session.settle(category.distinct_texts(df)), lookups["categories"], lookups["raw_map"], lookups["queue"]))
+    columns = ["external_id", "keyword_id", "resolved_id", "category_id"]
+    few = category.resolve_category(df, lookups["keywords"], texts).select(columns)
+    many = category.resolve_category(df, lookups["keywords"], texts, task_rows=50, most_texts=3).select(columns)
+    assert sorted(few.collect()) == sorted(many.collect()) and few.count() == 600
+    assert "SortMergeJoin" in many._jdf.queryExecution().sparkPlan().toString() or "_salt" in many._jdf.queryExecution().sparkPlan().toString()

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from sepet.operators import match
+from sepet.operators import category, match
 from sepet.plans.ingest import ingest_into
 from sepet.plans.store import KEYS, TableStore
 from sepet.sources.feeds import FEED_SCHEMA
@@ -40,11 +40,13 @@ DAY1 = [(k, f"Doğa Ürün{k} Su {k} Lt", f"marka{k}", f"Yeni Su {k}") for k in
 DAY2 = [(7, "Doğa Ürün7 Su 7 Lt", "marka7", "Yeni Su 7")]
 
 
-def test_one_key_rewrites_one_bucket_of_each_table(spark, tmp_path, tables):
+def test_one_key_rewrites_one_bucket_of_each_table(spark, tmp_path, tables, monkeypatch):
     store = TableStore(spark, str(tmp_path), buckets=16)
     ingest_into(store, 1, feeds(spark, "2024-01-01", DAY1), *tables)
     assert store.read("products").count() == 59 and store.read("masters").count() == 59
     before = {name: files(tmp_path, name) for name in KEYS}
+    scored, guess = [], category.category_best_guess
+    monkeypatch.setattr(category, "category_best_guess", lambda texts, found: scored.append(texts.count()) or guess(texts, found))
     assert all(len(before[name]) > 8 for name in ("products", "masters", "queue"))
     ingest_into(store, 2, feeds(spark, "2024-01-02", DAY2), *tables)
     for name in KEYS:
@@ -54,6 +56,11 @@ def test_one_key_rewrites_one_bucket_of_each_table(spark, tmp_path, tables):
         assert len(changed) == (0 if name == "raw_map" else 1), name
     assert store.read("products").filter("external_id = 7").first()["last_updated"].day == 2
     assert store.read("masters").count() == 59
+    # The text's guess was known; with other categories it is not.
+    assert scored == [0] and store.read("guesses").count() == 59
+    categories, *others = tables
+    ingest_into(store, 3, feeds(spark, "2024-01-03", DAY2), categories.unionByName(spark.sql("SELECT 3 AS id, 'Kahve' AS name")), *others)
+    assert scored == [0, 1] and store.read("guesses").count() == 59
     # A run that is committed already does nothing, whatever it is given.
     now = {name: files(tmp_path, name) for name in KEYS}
     ingest_into(store, 2, feeds(spark, "2024-01-03", DAY1), *tables)
