@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.constants import PENDING
 from ..functions.text import brand_key, lower_text
 from ..session import settle
+from .bucketed import offer_keys
 from .skew import TASK_ROWS, broadcast_if_small, rank_in_groups, salted_join
 
 
@@ -30,8 +31,9 @@ def product_offers(masters: DataFrame, products: DataFrame, master_key: str | in
     if master_key is not None:
         masters = masters.filter(F.col("master_key") == F.lit(master_key))
         products = products.filter(F.col("master_key") == F.lit(master_key))
+    keys = offer_keys(masters, products)
     return (
-        products.join(masters.select("master_key", "canonical_title"), "master_key")
+        products.join(masters.select(*keys, "canonical_title"), keys)
         .select("master_key", "canonical_title", "source", "external_id", "price", "image_url", "product_url")
         .orderBy("master_key", "price", "source", "external_id")
     )

@@ -5,6 +5,7 @@ All categories are handled in one pass; a single one is a filter on ``category_i
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.constants import COUNT_FAMILY, COUNT_UNIT, OUTLIER_FACTOR, WEIGHT_OR_VOLUME
 from ..functions.size import is_weight_or_volume, total_size, unit_price
 from ..session import settle
+from .bucketed import offer_keys
 from .category import keyword_category
 from .skew import TASK_ROWS, broadcast_if_small, rank_in_groups
 
@@ -50,13 +52,12 @@ def deals_offers(masters: DataFrame, products: DataFrame, category_id: int | Non
     )
     if category_id is not None:
         chosen = chosen.filter(F.col("category_id") == category_id)
-    chosen = chosen.select(
-        "master_key", "canonical_title", "brand", "category_id", "size_value", "size_unit", "pack_quantity"
-    )
-    linked = products.select("master_key", "source", "external_id", "price", "image_url", "product_url")
+    keys = offer_keys(masters, products)
+    chosen = chosen.select(*keys, "canonical_title", "brand", "category_id", "size_value", "size_unit", "pack_quantity")
+    linked = products.select(*keys, "source", "external_id", "price", "image_url", "product_url")
     size_columns = [F.col("size_value"), F.col("size_unit"), F.col("pack_quantity")]
     return (
-        linked.join(chosen, "master_key")
+        linked.join(chosen, keys)
         .withColumn("total_size", total_size(F.col("size_value"), F.col("pack_quantity")))
         .withColumn("price_per_unit", unit_price(F.col("price"), *size_columns))
         .filter(F.col("price_per_unit").isNotNull())
@@ -80,33 +81,59 @@ def q_frame(like: DataFrame, q: str) -> DataFrame:
     return like.sparkSession.range(1).select(F.lit(q).alias("search_term"))
 
 
-def family_stats(offers: DataFrame, outlier_factor: int = OUTLIER_FACTOR) -> DataFrame:
+def size_ranges(folded: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
+    """(category_id, total_size, n) with ``part``, the number of the range of (category_id, total_size) a row lies in;
+    ranges hold about ``task_rows`` rows, whatever the categories hold."""
+    parts = math.ceil(folded.count() / task_rows)
+    if parts <= 1:
+        return folded.withColumn("part", F.lit(0))
+    # Written with its number: bounds of ranges are sampled, a second computation might cut elsewhere.
+    return settle(folded.repartitionByRange(parts, "category_id", "total_size").withColumn("part", F.spark_partition_id()))
+
+
+def upper_medians(ranged: DataFrame, halves: DataFrame) -> DataFrame:
+    """(category_id, median_size): the first size up to which there are more than ``half`` listings.
+
+    Sums per range tell in which range of a category it lies; only that range is looked at row by row.
+    """
+    before = Window.partitionBy("category_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy("category_id", "part").agg(F.sum("n").alias("inside"))
+    placed = sums.withColumn("before", F.coalesce(F.sum("inside").over(before), F.lit(0))).join(halves, "category_id")
+    holds = (F.col("before") <= F.col("half")) & (F.col("half") < F.col("before") + F.col("inside"))
+    chosen = placed.filter(holds).select("category_id", "part", "before", "half")
+    upto = F.col("before") + F.sum("n").over(Window.partitionBy("category_id").orderBy("total_size"))
+    inside = ranged.join(broadcast_if_small(chosen), ["category_id", "part"]).withColumn("upto", upto)
+    return inside.groupBy("category_id").agg(F.min(F.when(F.col("upto") > F.col("half"), F.col("total_size"))).alias("median_size"))
+
+
+def family_stats(offers: DataFrame, outlier_factor: int = OUTLIER_FACTOR, task_rows: int = TASK_ROWS) -> DataFrame:
     """Per category: listings per family, primary family, upper median size and outlier cap.
 
-    Listings are folded to (category, family, size, n) first, so the windows run over distinct
-    sizes and never over the listings of a category.
+    Listings are folded to (category, family, size, n) first, and the median is looked for in one range of sizes, so
+    that no task sees the listings, or all the sizes, of a large category.
     """
-    folded = (
+    folded = settle(
         offers.filter(F.col("family").isNotNull())
         .groupBy("category_id", "family", "total_size")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    category = Window.partitionBy("category_id")
-    in_family = lambda name: F.sum(F.when(F.col("family") == name, F.col("n")).otherwise(0)).over(category)
-    marked = (
-        folded.withColumn("n_weight", in_family(WEIGHT_OR_VOLUME))
-        .withColumn("n_count", in_family(COUNT_FAMILY))
-        .withColumn(
-            "primary_unit",
-            F.when(F.col("n_weight") >= F.col("n_count"), WEIGHT_OR_VOLUME).otherwise(COUNT_FAMILY),
-        )
-        .withColumn("n", F.when(F.col("family") == F.col("primary_unit"), F.col("n")).otherwise(0))
-        .withColumn("upto", F.sum("n").over(category.orderBy("total_size")))
+    in_family = lambda name: F.sum(F.when(F.col("family") == name, F.col("n")).otherwise(0))
+    unit = F.when(F.col("n_weight") >= F.col("n_count"), WEIGHT_OR_VOLUME).otherwise(COUNT_FAMILY)
+    totals = settle(
+        folded.groupBy("category_id")
+        .agg(in_family(WEIGHT_OR_VOLUME).alias("n_weight"), in_family(COUNT_FAMILY).alias("n_count"))
+        .withColumn("primary_unit", unit)
+        .withColumn("half", F.floor(F.greatest("n_weight", "n_count") / 2))
+    )
+    main = folded.join(broadcast_if_small(totals.select("category_id", "primary_unit")), "category_id").filter(
+        F.col("family") == F.col("primary_unit")
     )
-    half = F.floor(F.greatest("n_weight", "n_count") / 2)
+    ranged = size_ranges(main.select("category_id", "total_size", "n"), task_rows)
+    medians = upper_medians(ranged, totals.select("category_id", "half"))
     return (
-        marked.groupBy("category_id", "primary_unit", "n_weight", "n_count")
-        .agg(F.min(F.when((F.col("n") > 0) & (F.col("upto") > half), F.col("total_size"))).alias("median_size"))
+        totals.drop("half")
+        .join(medians, "category_id", "left")
+        .select("category_id", "primary_unit", "n_weight", "n_count", "median_size")
         .withColumn("cap", F.col("median_size") * outlier_factor)
     )
 

@@ -314,3 +314,8 @@ SQL["stream_upsert"] = """WITH last AS (SELECT *, row_number() OVER (PARTITION B
  CASE WHEN k % 2 = 0 THEN 'even' END AS source_category, 'http://event/' || first_id AS product_url,
  strftime(ts, '%Y-%m-%d %H:%M:%S') AS last_updated FROM last WHERE rn = 1"""
 SQL["stream_ingest"] = SQL["ingest_run"]
+
+# The same answers by the ways for large groups.
+SQL["product_offers_bucketed"] = SQL["product_offers"]
+SQL["deals_offers_bucketed"] = SQL["deals_offers"]
+SQL["deals_median_split"] = SQL["deals_median_cap"]

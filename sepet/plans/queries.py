@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import display, keys, similarity, size, text
-from ..operators import catalog, category, deals, fuzzy, maintain, match
+from ..operators import bucketed, catalog, category, deals, fuzzy, maintain, match
 from ..session import new_shared_path, settle
 from ..sources import feeds
 from ..sources.layouts import ACTIVE, FIELDS
@@ -56,6 +56,12 @@ def product_offers(spark, sf_dir):
     return catalog.product_offers(*_catalog(spark, sf_dir))
 
 
+@register
+def product_offers_bucketed(spark, sf_dir):
+    """Offers out of tables in buckets, masters with more than four listings in parts."""
+    return catalog.product_offers(*bucketed.save_in_buckets(*_catalog(spark, sf_dir), buckets=8, task_rows=4))
+
+
 @register
 def product_search(spark, sf_dir):
     return catalog.product_search(*_catalog(spark, sf_dir))
@@ -183,6 +189,12 @@ def deals_offers(spark, sf_dir):
     return _offer(deals.deals_offers(*_catalog(spark, sf_dir)), "master_key", "image_url", "product_url")
 
 
+@register
+def deals_offers_bucketed(spark, sf_dir):
+    stored = bucketed.save_in_buckets(*_catalog(spark, sf_dir), buckets=8, task_rows=4)
+    return _offer(deals.deals_offers(*stored), "master_key", "image_url", "product_url")
+
+
 @register
 def deals_by_text(spark, sf_dir):
     return _offer(deals.deals_for_text(*_catalog(spark, sf_dir), views.keyword_map(spark), "Gizmo"))
@@ -200,6 +212,13 @@ def deals_median_cap(spark, sf_dir):
     return stats.select("category_id", "median_size", "cap")
 
 
+@register
+def deals_median_split(spark, sf_dir):
+    """The same with sizes dealt to ranges of a few rows."""
+    stats = deals.family_stats(deals.deals_offers(*_catalog(spark, sf_dir)), task_rows=20)
+    return stats.select("category_id", "median_size", "cap")
+
+
 @register
 def deals_ranked(spark, sf_dir):
     return _offer(deals.deals_ranked(*_sections(spark, sf_dir, *_DEAL)), "rank")
