@@ -176,8 +176,8 @@ def _needed(n: Column, l_n: Column, threshold: float) -> Column:
     return F.ceil((n + l_n) * (threshold / (1 + threshold)) - 1e-9).cast("int")
 
 
-def _width(terms: Column, n: Column, needed: Column, leaders: Column) -> Column:
-    """How many agreeing tokens make a key, up to ``MOST_WIDTH`` and to what is needed.
+def _width(terms: Column, n: Column, needed: Column, leaders: Column, most_width: int) -> Column:
+    """How many agreeing tokens make a key, up to ``most_width`` and to what is needed.
 
     The least that is expected to find no more than ``FEW`` leaders for a probe, else what is expected to find fewest. The
     expectation takes the probe's first n - needed + k terms for alike and independent.
@@ -189,27 +189,34 @@ def _width(terms: Column, n: Column, needed: Column, leaders: Column) -> Column:
         ways = reduce(lambda x, i: x * (F.size(first) - i) / (i + 1), range(k), F.lit(1.0))
         return ways * mean**k / leaders ** (k - 1)
 
-    widths = range(1, MOST_WIDTH + 1)
+    widths = range(1, most_width + 1)
     possible = F.array(*[F.struct(expected(k).alias("cost"), F.lit(k).alias("k")) for k in widths])
     possible = F.filter(possible, lambda x: x["k"] <= needed)
     enough = F.filter(possible, lambda x: x["cost"] <= FEW)
     return F.coalesce(F.get(enough, F.lit(0))["k"], F.array_min(possible)["k"])
 
 
-def candidate_pairs(leaders: DataFrame, probes: DataFrame, threshold: float = MATCH_THRESHOLD) -> DataFrame:
-    """Distinct (block, l_sig, sig) of non-empty sets among which are all that reach the threshold.
+def file_leaders(held: DataFrame, k: int) -> DataFrame:
+    """Leaders (with ``l_tokens``, sorted) under every ``k`` of their tokens, in ``key``."""
+    return _combinations(held, "l_tokens", k).drop("l_tokens").withColumnRenamed("chosen", "key")
 
-    A pair that reaches it has at least ``a`` tokens of the probe that agree, one to one, with tokens of the leader. So of
-    any n - a + k tokens of the probe, k do. The probe is looked up by every k of those n - a + k of its tokens that are
-    agreed with least often, through all tokens that agree with them; a leader is filed under every k of its tokens. The
-    sizes of both sets are part of the key, and a match after the probe's last token looked at is never needed. k is
-    one where tokens are rare, more where all are common (see ``_width``), so that keys stay selective.
+
+def candidates_among(
+    probes: DataFrame,
+    posted: DataFrame,
+    sizes: DataFrame,
+    filed: Callable[[int, DataFrame], DataFrame],
+    threshold: float,
+    most_width: int = MOST_WIDTH,
+) -> DataFrame | None:
+    """Rows of ``filed`` with the ``sig`` of a probe, one for each key they share; None where no probe can match.
+
+    ``posted`` counts the leaders of a block that have a token (block, token_b, posts), ``sizes`` all of them (block,
+    n_leaders). ``filed(k, wanted)`` gives leaders (block, l_n, key, ...) under every k of their tokens, for the blocks and
+    sizes wanted. See ``candidate_pairs``.
     """
-    leaders = leaders.select("block", F.col("sig").alias("l_sig")).filter(F.col("l_sig") != "")
     probes = probes.select(*SHAPE).filter(F.col("sig") != "")
-    held = leaders.withColumn("l_tokens", F.array_sort(_tokens(F.col("l_sig")))).withColumn("l_n", F.size("l_tokens"))
     terms = probes.withColumn("token", F.explode(_tokens(F.col("sig"))))
-    posted = held.select("block", F.explode("l_tokens").alias("token_b")).groupBy("block", "token_b").agg(F.count(F.lit(1)).alias("posts"))
     agreeing = settle(
         fuzzy_token_join(terms, posted.withColumnRenamed("token_b", "token"), by=["block"]).join(
             posted, ["block", "token_b"]
@@ -221,7 +228,7 @@ def candidate_pairs(leaders: DataFrame, probes: DataFrame, threshold: float = MA
         .groupBy(*SHAPE)
         .agg(F.array_sort(F.collect_list(F.struct(F.coalesce("weight", F.lit(0)).alias("weight"), "token"))).alias("terms"))
         .withColumn("n", F.size("terms"))
-        .join(leaders.groupBy("block").agg(F.count(F.lit(1)).alias("n_leaders")), "block")
+        .join(sizes, "block")
     )
     # Bounds err on the side of more candidates; the score decides.
     slack = 1e-9
@@ -230,7 +237,7 @@ def candidate_pairs(leaders: DataFrame, probes: DataFrame, threshold: float = MA
     needed = _needed(F.col("n"), F.col("l_n"), threshold)
     asked = settle(
         ranked.withColumn("l_n", F.explode(F.sequence(F.greatest(least, F.lit(1)), most)))
-        .withColumn("k", _width(F.col("terms"), F.col("n"), needed, F.col("n_leaders")))
+        .withColumn("k", _width(F.col("terms"), F.col("n"), needed, F.col("n_leaders"), most_width))
         .withColumn("first", F.slice("terms", F.lit(1), F.col("n") - needed + F.col("k")))
         .select(*SHAPE, "l_n", "k", F.transform(F.filter("first", lambda t: t["weight"] > 0), lambda t: t["token"]).alias("first"))
         .filter(F.size("first") >= F.col("k"))
@@ -244,10 +251,31 @@ def candidate_pairs(leaders: DataFrame, probes: DataFrame, threshold: float = MA
             keys = keys.withColumn(f"a{i}", F.get("chosen", F.lit(i))).join(step, ["block", f"a{i}"])
         sought = F.array_sort(F.array_distinct(F.array(*[f"b{i}" for i in range(k)])))
         keys = keys.withColumn("key", sought).filter(F.size("key") == k).select("block", "l_n", "key", "sig")
-        filed = held.join(mine.select("block", "l_n").distinct(), ["block", "l_n"], "left_semi")
-        filed = _combinations(filed, "l_tokens", k).select("block", "l_n", F.col("chosen").alias("key"), "l_sig")
-        found.append(keys.join(filed, ["block", "l_n", "key"]).select("block", "l_sig", "sig"))
-    return reduce(DataFrame.unionByName, found).distinct() if found else leaders.join(probes, "block").select("block", "l_sig", "sig").limit(0)
+        found.append(keys.join(filed(k, mine.select("block", "l_n").distinct()), ["block", "l_n", "key"]))
+    return reduce(DataFrame.unionByName, found) if found else None
+
+
+def candidate_pairs(leaders: DataFrame, probes: DataFrame, threshold: float = MATCH_THRESHOLD) -> DataFrame:
+    """Distinct (block, l_sig, sig) of non-empty sets among which are all that reach the threshold.
+
+    A pair that reaches it has at least ``a`` tokens of the probe that agree, one to one, with tokens of the leader. So of
+    any n - a + k tokens of the probe, k do. The probe is looked up by every k of those n - a + k of its tokens that are
+    agreed with least often, through all tokens that agree with them; a leader is filed under every k of its tokens. The
+    sizes of both sets are part of the key, and a match after the probe's last token looked at is never needed. k is
+    one where tokens are rare, more where all are common (see ``_width``), so that keys stay selective.
+    """
+    leaders = leaders.select("block", F.col("sig").alias("l_sig")).filter(F.col("l_sig") != "")
+    held = leaders.withColumn("l_tokens", F.array_sort(_tokens(F.col("l_sig")))).withColumn("l_n", F.size("l_tokens"))
+    posted = held.select("block", F.explode("l_tokens").alias("token_b")).groupBy("block", "token_b").agg(F.count(F.lit(1)).alias("posts"))
+    sizes = leaders.groupBy("block").agg(F.count(F.lit(1)).alias("n_leaders"))
+
+    def filed(k: int, wanted: DataFrame) -> DataFrame:
+        return file_leaders(held.join(wanted, ["block", "l_n"], "left_semi"), k)
+
+    found = candidates_among(probes, posted, sizes, filed, threshold)
+    if found is None:
+        return leaders.join(probes.select(*SHAPE), "block").limit(0).select("block", "l_sig", "sig")
+    return found.select("block", "l_sig", "sig").distinct()
 
 
 def match_pairs(leaders: DataFrame, probes: DataFrame, threshold: float = MATCH_THRESHOLD) -> DataFrame:
@@ -491,8 +519,7 @@ def best_match(
     if many is not None:
         asked = shapes.join(broadcast_if_small(many.select("block").distinct()), "block", "left_semi")
         records = records.unionByName(_lookup_blocks(many, asked, threshold))
-    matched = _with_master(listings, titles, records, task_rows)
-    return matched.withColumn("master_key", F.col("_best.key")).withColumn("score", F.col("_best.score")).drop("_best")
+    return with_best_master(listings, titles, records, task_rows)
 
 
 def _lookup_blocks(stored: DataFrame, asked: DataFrame, threshold: float) -> DataFrame:
@@ -512,10 +539,13 @@ def _lookup_blocks(stored: DataFrame, asked: DataFrame, threshold: float) -> Dat
     one = F.lit(1.0).alias("score")
     by_blank = every.filter((F.col("sig") != "") & F.col("blank").isNotNull()).select(*SHAPE, one, F.col("blank").alias("at"))
     blanks = every.filter(F.col("sig") == "").select(*SHAPE, one, F.col("head").alias("at"))
+    return best_records(by_shape.unionByName(by_blank).unionByName(blanks))
+
+
+def best_records(scored: DataFrame) -> DataFrame:
+    """Records of shapes out of (block, sig, score, at) with the order and key of a leader in ``at``."""
     return (
-        by_shape.unionByName(by_blank)
-        .unionByName(blanks)
-        .groupBy(*SHAPE, "score")
+        scored.groupBy(*SHAPE, "score")
         .agg(F.min("at").alias("at"))
         .groupBy(*SHAPE)
         .agg(F.array_sort(F.collect_list(F.struct("at.ord", "at.key", "score"))).alias("scored"))
@@ -523,6 +553,12 @@ def _lookup_blocks(stored: DataFrame, asked: DataFrame, threshold: float) -> Dat
     )
 
 
+def with_best_master(listings: DataFrame, titles: DataFrame, records: DataFrame, task_rows: int) -> DataFrame:
+    """Each listing's best stored master and its score, out of the records of its token set."""
+    matched = _with_master(listings, titles, records, task_rows)
+    return matched.withColumn("master_key", F.col("_best.key")).withColumn("score", F.col("_best.score")).drop("_best")
+
+
 def assign_masters(
     listings: DataFrame,
     masters: DataFrame | None = None,
@@ -596,7 +632,7 @@ def match_products(
     only these come back then.
 
     Returns: ``assigned`` (kept listings with master), ``dropped`` (false positives), ``unmatched``
-    (numbers in the title that do not fit), ``masters`` (old and new, categories filled in),
+    (numbers in the title that do not fit), ``masters`` (old and new, categories filled in), ``founded`` (the new ones),
     ``links`` (product to master), ``texts`` (resolved raw categories, for raw map and queue) and ``guesses`` (``memo``, the
     guesses of earlier runs, with those of this one).
     """
@@ -619,6 +655,7 @@ def match_products(
         "dropped": dropped,
         "unmatched": placed.filter(~F.col("size_ok")),
         "masters": fill_category_once(every, joined),
+        "founded": founded,
         "links": last_links(assigned),
         "texts": texts,
         "guesses": guesses if memo is None else guesses.unionByName(memo.join(guesses.select("raw_text"), "raw_text", "left_anti")),

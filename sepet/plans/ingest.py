@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..operators.category import distinct_texts
 from ..operators.maintain import link_update, rawmap_append, review_enqueue, run_counts, upsert_latest
-from ..operators.match import match_products
+from ..operators import postings
+from ..operators.match import match_products, prepare_masters
 from ..session import settle, settling
 from ..sources.feeds import good_listings, quarantine, union_parsed
 from ..sources.layouts import ACTIVE
@@ -27,7 +28,7 @@ def ingest_run(
     sources: Iterable[str] = ACTIVE,
     **options,
 ) -> dict[str, DataFrame]:
-    """New state of all tables, with this run's ``quarantine`` and ``counts``."""
+    """New state of all tables, with this run's ``quarantine``, ``counts`` and ``founded`` masters."""
     parsed = settle(union_parsed(feeds, sources))
     return ingest_parsed(parsed, products, masters, raw_map, queue, categories, keyword_map, **options)
 
@@ -60,6 +61,7 @@ def ingest_parsed(
     return {
         "products": link_update(upsert_latest(products, listings), matched["links"]),
         "masters": matched["masters"],
+        "founded": matched["founded"],
         "raw_map": rawmap_append(raw_map, accepted),
         "queue": review_enqueue(queue, doubtful),
         "guesses": matched["guesses"],
@@ -99,5 +101,9 @@ def ingest_into(
             memo=part("guesses", texts),
             **options,
         )
-        store.commit(version, after)
+        # What this run founded goes into the index, in the buckets of its blocks.
+        founded = settle(prepare_masters(after["founded"]))
+        old = {name: part(name, founded) for name in postings.TABLES}
+        index = postings.merge_index(old, postings.index_masters(founded))
+        store.commit(version, {**{name: df for name, df in after.items() if name != "founded"}, **index})
     store.expire()

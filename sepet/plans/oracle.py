@@ -319,3 +319,4 @@ SQL["stream_ingest"] = SQL["ingest_run"]
 SQL["product_offers_bucketed"] = SQL["product_offers"]
 SQL["deals_offers_bucketed"] = SQL["deals_offers"]
 SQL["deals_median_split"] = SQL["deals_median_cap"]
+SQL["best_match_indexed"] = SQL["best_match"]

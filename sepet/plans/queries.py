@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import display, keys, similarity, size, text
-from ..operators import bucketed, catalog, category, deals, fuzzy, maintain, match
+from ..operators import bucketed, catalog, category, deals, fuzzy, maintain, match, postings
 from ..session import new_shared_path, settle
 from ..sources import feeds
 from ..sources.layouts import ACTIVE, FIELDS
@@ -508,6 +508,19 @@ def best_match_joined(spark, sf_dir):
     return found.select("source", "seq.pos", "master_key", F.round("score", 9).alias("score"))
 
 
+@register
+def best_match_indexed(spark, sf_dir):
+    """Out of the token index that a store keeps of its masters, half of them added to it later."""
+    stored = match.prepare_masters(views.stored_masters(spark, sf_dir))
+    store = TableStore(spark, new_shared_path(spark, "index"))
+    for version, half in enumerate((stored.filter("pmod(xxhash64(master_key), 2) = 0"), stored.filter("pmod(xxhash64(master_key), 2) = 1")), 1):
+        half = settle(half)
+        old = {name: store.read(name, store.touched(name, half)) for name in postings.TABLES}
+        store.commit(version, postings.merge_index(old, postings.index_masters(half)))
+    found = postings.best_match_indexed(_prepared(spark, sf_dir), {name: store.read(name) for name in postings.TABLES})
+    return found.select("source", "seq.pos", "master_key", F.round("score", 9).alias("score"))
+
+
 @register
 def assign_masters_joined(spark, sf_dir):
     found = match.assign_masters(_prepared(spark, sf_dir), fold_bytes=NO_FOLD)

@@ -14,6 +14,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.postings import TABLES as INDEX_TABLES
 from ..session import delete_path, folder_names
 
 #: Buckets of a new store; about a gigabyte of the largest table in each is a good choice.
@@ -25,6 +26,7 @@ KEYS: Mapping[str, Sequence[str]] = {
     "raw_map": ("raw_text",),
     "queue": ("raw_text",),
     "guesses": ("raw_text",),
+    **dict.fromkeys(INDEX_TABLES, ("block",)),
 }
 BUCKET = "bucket"
 #: An empty file in a bucket that no key has keeps the columns of a table without rows.
