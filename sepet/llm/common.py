@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,19 +39,6 @@ def words_of(text: str | None) -> list[bytes]:
     return [] if text is None else text.encode("utf-8", "surrogatepass").lower().split()
 
 
-_BLANK = re.compile(r"[\x20\x09-\x0D]+")
-
-
-def texts_of(column: pa.Array | pa.ChunkedArray) -> list[str | None]:
-    return column.to_pylist()
-
-
-def rows_in(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple]:
-    """Rows of Arrow batches as tuples of the named columns, one batch at a time."""
-    for batch in batches:
-        yield from zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names), strict=True)
-
-
 def _mark(edges: DataFrame) -> tuple:
     row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     return row[0], row[1]

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import settle
-from .common import WORD, col
+from .common import WORD, col, fresh_name
 
 # Fixed values of the contract; its symbols are #*$%&|<>.
 LEAST_WORDS = 50
@@ -55,25 +55,26 @@ def _repeat_words(words: Column) -> Column:
 
 def text_statistics(df: DataFrame, text: str) -> DataFrame:
     """``df`` with the statistics of its texts, all bigint: n_words, word_chars, n_symbols, n_dup_lines,
-    n_repeat_words, and for the rules n_upper (ASCII capitals), n_distinct (distinct words) and n_lines. Built-in functions inside one row only; null counts as empty. Columns of the
-    same names are replaced."""
-    rows = df.drop(*[c for c in (*STATISTICS, "_dl_words", "_dl_lines", "_dl_text") if c in df.columns])
-    t = F.col("_dl_text")
+    n_repeat_words, and for the rules n_upper (ASCII capitals), n_distinct (distinct words) and n_lines. Built-in functions inside one row only; null counts as empty, repeated rows
+    are rows like others, an empty table gives an empty result. Columns of the same names (case-blind) are replaced."""
+    rows = df.drop(*STATISTICS)
+    its_words, its_lines, its_text = fresh_name(rows, "_dl_words", "_dl_lines", "_dl_text")
+    t = F.col(its_text)
     only = lambda others: F.length(F.regexp_replace(t, others, "")).cast("bigint")
     lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(WORD))
-    read = rows.withColumn("_dl_text", F.coalesce(col(text), F.lit("")))
-    read = read.withColumn("_dl_words", F.regexp_extract_all(t, F.lit(WORD), F.lit(0))).withColumn("_dl_lines", lines)
-    words = F.col("_dl_words")
+    read = rows.withColumn(its_text, F.coalesce(col(text), F.lit("")))
+    read = read.withColumn(its_words, F.regexp_extract_all(t, F.lit(WORD), F.lit(0))).withColumn(its_lines, lines)
+    words = F.col(its_words)
     return read.select(
         *[col(c) for c in rows.columns],
         F.size(words).cast("bigint").alias("n_words"),
         only(r"[\x20\x09-\x0D]++").alias("word_chars"),
         only(r"[^#*$%&|<>]++").alias("n_symbols"),
-        (F.size("_dl_lines") - F.size(F.array_distinct("_dl_lines"))).cast("bigint").alias("n_dup_lines"),
+        (F.size(its_lines) - F.size(F.array_distinct(its_lines))).cast("bigint").alias("n_dup_lines"),
         _repeat_words(words).alias("n_repeat_words"),
         only(r"[^A-Z]++").alias("n_upper"),
         F.size(F.array_distinct(words)).cast("bigint").alias("n_distinct"),
-        F.size("_dl_lines").cast("bigint").alias("n_lines"),
+        F.size(its_lines).cast("bigint").alias("n_lines"),
     )
 
 
@@ -234,17 +235,10 @@ def verdict(rules: list[Rule]) -> Column:
 def apply_rules(stats: DataFrame, rules: list[Rule]) -> DataFrame:
     """Statistics with ``base_failed``, ``rule`` (0: none) and ``kept``."""
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_SHARE * F.col("n_words"))
-    rows = stats.drop(*[c for c in ("base_failed", "rule", "kept") if c in stats.columns])
+    rows = stats.drop("base_failed", "rule", "kept")
     return rows.select("*", failed.alias("base_failed"), verdict(rules).cast("int").alias("rule")).withColumn(
         "kept", ~F.col("base_failed") & (F.col("rule") == 0)
     )
 
 
-def labelled_statistics(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Statistics of the documents that have a quality label: doc_id, quality and the statistics."""
-    marks = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    known = docs.select(col(doc_id).alias("doc_id"), col(text).alias("text"))
-    return text_statistics(known, "text").drop("text").join(marks, "doc_id")
-
-
-__all__ = ["apply_rules", "labelled_statistics", "learn_rules", "text_statistics", "verdict"]
+__all__ = ["apply_rules", "learn_rules", "text_statistics", "verdict"]

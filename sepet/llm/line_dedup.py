@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import settle
-from .common import BLANKS, col
+from .common import BLANKS, col, fresh_name
 
 RATIO = 0.1
 LEAST_PAGES = 3
@@ -54,15 +54,16 @@ def drop_boilerplate_lines(
 
     Lines end at \\n and are compared trimmed. A line is boilerplate on a host if it stands on at least
     ``least_pages`` of its rows and on more than ``ratio`` of them. Blank lines stay. Null hosts are one host;
-    a null text has no lines and stays null; repeated rows count as so many pages; extra columns are passed
-    on (new names replace columns of the same name).
+    a null text has no lines and stays null; repeated rows count as so many pages; an empty table gives an empty result;
+    extra columns are passed on, whatever their names (new columns replace those of the same name, case-blind).
 
     Lines are reduced to 128-bit digests, so line texts are never shuffled; a host's counts meet by
     (host, digest) after map-side sums, so a hot host is spread over its lines. A host has at most (lines per
     page) / ratio boilerplate lines, however many pages it has: that list, not a page, is joined by host,
     broadcast only where its measured size is within a fixed bound.
     """
-    rows = df.drop(*[c for c in (kept, n_lines, n_dropped) if c in df.columns])
+    rows = df.drop(kept, n_lines, n_dropped)
+    by_host, its_lines, left_lines = fresh_name(rows, "_bl_host", "_bl_lines", "_bl_left")
     lines = F.split(col(text), "\n", -1)
     digest = lambda x: F.unhex(F.md5(_trimmed(x)))
     full = F.filter(lines, lambda x: _trimmed(x) != "")
@@ -73,20 +74,20 @@ def drop_boilerplate_lines(
     listed = (
         often.join(totals.withColumnRenamed("h", "th"), F.col("h").eqNullSafe(F.col("th")))
         .filter(F.col("n") > F.lit(float(ratio)) * F.col("pages"))
-        .groupBy(F.col("h").alias("_bl_host"))
-        .agg(F.collect_list("d").alias("_bl_lines"))
+        .groupBy(F.col("h").alias(by_host))
+        .agg(F.collect_list("d").alias(its_lines))
     )
     listed = settle(listed)
-    weight = listed.agg(F.sum(F.size("_bl_lines") * 16 + 64)).first()[0] or 0
+    weight = listed.agg(F.sum(F.size(its_lines) * 16 + 64)).first()[0] or 0
     if weight <= BROADCAST_BYTES:
         listed = F.broadcast(listed)
-    joined = rows.join(listed, col(host).eqNullSafe(F.col("_bl_host")), "left")
-    left = F.filter(lines, lambda x: ~F.array_contains(F.col("_bl_lines"), digest(x)))
-    judged = joined.withColumn("_bl_left", F.when(F.col("_bl_lines").isNull(), lines).otherwise(left))
+    joined = rows.join(listed, col(host).eqNullSafe(F.col(by_host)), "left")
+    left = F.filter(lines, lambda x: ~F.array_contains(F.col(its_lines), digest(x)))
+    judged = joined.withColumn(left_lines, F.when(F.col(its_lines).isNull(), lines).otherwise(left))
     number = lambda c: F.when(c.isNull(), 0).otherwise(F.size(c)).cast("bigint")
     return judged.select(
         *[col(c) for c in rows.columns],
-        F.array_join("_bl_left", "\n").alias(kept),
+        F.array_join(left_lines, "\n").alias(kept),
         number(full).alias(n_lines),
-        (number(lines) - number(F.col("_bl_left"))).alias(n_dropped),
+        (number(lines) - number(F.col(left_lines))).alias(n_dropped),
     )

@@ -65,10 +65,9 @@ def mix_sources(
 
     Null sources are one source; null sizes count as 0; a source of size 0 takes nothing. Rows that tie in
     key and size are interchangeable. An empty table gives an empty result. ``sizes`` may give the
-    same rows in a form that is cheaper to read, with the size in ``sizes_column``.
+    same rows in a form that is cheaper to read, with the size in ``sizes_column``. Columns of ``rows`` may have any names;
+    those named as a new column (case-blind) are replaced.
     """
-    names = ["_mix_source", "_mix_size", "_mix_key", "_mix_range"]
-    assert not set(names) & set(rows.columns), "reserved column names"
     light = (rows if sizes is None else sizes).select(
         col(source).alias("source"),
         F.coalesce(col(sizes_column or size), F.lit(0)).cast("bigint").alias("size"),
@@ -83,29 +82,20 @@ def mix_sources(
     before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("source", "range", F.coalesce(F.sum("range_size").over(before), F.lit(0)).alias("start"))
     starts = starts.join(targets, starts["source"].eqNullSafe(targets["source"])).select(
-        starts["source"].alias(names[0]), F.col("range").alias(names[3]), "start", "source_size", "target"
+        starts["source"].alias("its_source"), F.col("range").alias("its_range"), "start", "source_size", "target"
     )
+    # The row is one column, so that no name of its own can clash with those below.
     keyed = rows.select(
-        "*", col(source).alias("_mix_s"), F.coalesce(col(size), F.lit(0)).cast("bigint").alias(names[1]), key.alias(names[2])
-    ).withColumn("_mix_r", place(F.col(names[2])))
-    inside = (
-        Window.partitionBy("_mix_s", "_mix_r")
-        .orderBy(names[2], names[1])
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    summed = keyed.withColumn("_mix_before", F.coalesce(F.sum(names[1]).over(inside), F.lit(0)))
-    placed = summed.join(
-        starts.withColumnsRenamed({"start": "_mix_start", "source_size": "_mix_total", "target": "_mix_target"}),
-        F.col("_mix_s").eqNullSafe(F.col(names[0])) & (F.col("_mix_r") == F.col(names[3])),
-    )
-    budget = F.floor(F.col("_mix_target") + 0.5).cast("bigint")
-    epochs = F.when(F.col("_mix_total") > 0, F.expr("cast(floor(_mix_target + 0.5) as bigint) div _mix_total")).otherwise(0)
-    rest = budget - epochs * F.col("_mix_total") - F.col("_mix_start") - F.col("_mix_before")
-    taken = epochs * F.col(names[1]) + F.greatest(F.lit(0), F.least(F.col(names[1]), rest))
-    clash = {"source_size", "target", "taken"}
+        F.struct("*").alias("row"), col(source).alias("source"), F.coalesce(col(size), F.lit(0)).cast("bigint").alias("size"), key.alias("key")
+    ).withColumn("range", place(F.col("key")))
+    inside = Window.partitionBy("source", "range").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, -1)
+    summed = keyed.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    placed = summed.join(starts, F.col("source").eqNullSafe(F.col("its_source")) & (F.col("range") == F.col("its_range")))
+    budget = F.floor(F.col("target") + 0.5).cast("bigint")
+    epochs = F.when(F.col("source_size") > 0, F.expr("cast(floor(target + 0.5) as bigint) div source_size")).otherwise(0)
+    rest = budget - epochs * F.col("source_size") - F.col("start") - F.col("before")
+    taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest))
+    new = {"source_size": F.col("source_size"), "target": F.col("target"), "taken": taken.cast("bigint")}
     return placed.select(
-        *[col(c) for c in rows.columns if c not in clash],
-        F.col("_mix_total").alias("source_size"),
-        F.col("_mix_target").alias("target"),
-        taken.cast("bigint").alias("taken"),
+        *[F.col("row")[c].alias(c) for c in rows.columns if c.lower() not in new], *[value.alias(c) for c, value in new.items()]
     )

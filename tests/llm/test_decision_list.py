@@ -61,3 +61,13 @@ def test_base_rule(docs_of):
     texts = [good, good[:-4], "a b c " * 40, None]
     out = apply_rules(text_statistics(docs_of(texts), "text"), []).orderBy("doc_id").collect()
     assert [(r["base_failed"], r["kept"]) for r in out] == [(False, True), (True, False), (True, False), (True, False)]
+
+
+def test_names_do_not_clash(docs_of):
+    df = docs_of(["a b", None, "A b\nc"])
+    for name in ("N_Words", "_dl_words", "_DL_TEXT", "_dl_lines", "Kept"):
+        df = df.withColumn(name, F.lit("x"))
+    out = apply_rules(text_statistics(df, "text"), [])
+    assert {r["doc_id"]: (r["n_words"], r["n_lines"], r["kept"], r["_dl_words"], r["_DL_TEXT"]) for r in out.collect()} == {
+        0: (2, 1, False, "x", "x"), 1: (0, 0, False, "x", "x"), 2: (3, 2, False, "x", "x"),
+    }

@@ -65,3 +65,15 @@ def test_html_lines(spark):
     page = "<head><title>t</title></head><body><script>if (a<b) x</script><p class=a>one <b>two</b></p><pre>x</pre><!-- c --><li>three"
     text = spark.createDataFrame([(page,), (None,)], "h string").select(html_lines(F.col("h"))).collect()
     assert [x for x in text[0][0].split("\n") if x.strip()] == ["one two", "x", "three"] and text[1][0] is None
+
+
+def test_names_do_not_clash(docs_of):
+    rows = [(k, f"Menu\nown {k}", "a") for k in range(30)]
+    df = docs_of(rows)
+    for name in ("_bl_lines", "_BL_HOST", "_bl_left", "Kept_Text", "h", "d", "n", "pages", "th"):
+        df = df.withColumn(name, F.lit("x"))
+    out = drop_boilerplate_lines(df, "source", "text")
+    assert kept(df) == brute(rows, 0.1, 3)
+    # The new column stands in the place of the one of its name.
+    assert [c for c in out.columns if c.lower() == "kept_text"] == ["kept_text"]
+    assert out.filter("_bl_lines <> 'x' or _BL_HOST <> 'x' or _bl_left <> 'x' or h <> 'x'").isEmpty()

@@ -68,3 +68,15 @@ def test_no_words_and_no_rows(docs_of):
 def test_clashing_columns(docs_of):
     df = docs_of(["a b", "c d e"], clash=True)
     assert set(df.columns) <= set(run(df).columns) and run(df).count() == 2
+
+
+def test_any_names(docs_of):
+    rows = [(k, "w " * (k % 5), f"s{k % 3}") for k in range(40)]
+    plain = {r["doc_id"]: r["taken"] for r in run(docs_of(rows)).collect()}
+    df = docs_of(rows)
+    for name in ("_mix_s", "_mix_size", "_MIX_TOTAL", "_mix_start", "_mix_target", "Target", "row", "range", "start", "key", "its_source", "before", "a.b"):
+        df = df.withColumn(name, F.lit("x"))
+    out = run(df)
+    assert {r["doc_id"]: r["taken"] for r in out.collect()} == plain
+    assert [c for c in out.columns if c.lower() == "target"] == ["target"]
+    assert out.filter("_mix_s <> 'x' or `a.b` <> 'x' or `row` <> 'x' or before <> 'x'").isEmpty()

@@ -69,3 +69,22 @@ def test_extra_columns_stay(spark, folder):
     for name, stage in pipeline.STAGES[:-1]:
         assert stage(spark, docs, folder).columns == docs.columns, name
         assert stage(spark, docs, folder).agg(F.count_if(F.col("n_words") != "x"), F.count_if(F.col("taken") != "x")).first()[:] == (0, 0), name
+
+
+def test_names_of_a_stage_do_not_clash(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").limit(40)
+    names = ("_kept", "_Lines", "_dropped", "_digest", "_doc", "_id", "_size", "_epoch", "row", "node", "component")
+    docs = docs.withColumns({c: F.lit("x") for c in names})
+    for name, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns, name
+        assert out.filter(" or ".join(f"`{c}` is distinct from 'x'" for c in names)).isEmpty(), name
+
+
+def test_different_texts_of_one_id_stay(spark, docs_of, folder):
+    rng = random.Random(7)
+    prose = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(60))
+    one, two, three = prose(), prose(), prose()
+    docs = docs_of([(5, one, "s"), (5, two, "s"), (5, two, "s"), (6, three, "s"), (9, three + " end", "s")])
+    out = pipeline.simhash_dedup(spark, docs, folder).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in out) == sorted([(5, one), (5, two), (6, three)])
