@@ -8,11 +8,12 @@ writer, and a run that is committed is not repeated.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.postings import TABLES as INDEX_TABLES
 from ..session import delete_path, folder_names
@@ -31,6 +32,12 @@ KEYS: Mapping[str, Sequence[str]] = {
 BUCKET = "bucket"
 #: An empty file in a bucket that no key has keeps the columns of a table without rows.
 NO_BUCKET = -1
+_MARKS = "name string, schema string"
+
+
+def _dealt(df: DataFrame) -> DataFrame:
+    """One file per bucket, more where a bucket is large."""
+    return df.hint("rebalance", BUCKET)
 
 
 class TableStore:
@@ -40,25 +47,28 @@ class TableStore:
         self.spark = spark
         self.root = root.rstrip("/")
         self.keys = keys
-        self._first_buckets = buckets
-
-    def _committed(self) -> tuple[int | None, int | None]:
-        """Last committed version, and the number of buckets, which never changes."""
-        try:
-            commits = self.spark.read.schema("buckets int, version bigint").parquet(f"{self.root}/commits")
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return None, None
-        return tuple(commits.agg(F.max("version"), F.max("buckets")).first())
+        self._buckets = buckets
+        self._stored_buckets: int | None = None
 
     def version(self) -> int | None:
-        """The last committed version."""
-        return self._committed()[0]
+        """The last committed version: the highest whose row is there."""
+        found = [int(n.partition("=")[2]) for n in folder_names(self.spark, f"{self.root}/commits") if n.startswith("version=")]
+        for at in sorted(found, reverse=True):
+            if any(n.startswith("part-") for n in folder_names(self.spark, f"{self.root}/commits/version={at}")):
+                return at
+        return None
+
+    def buckets(self) -> int:
+        """The number of buckets, which never changes once there is a version."""
+        if self._stored_buckets is None:
+            at = self.version()
+            if at is None:
+                return self._buckets
+            self._stored_buckets = self.spark.read.parquet(f"{self.root}/commits/version={at}").first()["buckets"]
+        return self._stored_buckets
 
     def _bucket(self, name: str) -> Column:
-        buckets = self._committed()[1] or self._first_buckets
-        return F.pmod(F.xxhash64(*self.keys[name]), F.lit(buckets)).cast("int")
+        return F.pmod(F.xxhash64(*self.keys[name]), F.lit(self.buckets())).cast("int")
 
     def touched(self, name: str, rows: DataFrame) -> list[int]:
         """Buckets of a table that the keys of ``rows`` fall into: at most as many numbers as there are buckets."""
@@ -95,37 +105,48 @@ class TableStore:
         for name, df in tables.items():
             if name not in self.keys:
                 df.write.mode("overwrite").parquet(f"{self.root}/{name}/version={version}")
-                continue
-            aside = f"{self.root}/staged/version={version}/{name}"
-            # One file per bucket, more where a bucket is large.
-            dealt = df.withColumn(BUCKET, self._bucket(name)).hint("rebalance", BUCKET)
-            dealt.write.mode("overwrite").partitionBy(BUCKET).parquet(aside)
-            self.spark.createDataFrame([], df.schema).write.parquet(f"{aside}/{BUCKET}={NO_BUCKET}")
-        kept = [name for name in tables if name in self.keys]
-        marks = self.spark.createDataFrame([(name,) for name in kept], "name string")
-        marks.write.mode("overwrite").parquet(f"{self.root}/staged/version={version}/marks")
-        self._put_in_place(version, kept)
-
-    def _staged(self, version: int) -> list[str]:
+        kept = {name: df.withColumn(BUCKET, self._bucket(name)) for name, df in tables.items() if name in self.keys}
+        if self.version() is None:
+            # Nothing is there that could be lost, but for what a first run left that died.
+            for name, df in kept.items():
+                delete_path(self.spark, f"{self.root}/{name}")
+                self._write(name, df)
+            self._seal(version)
+            return
+        aside = f"{self.root}/staged/version={version}"
+        for name, df in kept.items():
+            _dealt(df).write.mode("overwrite").partitionBy(BUCKET).parquet(f"{aside}/{name}")
+        marks = self.spark.createDataFrame([(name, df.schema.json()) for name, df in kept.items()], _MARKS)
+        marks.write.mode("overwrite").parquet(f"{aside}/marks")
+        self._put_in_place(version, {name: df.schema for name, df in kept.items()})
+
+    def _staged(self, version: int) -> dict[str, T.StructType]:
         """Tables of a version that lie aside, all of them complete; none where the run died before."""
         path = f"{self.root}/staged/version={version}"
         if "marks" not in folder_names(self.spark, path):
-            return []
-        return [r["name"] for r in self.spark.read.schema("name string").parquet(f"{path}/marks").collect()]
+            return {}
+        marks = self.spark.read.schema(_MARKS).parquet(f"{path}/marks").collect()
+        return {r["name"]: T.StructType.fromJson(json.loads(r["schema"])) for r in marks}
 
-    def _put_in_place(self, version: int, names: Sequence[str]) -> None:
+    def _put_in_place(self, version: int, tables: Mapping[str, T.StructType]) -> None:
         aside = f"{self.root}/staged/version={version}"
-        for name in names:
-            rows = self.spark.read.parquet(f"{aside}/{name}")
-            target = f"{self.root}/{name}"
-            rows.drop(BUCKET).limit(0).write.mode("ignore").parquet(f"{target}/{BUCKET}={NO_BUCKET}")
-            new = rows.hint("rebalance", BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            new.partitionBy(BUCKET).parquet(target)
-        buckets = self._committed()[1] or self._first_buckets
-        done = self.spark.range(1).select(F.lit(buckets).cast("int").alias("buckets"))
-        done.write.mode("overwrite").parquet(f"{self.root}/commits/version={version}")
+        for name, schema in tables.items():
+            self._write(name, self.spark.read.schema(schema).parquet(f"{aside}/{name}"))
+        self._seal(version)
         delete_path(self.spark, aside)
 
+    def _write(self, name: str, df: DataFrame) -> None:
+        """Replace the buckets that have rows; a new table gets a file without rows that keeps its columns."""
+        target = f"{self.root}/{name}"
+        if f"{BUCKET}={NO_BUCKET}" not in folder_names(self.spark, target):
+            self.spark.createDataFrame([], df.drop(BUCKET).schema).write.mode("overwrite").parquet(f"{target}/{BUCKET}={NO_BUCKET}")
+        new = _dealt(df).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        new.partitionBy(BUCKET).parquet(target)
+
+    def _seal(self, version: int) -> None:
+        done = self.spark.range(1, numPartitions=1).select(F.lit(self.buckets()).cast("int").alias("buckets"))
+        done.write.mode("overwrite").parquet(f"{self.root}/commits/version={version}")
+
     def expire(self, keep: int = 3) -> None:
         """Delete versions older than the last ``keep``, of all tables kept in versions."""
         at = self.version()
