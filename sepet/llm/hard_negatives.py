@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 import numpy as np
@@ -19,8 +19,11 @@ SCALE = 256
 POSITIVES, NEGATIVES = 5, 10
 #: A negative scores between these percentages of the positive.
 LOW, HIGH = 30, 90
-#: Rows (and numbers in them) whose lists are sorted together, numbers in a block of anchors, anchors of a cluster.
-LOT_ROWS, LOT_VALUES, BLOCK_VALUES, CLUSTER = 8_192, 4_000_000, 500_000, 32
+#: Rows (and numbers in them) whose lists are sorted together, rows of a task, numbers in a block of anchors, anchors of a
+#: cluster.
+LOT_ROWS, LOT_VALUES, TASK_ROWS, BLOCK_VALUES, CLUSTER = 8_192, 4_000_000, 131_072, 2_000_000, 32
+#: One in so many rows is walked first.
+PILOT = 8
 #: Rounds of k-means; the first and the longest step along a list.
 ROUNDS, STEP, LONGEST = 4, 256, 4_096
 #: Slack for rounding, in radians and relative.
@@ -170,13 +173,25 @@ def _search(clusters: list[Cluster], wants: list[list[Want]], top: int):
     return run
 
 
-def _first(rows: DataFrame, clusters: list[Cluster], wants: list[list[Want]], top: int) -> DataFrame:
-    """(number, want, ident, score, rank): the first ``top`` rows of every want over all lots."""
+def _ranked(rows: DataFrame, clusters: list[Cluster], wants: list[list[Want]], top: int) -> DataFrame:
     found = rows.select("ident", "label", "v").mapInArrow(_search(clusters, wants, top), "number bigint, want bigint, ident bigint, score bigint")
     order = Window.partitionBy("number", "want").orderBy(F.col("score").desc(), "ident")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
 
 
+def _first(rows: DataFrame, clusters: list[Cluster], wants: list[list[Want]], top: int) -> DataFrame:
+    """(number, want, ident, score, rank): the first ``top`` rows of every want over all lots.
+
+    A part of the rows, by hash, goes first. The score of a want's last row there is one that its last row of all reaches, so
+    the walks over all rows take nothing below it: about ``PILOT * top`` rows a want leave their tasks, however many
+    lots there are. One number per want comes to the driver.
+    """
+    part = _ranked(rows.filter(F.pmod(F.xxhash64("ident", F.lit(PILOT)), F.lit(PILOT)) == 0), clusters, wants, top)
+    floors = {(r["number"], r["want"]): r["score"] for r in part.filter(F.col("rank") == top).collect()}
+    raised = [[replace(w, low=max(w.low, floors.get(w.key, w.low))) for w in own] for own in wants]
+    return _ranked(rows, clusters, raised, top)
+
+
 def mine_negatives(
     df: DataFrame,
     vector: str,
@@ -215,10 +230,11 @@ def mine_negatives(
         & F.forall("x", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     )
     n = rows.count()
+    parts = max(math.ceil(n / TASK_ROWS), min(math.ceil(n / LOT_ROWS), df.sparkSession.sparkContext.defaultParallelism), 1)
     # Equal rows share the hash of their ident, so they meet without another shuffle.
     lots = settle_partitions(
         rows.select("ident", "label", "anchor", F.transform("x", lambda x: F.floor(x * float(scale))).alias("v"))
-        .repartition(max(1, math.ceil(n / LOT_ROWS)), "ident")
+        .repartition(parts, "ident")
         .dropDuplicates(["ident", "label", "v"])
     )
     anchors = lots.filter("anchor").select("ident", "label", "v")

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sepet.llm import hard_negatives
 from sepet.llm.hard_negatives import Want, cluster_anchors, mine_negatives, walk
 
 SCHEMA = T.StructType(
@@ -64,6 +65,29 @@ def test_ties_and_one_vector_in_most_rows(spark):
     assert sorted(run(frame(spark, rows))) == plain(rows)
 
 
+def test_rows_that_leave_the_tasks_do_not_grow_with_the_lots(spark):
+    """Anchors are the same; with eight times as many lots hardly more rows are found in them."""
+    rng = np.random.default_rng(5)
+    data = [(i, np.floor(256 * np.array(v)).astype(int).tolist(), label) for i, v, label in vectors(rng, 4_000, noise=1.0)]
+    rows = spark.createDataFrame([(i, label, v) for i, v, label in data], "ident long, label long, v array<long>")
+    x = np.array([v for _, v, _ in data[:40]])
+    clusters = cluster_anchors(x, np.array([d[2] for d in data[:40]]), np.arange(40), np.arange(40))
+    wants = [[Want(m, False, -np.inf, np.inf, (int(k), 0)) for m, k in enumerate(c.numbers)] for c in clusters]
+    made = {}
+    for parts in (8, 64):
+        lots = rows.repartition(parts, "ident")
+        seen = []
+        search = hard_negatives._ranked
+        hard_negatives._ranked = lambda r, c, w, top: seen.append(r.mapInArrow(hard_negatives._search(c, w, top), "number long, want long, ident long, score long").count()) or search(r, c, w, top)
+        try:
+            found = hard_negatives._first(lots, clusters, wants, 10)
+            assert found.count() == 400
+        finally:
+            hard_negatives._ranked = search
+        made[parts] = seen[-1]
+    assert made[64] < 2 * made[8] and made[64] < 64 * 400 / 4
+
+
 def test_large_numbers(spark):
     rows = [(k, [1e5 * (k + 1), -3e5 * (k % 7), 2e5 + k], k % 2) for k in range(60)]
     assert sorted(run(frame(spark, rows))) == plain(rows)
