@@ -39,18 +39,36 @@ def words_of(text: str | None) -> list[bytes]:
     return [] if text is None else text.encode("utf-8", "surrogatepass").lower().split()
 
 
+#: Edges from which a node is a hub, and how many hubs there are at most.
+HUB_EDGES, MOST_HUBS = 1_000, 100_000
+
+
 def _mark(edges: DataFrame) -> tuple:
     row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     return row[0], row[1]
 
 
+def _with_least(edges: DataFrame, count: int) -> DataFrame:
+    """``edges`` (a, b) with ``low``, the least neighbour of a.
+
+    Edges of a node meet in one task of a join, so nodes with many of them, hubs, are joined by broadcast and their
+    edges stay where they are. There are ``MOST_HUBS`` of them at most: that many nodes cannot have more edges each.
+    """
+    least = edges.groupBy("a").agg(F.min("b").alias("low"), F.count(F.lit(1)).alias("n"))
+    bound = max(HUB_EDGES, count // MOST_HUBS)
+    hubs = F.broadcast(least.filter(F.col("n") > bound).select("a", "low"))
+    others = least.filter(F.col("n") <= bound).select("a", "low")
+    return edges.join(hubs, "a", "left_anti").join(others, "a").unionByName(edges.join(hubs, "a"))
+
+
 def star_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b), two bigint columns; component is the smallest node
     reachable.
 
     Large-star and small-star by turns: edges are hung on the smallest neighbour until nothing changes, in
-    rounds that grow with the logarithm of the largest component. Only minima per node are aggregated, with
-    map-side combine, so a node with very many edges is no bottleneck. Every round is a written table.
+    rounds that grow with the logarithm of the largest component. Minima per node are aggregated with
+    map-side combine and brought back by a join that spares hubs, so a node with very many edges is no bottleneck. Every
+    round is a written table.
     """
     now = settle(
         edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
@@ -58,10 +76,9 @@ def star_components(edges: DataFrame) -> DataFrame:
     seen = _mark(now)
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
-        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("low"))
-        small = large.join(least, "a")
+        low = F.least("a", "low").alias("low")
+        large = _with_least(both, 2 * seen[0]).select("a", "b", low).filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
+        small = _with_least(large, seen[0])
         small = small.select("a", F.col("low").alias("b")).unionByName(
             small.filter("b > low").select(F.col("b").alias("a"), F.col("low").alias("b"))
         )

@@ -1,0 +1,39 @@
+import random
+
+import pytest
+
+from sepet.llm import common
+from sepet.llm.common import star_components
+
+
+def components(edges):
+    root = {}
+
+    def find(x):
+        root.setdefault(x, x)
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+    return {x: find(x) for x in root}
+
+
+@pytest.mark.parametrize("hub_edges, most_hubs", [(5, 100_000), (1_000, 100_000), (1, 3)])
+def test_components_with_hubs(spark, monkeypatch, hub_edges, most_hubs):
+    monkeypatch.setattr(common, "HUB_EDGES", hub_edges)
+    monkeypatch.setattr(common, "MOST_HUBS", most_hubs)
+    rng = random.Random(hub_edges)
+    edges = [(500, k) for k in range(1_000, 1_400)] + [(k, 900) for k in range(1_200, 1_600)]  # two hubs that share neighbours
+    edges += [(k, k + 1) for k in range(2_000, 2_060)] + [(rng.randrange(5_000, 5_300), rng.randrange(5_000, 5_300)) for _ in range(120)]
+    edges += [(7, 7), (2_010, 2_009), (500, 1_000)]
+    rng.shuffle(edges)
+    found = star_components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert {r["node"]: r["component"] for r in found} == components(edges) and len(found) == len(components(edges))
+
+
+def test_no_edges(spark):
+    assert star_components(spark.createDataFrame([], "a long, b long")).collect() == []
