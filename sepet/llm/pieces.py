@@ -121,10 +121,13 @@ class Vocabulary:
                     heapq.heappush(queue, (-(before[start] + e[1] + after), made, start, e[1] + after, (e[0], path)))
         return found
 
+    def raw(self, ids) -> bytes:
+        table = self.bytes_of
+        return b"".join([table[k] for k in ids])
+
     def decode(self, ids) -> bytes:
         """The text of pieces, without the leading space that encoding adds."""
-        table = self.bytes_of
-        return b"".join([table[k] for k in ids])[1:]
+        return self.raw(ids)[1:]
 
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -295,51 +298,62 @@ class Encoder:
             self.score, self.gap = np.concatenate((self.score, score)), np.concatenate((self.gap, gap))
 
     def _alternatives(self, chunk: str) -> list[tuple[float, tuple[int, ...]]]:
+        """Losses and pieces of the n best segmentations of a chunk; the first is the one that stands for it, ties or not."""
         if chunk not in self.lists:
+            k = self.at[chunk]
+            own = tuple(self.ids[self.first[k] : self.first[k] + self.count[k]].tolist())
             found = self.v.n_best(chunk, self.n)
-            self.lists[chunk] = [(found[0][0] - s, p) for s, p in found]
+            others = [(found[0][0] - s, p) for s, p in found if p != own]
+            self.lists[chunk] = [(0.0, own), *others[: self.n - 1]]
         return self.lists[chunk]
 
-    def encode(self, chunks: list[str]) -> tuple[np.ndarray, float, list[float]]:
-        """Pieces of the best segmentation, its score, and the losses of the n best (the first is 0).
+    def encode(self, chunks: list[str]) -> tuple[np.ndarray, float, list[float], list[list[tuple[int, int, tuple[int, ...]]]]]:
+        """Pieces of the best segmentation, its score, the losses of the n best (the first is 0), and for each of these
+        its changes: (place, number, pieces) says which pieces of the best give way to which.
 
         The lattice of a text is the chain of its chunks' lattices. Beyond the best, only the n - 1 chunks whose
         second best loses least can differ: any other change loses as much as those n - 1 changes each.
         """
         at = np.fromiter(map(self.at.__getitem__, chunks), np.int64, len(chunks))
         count = self.count[at]
-        ids = self.ids[np.repeat(self.first[at] - np.cumsum(count) + count, count) + np.arange(count.sum())]
+        ends = np.cumsum(count)
+        ids = self.ids[np.repeat(self.first[at] - ends + count, count) + np.arange(count.sum())]
         gaps = self.gap[at]
         few = min(self.n - 1, len(chunks))
-        losses = [0.0]
+        paths: list[tuple[float, dict[int, tuple[int, ...]]]] = [(0.0, {})]
         if few:
-            near = np.argpartition(gaps, few - 1)[:few]
-            for k in near.tolist():
+            near = np.flatnonzero(gaps <= np.partition(gaps, few - 1)[few - 1])
+            for k in near[np.argsort(gaps[near], kind="stable")][:few].tolist():
                 if np.isfinite(gaps[k]):
-                    options = [loss for loss, _ in self._alternatives(chunks[k])]
-                    losses = heapq.nsmallest(self.n, (a + b for a in losses for b in options))
-        return ids, float(self.score[at].sum()), losses
+                    _, *others = self._alternatives(chunks[k])
+                    both = [*paths, *((a + b, {**changed, k: p}) for a, changed in paths for b, p in others)]
+                    paths = heapq.nsmallest(self.n, both, key=lambda x: x[0])
+        changes = [[(int(ends[k] - count[k]), int(count[k]), changed[k]) for k in sorted(changed)] for _, changed in paths]
+        return ids, float(self.score[at].sum()), [loss for loss, _ in paths], changes
+
+    def restores(self, ids: np.ndarray, changes: list[list[tuple]], text: str) -> bool:
+        """Whether decoding gives the text back, whichever of the changes are made."""
+        exact = lambda a, n, p: self.v.raw(p) == self.v.raw(ids[a : a + n].tolist())
+        return self.v.decode(ids.tolist()) == text.encode("utf-8", "surrogatepass") and all(exact(*c) for made in changes for c in made)
 
     def best(self, text: str) -> list[int]:
-        chunks = split(text)
-        self.learn([chunks])
-        return self.encode(chunks)[0].tolist()
+        return self.n_best(text)[0][1]
 
     def n_best(self, text: str) -> list[tuple[float, list[int]]]:
         """The n best segmentations of a text with their scores, best first."""
         chunks = split(text)
         self.learn([chunks])
-        at = [self.at[c] for c in chunks]
-        gaps = self.gap[at]
-        paths: list[tuple[float, dict[int, tuple[int, ...]]]] = [(0.0, {})]
-        for k in np.argsort(gaps, kind="stable")[: self.n - 1].tolist():
-            if np.isfinite(gaps[k]):
-                options = self._alternatives(chunks[k])
-                both = ((a + b, {**changed, k: p}) for a, changed in paths for b, p in options)
-                paths = heapq.nsmallest(self.n, both, key=lambda x: x[0])
-        own = [tuple(self.ids[self.first[k] : self.first[k] + self.count[k]].tolist()) for k in at]
-        score = float(self.score[at].sum())
-        return [(score - loss, [p for k, o in enumerate(own) for p in changed.get(k, o)]) for loss, changed in paths]
+        ids, score, losses, changes = self.encode(chunks)
+        return [(score - loss, change(ids, made).tolist()) for loss, made in zip(losses, changes, strict=True)]
+
+
+def change(ids: np.ndarray, made: list[tuple[int, int, tuple[int, ...]]]) -> np.ndarray:
+    """Pieces after changes, which are in the order of their places."""
+    parts, done = [], 0
+    for at, n, pieces in made:
+        parts += [ids[done:at], np.array(pieces, np.int32)]
+        done = at + n
+    return np.concatenate([*parts, ids[done:]]) if made else ids
 
 
 @lru_cache(2)
@@ -354,15 +368,20 @@ def split(text: str) -> list[str]:
 
 
 def encode_pieces(df: DataFrame, text: str, ident: str, n: int = N_BEST, model: str = MODEL, alternatives: bool = False) -> DataFrame:
-    """(ident, ids, score, losses, restored) for every row of ``df``, and with ``alternatives`` the ``n_best``.
+    """(ident, ids, score, losses, restored, changes) for every row of ``df``, and with ``alternatives`` the ``n_best``.
 
-    ``ids`` are the pieces of the best segmentation, ``losses`` by how much the n best fall short of it (fewer
-    where there are fewer), ``restored`` whether decoding gives the text back; ``n_best`` has the pieces of all of them,
-    best first, one list for a text without pieces. Nulls and empty texts have no pieces. Rows are encoded each by itself, so
+    ``ids`` are the pieces of the best segmentation, ``losses`` by how much the n best fall short of it (fewer where there
+    are fewer), ``restored`` whether decoding each of them gives the text back. ``changes`` says for each of the n best where
+    it differs: in place of ``n`` pieces of the best, from the piece ``at`` on, stand ``ids``, the best's own list being
+    empty. That is the n best in full without writing each out; ``n_best`` writes out the pieces of all of them, best first, one
+    list for a text without pieces. Nulls and empty texts have no pieces. Rows are encoded each by itself, so
     repeated ones are repeated; an empty table gives an empty result. Whole texts are read in small batches; a task remembers
     a bounded number of chunks.
     """
 
+    names_of = ("at", "n", "ids")
+    change_type = pa.list_(pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32()), ("ids", pa.list_(pa.int32()))])))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(model, n)
         for batch in batches:
@@ -375,21 +394,23 @@ def encode_pieces(df: DataFrame, text: str, ident: str, n: int = N_BEST, model:
                     size += len(texts[-1])
                 split_texts = [split(t) for t in texts]
                 coder.learn(split_texts)
-                ids, scores, losses, restored, lists = [], [], [], [], []
+                ids, scores, losses, restored, changes, lists = [], [], [], [], [], []
                 for t, chunks in zip(texts, split_texts, strict=True):
-                    best, score, lost = coder.encode(chunks)
+                    best, score, lost, made = coder.encode(chunks)
                     ids.append(best)
                     scores.append(score)
                     losses.append(lost)
-                    restored.append(coder.v.decode(best.tolist()) == t.encode("utf-8", "surrogatepass"))
+                    restored.append(coder.restores(best, made, t))
+                    changes.append(made)
                     if alternatives:
-                        lists.append([p for _, p in coder.n_best(t)])
+                        lists.append([change(best, m) for m in made])
                 columns = {
                     "ident": names.slice(at, len(texts)),
                     "ids": pa.array(ids, pa.list_(pa.int32())),
                     "score": pa.array(scores, pa.float64()),
                     "losses": pa.array(losses, pa.list_(pa.float64())),
                     "restored": pa.array(restored, pa.bool_()),
+                    "changes": pa.array([[[dict(zip(names_of, c, strict=True)) for c in m] for m in made] for made in changes], change_type),
                 }
                 if alternatives:
                     columns["n_best"] = pa.array(lists, pa.list_(pa.list_(pa.int32())))
@@ -397,7 +418,9 @@ def encode_pieces(df: DataFrame, text: str, ident: str, n: int = N_BEST, model:
                 at += len(texts)
 
     return df.select(col(ident).cast("bigint").alias("ident"), col(text).cast("string").alias("t")).mapInArrow(
-        run, "ident bigint, ids array<int>, score double, losses array<double>, restored boolean" + ", n_best array<array<int>>" * alternatives
+        run,
+        "ident bigint, ids array<int>, score double, losses array<double>, restored boolean, "
+        "changes array<array<struct<at:int,n:int,ids:array<int>>>>" + ", n_best array<array<int>>" * alternatives,
     )
 
 

@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from check import compare, connect
 
-from sepet.llm.pieces import MODEL, decode_pieces
+from sepet.llm.pieces import MODEL, decode_pieces, encode_pieces
 from sepet.llm.queries import REGISTRY
 from sepet.llm.sql import SQL
 
@@ -155,6 +155,21 @@ def test_op9(spark, docs):
     assert {r["ident"]: r["text"] for r in decode_pieces(found, "ids", "doc_id").collect()} == {i: t or "" for i, t in docs.items()}
 
 
+def test_op9_gives_its_n_best_segmentations(spark, docs):
+    def after(ids, made):
+        for c in reversed(made):
+            ids = [*ids[: c["at"]], *c["ids"], *ids[c["at"] + c["n"] :]]
+        return ids
+
+    whole = encode_pieces(spark.createDataFrame(list(docs.items()), "doc_id bigint, text string"), "text", "doc_id", alternatives=True)
+    want = {r["ident"]: r["n_best"] for r in whole.collect()}
+    for r in REGISTRY["op9_pieces"](spark, SF_DIR).collect():
+        each = [after(r["ids"], made) for made in r["changes"]]
+        assert each == want[r["doc_id"]] and each[0] == r["ids"] and len(each) == len(r["losses"]) == len({*map(tuple, each)})
+    back = decode_pieces(whole.selectExpr("ident", "explode(n_best) as ids"), "ids", "ident").collect()
+    assert len(back) > len(docs) and all(r["text"] == (docs[r["ident"]] or "") for r in back)
+
+
 def test_op10(spark, docs):
     got = rows(spark, "op10_license_scan")
     phrases = {("mit", "license"): "mit", ("apache", "license"): "apache", ("general", "public", "license"): "gpl"}
