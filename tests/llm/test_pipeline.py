@@ -4,6 +4,9 @@ import corpus_pipeline as pipeline
 import pytest
 from pyspark.sql import functions as F
 
+from sepet.llm.near_sets import shingle_set
+from sepet.llm.simhash import fingerprint
+
 import __spark_entry__ as entry
 
 LABELS = "doc_id bigint, quality int, toxic int"
@@ -88,3 +91,20 @@ def test_different_texts_of_one_id_stay(spark, docs_of, folder):
     docs = docs_of([(5, one, "s"), (5, two, "s"), (5, two, "s"), (6, three, "s"), (9, three + " end", "s")])
     out = pipeline.simhash_dedup(spark, docs, folder).collect()
     assert sorted((r["doc_id"], r["text"]) for r in out) == sorted([(5, one), (5, two), (6, three)])
+
+
+def test_near_copies_by_fingerprint_and_by_sets(spark, docs_of, folder):
+    """Texts that repeat one passage very often share a fingerprint though their sets differ; others share most of their sets
+    though their fingerprints differ."""
+    rng = random.Random(11)
+    words = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    chorus, verse = words(9), words(100)
+    sung = [" ".join(chorus * 200 + words(20)) for _ in range(2)]
+    told = [" ".join(verse), " ".join([*verse[:50], "other", *verse[51:96], "word", *verse[97:]])]
+    near = [shingle_set(t.encode()) for t in (*sung, *told)]
+    jaccard = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b))
+    apart = lambda a, b: ((fingerprint(a.encode(), 5) ^ fingerprint(b.encode(), 5)) & (2**64 - 1)).bit_count()
+    assert jaccard(*near[:2]) < 0.5 and apart(*sung) <= 3 and jaccard(*near[2:]) >= 0.8 and apart(*told) > 3
+    rows = [(k, t, "s") for k, t in enumerate([*sung, *told, " ".join(words(100))])]
+    out = pipeline.simhash_dedup(spark, docs_of(rows), folder).collect()
+    assert sorted(r["doc_id"] for r in out) == [0, 2, 4]
