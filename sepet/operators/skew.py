@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from ..session import settle, settle_partitions
 
 TASK_ROWS = 2_000_000
+#: Ranges that large groups are dealt to at most, so that tasks do not outgrow what they do.
+MOST_RANGES = 2_000
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
@@ -68,7 +70,8 @@ def rank_in_groups(
 
     ``sizes`` gives (group, n) and is small. Groups that fit one task use a window. Larger ones are
     range-partitioned over the whole order, so that a group spans many tasks; each row's number is
-    its place in its partition plus the rows of its group in the partitions before.
+    its place in its partition plus the rows of its group in the partitions before. Partitions hold about ``task_rows`` rows,
+    more where that would take over ``MOST_RANGES`` of them.
     """
     by_group = Window.partitionBy(group).orderBy(*order)
     large = sizes.filter(F.col("n") > task_rows).select(group, "n")
@@ -81,7 +84,7 @@ def rank_in_groups(
     )
     ranged = settle_partitions(
         df.join(keys, [group], "left_semi")
-        .repartitionByRange(math.ceil(total / task_rows), F.col(group), *order)
+        .repartitionByRange(min(math.ceil(total / task_rows), MOST_RANGES), F.col(group), *order)
         .sortWithinPartitions(F.col(group), *order)
     )
     # The id grows by one inside a partition and by 2^33 from one partition to the next.

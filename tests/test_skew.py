@@ -41,3 +41,15 @@ def test_broadcast_only_below_the_bound(spark):
     small = spark.range(10)
     assert "ResolvedHint" in skew.broadcast_if_small(small, 10)._jdf.queryExecution().analyzed().toString()
     assert "ResolvedHint" not in skew.broadcast_if_small(small, 9)._jdf.queryExecution().analyzed().toString()
+
+
+def test_ranges_do_not_grow_without_bound(spark, monkeypatch):
+    monkeypatch.setattr(skew, "MOST_RANGES", 7)
+    df = numbers(spark)
+    sizes = df.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    order = [F.col("v").desc(), F.col("id")]
+    ranged = skew.rank_in_groups(df, "g", order, sizes, task_rows=20)
+    dealt = ranged.filter("g = 0").select(F.spark_partition_id().alias("p")).distinct().count()
+    assert 1 < dealt <= 7
+    plain = skew.rank_in_groups(df, "g", order, sizes)
+    assert sorted(map(str, ranged.select("id", "rank").collect())) == sorted(map(str, plain.select("id", "rank").collect()))
