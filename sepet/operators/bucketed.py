@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import new_shared_path, settle
-from .skew import TASK_ROWS, broadcast_if_small, hot_keys
+from .skew import TASK_ROWS, broadcast_if_small
 
 #: Tells apart the parts of a master with very many listings.
 SALT = "_salt"
+#: Products that a bucket holds about at most.
+BUCKET_ROWS = TASK_ROWS // 2
 
 
 def offer_keys(masters: DataFrame, products: DataFrame) -> list[str]:
@@ -36,10 +39,14 @@ def save_in_buckets(
 
     Listings of a master that has more than ``task_rows`` are dealt to several parts, which fall into buckets of their own; the
     master stands once for each part. Any join of the two on ``offer_keys`` has no exchange, and no task more than one
-    bucket, a part of a hot master included. ``buckets`` should leave about ``task_rows`` products in each.
+    bucket, a part of a hot master included. ``buckets`` is their least number; there are as many more as leave about
+    ``BUCKET_ROWS`` products in each.
     """
     linked = products.filter(F.col("master_key").isNotNull())
-    hot = broadcast_if_small(settle(hot_keys(linked, ["master_key"], task_rows)))
+    counts = settle(linked.groupBy("master_key").agg(F.count(F.lit(1)).alias("_n")))
+    buckets = max(buckets, math.ceil((counts.agg(F.sum("_n")).first()[0] or 0) / BUCKET_ROWS))
+    hot = counts.filter(F.col("_n") > task_rows).select("master_key", F.ceil(F.col("_n") / task_rows).cast("int").alias("_salts"))
+    hot = broadcast_if_small(hot)
     salts = F.coalesce(F.col("_salts"), F.lit(1))
     part = F.pmod(F.xxhash64("source", "external_id"), salts.cast("bigint")).cast("int")
     dealt = linked.join(hot, "master_key", "left").withColumn(SALT, part).drop("_salts")

@@ -76,3 +76,13 @@ def test_median_of_a_category_that_holds_nearly_all_sizes(spark):
     assert max(held) < 600 and sum(held) > 4_000
     whole = {r["category_id"]: (r["primary_unit"], r["median_size"]) for r in deals.family_stats(offers).collect()}
     assert whole == stats
+
+
+def test_buckets_grow_with_the_products(tables, no_broadcast, monkeypatch):
+    """Their number is a least one: no task reads a share of all products that stays the same."""
+    monkeypatch.setattr(bucketed, "BUCKET_ROWS", 100)
+    masters, products = bucketed.save_in_buckets(*tables, buckets=2, task_rows=20)
+    placed = products.select(F.input_file_name().alias("file")).groupBy("file").count().collect()
+    assert len(placed) > 10 and max(r["count"] for r in placed) < products.count() / 5
+    found = catalog.product_offers(masters, products)
+    assert "Exchange" not in below_join(found) and rows(found) == rows(catalog.product_offers(*tables))
