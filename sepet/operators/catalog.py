@@ -43,9 +43,10 @@ def cheapest_offer_flag(products: DataFrame, task_rows: int = TASK_ROWS) -> Data
     """Mark the first offer by price of each master.
 
     The minimum is folded before the shuffle and joined back, where a window would gather a
-    popular master in one task; masters with very many offers are salted.
+    popular master in one task; masters with very many offers are salted. Products are written
+    once, since both sides come from them.
     """
-    linked = products.filter(F.col("master_key").isNotNull())
+    linked = settle(products.filter(F.col("master_key").isNotNull()))
     place = F.struct("price", "source", "external_id")
     first = settle(linked.groupBy("master_key").agg(F.min(place).alias("_first"), F.count(F.lit(1)).alias("_n")))
     hot = first.filter(F.col("_n") > task_rows).select(

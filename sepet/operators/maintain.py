@@ -5,6 +5,8 @@ Each operator maps old table and changes to the new table; the caller writes it
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,15 +41,19 @@ def arrival() -> Column:
     return F.struct("run_ts", "seq")
 
 
-def upsert_latest(products: DataFrame | None, listings: DataFrame) -> DataFrame:
+def upsert_latest(products: DataFrame | None, listings: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Merge listings into products by (source, external_id); the last listing wins.
 
     ``product_url`` stays as first inserted and the master link is kept. One aggregation with
     map-side combine, so a key that repeats in a third of all rows is folded before the shuffle.
+    ``columns`` are those wanted besides the key and the link (none given: all); rows are sorted and
+    shuffled with them alone, since Spark leaves no field out of a struct that it aggregates.
     """
+    wanted = set(PRODUCT_COLUMNS if columns is None else (*PRODUCT_KEY, *columns, "master_key"))
+    replaced = [c for c in _REPLACED if c in wanted] or ["price"]
     new = listings.select(
         *PRODUCT_KEY,
-        F.struct(*[c if c != "last_updated" else F.col("run_ts").alias(c) for c in _REPLACED]).alias("_row"),
+        F.struct(*[c if c != "last_updated" else F.col("run_ts").alias(c) for c in replaced]).alias("_row"),
         "product_url",
         F.lit(None).cast("string").alias("master_key"),
         F.struct(F.lit(1).alias("is_new"), F.col("run_ts").alias("ts"), F.col("seq")).alias("_at"),
@@ -56,7 +62,7 @@ def upsert_latest(products: DataFrame | None, listings: DataFrame) -> DataFrame:
         no_seq = F.lit(None).cast(listings.schema["seq"].dataType)
         old = products.select(
             *PRODUCT_KEY,
-            F.struct(*_REPLACED).alias("_row"),
+            F.struct(*replaced).alias("_row"),
             "product_url",
             "master_key",
             F.struct(F.lit(0).alias("is_new"), F.col("last_updated").alias("ts"), no_seq.alias("seq")).alias("_at"),
@@ -71,7 +77,7 @@ def upsert_latest(products: DataFrame | None, listings: DataFrame) -> DataFrame:
             F.max("master_key").alias("master_key"),
         )
         .select(*PRODUCT_KEY, "_row.*", "_first.product_url", "master_key")
-        .select(*PRODUCT_COLUMNS)
+        .select(*[c for c in PRODUCT_COLUMNS if c in wanted])
     )
 
 

@@ -39,12 +39,16 @@ def register(fn: Query) -> Query:
     return run
 
 
-def _catalog(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return views.masters(spark, sf_dir), views.products(spark, sf_dir)
+def _catalog(spark: SparkSession, sf_dir: str, *columns: str) -> tuple[DataFrame, DataFrame]:
+    """Masters, and products with these columns only if some are given."""
+    return views.masters(spark, sf_dir), views.products(spark, sf_dir, *columns)
 
 
 # Catalogue
 
+#: Columns that offers are shown with.
+_LISTED = ("price", "image_url", "product_url")
+
 
 @register
 def brands(spark, sf_dir):
@@ -136,7 +140,7 @@ SMALL_TASK, NO_FOLD = 500, 0
 
 @register
 def cheapest_offer_flag_salted(spark, sf_dir):
-    flagged = catalog.cheapest_offer_flag(views.products(spark, sf_dir), task_rows=2)
+    flagged = catalog.cheapest_offer_flag(views.products(spark, sf_dir, "price"), task_rows=2)
     return flagged.select("master_key", "source", "external_id", "price", "is_cheapest")
 
 

@@ -144,9 +144,9 @@ def masters(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Newest state of every listing, linked to the master of its part."""
-    return upsert_latest(None, listings(spark, sf_dir)).withColumn("master_key", F.col("external_id").cast("string"))
+def products(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Newest state of every listing, linked to the master of its part; only with ``columns`` besides, if some are given."""
+    return upsert_latest(None, listings(spark, sf_dir), columns or None).withColumn("master_key", F.col("external_id").cast("string"))
 
 
 def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
