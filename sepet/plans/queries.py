@@ -129,7 +129,7 @@ def review_pending(spark, sf_dir):
 
 @register
 def cheapest_offer_flag(spark, sf_dir):
-    return catalog.cheapest_offer_flag(views.products(spark, sf_dir)).select(
+    return catalog.cheapest_offer_flag(views.products(spark, sf_dir, "price")).select(
         "master_key", "source", "external_id", "price", "is_cheapest"
     )
 

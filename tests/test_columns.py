@@ -9,6 +9,7 @@ from sepet.plans import queries, sample_views
 SF_DIR = "/root/testdata/sf0.001"
 LINKED = ["source", "external_id", "price", "master_key"]
 USED = {
+    "cheapest_offer_flag": LINKED,
     "cheapest_offer_flag_salted": LINKED,
 }
 
