@@ -57,13 +57,13 @@ def brands(spark, sf_dir):
 
 @register
 def product_offers(spark, sf_dir):
-    return catalog.product_offers(*_catalog(spark, sf_dir))
+    return catalog.product_offers(*_catalog(spark, sf_dir, *_LISTED))
 
 
 @register
 def product_offers_bucketed(spark, sf_dir):
     """Offers out of tables in buckets, masters with more than four listings in parts."""
-    return catalog.product_offers(*bucketed.save_in_buckets(*_catalog(spark, sf_dir), buckets=8, task_rows=4))
+    return catalog.product_offers(*bucketed.save_in_buckets(*_catalog(spark, sf_dir, *_LISTED), buckets=8, task_rows=4))
 
 
 @register

@@ -11,6 +11,7 @@ LINKED = ["source", "external_id", "price", "master_key"]
 USED = {
     "cheapest_offer_flag": LINKED,
     "cheapest_offer_flag_salted": LINKED,
+    "product_offers": ["source", "external_id", "image_url", "price", "product_url", "master_key"],
 }
 
 
