@@ -33,6 +33,7 @@ OFFER_COLUMNS = [
     "total_size",
     "price_per_unit",
 ]
+LINKS = ("image_url", "product_url")
 
 
 def _tie_keys() -> list[Column]:
@@ -42,7 +43,7 @@ def _tie_keys() -> list[Column]:
 def deals_offers(masters: DataFrame, products: DataFrame, category_id: int | None = None) -> DataFrame:
     """Listings with a unit price, of all categorised masters or of one category.
 
-    Masters without a usable size are dropped before the join.
+    Masters without a usable size are dropped before the join. Links that the products come without are left out.
     """
     chosen = masters.filter(
         F.col("category_id").isNotNull()
@@ -54,7 +55,8 @@ def deals_offers(masters: DataFrame, products: DataFrame, category_id: int | Non
         chosen = chosen.filter(F.col("category_id") == category_id)
     keys = offer_keys(masters, products)
     chosen = chosen.select(*keys, "canonical_title", "brand", "category_id", "size_value", "size_unit", "pack_quantity")
-    linked = products.select(*keys, "source", "external_id", "price", "image_url", "product_url")
+    links = [c for c in LINKS if c in products.columns]
+    linked = products.select(*keys, "source", "external_id", "price", *links)
     size_columns = [F.col("size_value"), F.col("size_unit"), F.col("pack_quantity")]
     return (
         linked.join(chosen, keys)
@@ -67,7 +69,7 @@ def deals_offers(masters: DataFrame, products: DataFrame, category_id: int | Non
                 F.col("size_unit") == COUNT_UNIT, COUNT_FAMILY
             ),
         )
-        .select(*OFFER_COLUMNS)
+        .select(*[c for c in OFFER_COLUMNS if c in links or c not in LINKS])
     )
 
 

@@ -240,7 +240,7 @@ def deals_other_units(spark, sf_dir):
 
 @register
 def deals_by_category(spark, sf_dir):
-    return _offer(deals.deals(*_catalog(spark, sf_dir)), "section", "primary_unit", "rank")
+    return _offer(deals.deals(*_catalog(spark, sf_dir, "price")), "section", "primary_unit", "rank")
 
 
 @register
