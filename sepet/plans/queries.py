@@ -190,12 +190,12 @@ def _offer(df: DataFrame, *more: str) -> DataFrame:
 
 @register
 def deals_offers(spark, sf_dir):
-    return _offer(deals.deals_offers(*_catalog(spark, sf_dir)), "master_key", "image_url", "product_url")
+    return _offer(deals.deals_offers(*_catalog(spark, sf_dir, *_LISTED)), "master_key", "image_url", "product_url")
 
 
 @register
 def deals_offers_bucketed(spark, sf_dir):
-    stored = bucketed.save_in_buckets(*_catalog(spark, sf_dir), buckets=8, task_rows=4)
+    stored = bucketed.save_in_buckets(*_catalog(spark, sf_dir, *_LISTED), buckets=8, task_rows=4)
     return _offer(deals.deals_offers(*stored), "master_key", "image_url", "product_url")
 
 

@@ -13,6 +13,7 @@ USED = {
     "cheapest_offer_flag_salted": LINKED,
     "product_offers": ["source", "external_id", "image_url", "price", "product_url", "master_key"],
     "deals_by_category": LINKED,
+    "deals_offers": ["source", "external_id", "image_url", "price", "product_url", "master_key"],
 }
 
 
