@@ -68,17 +68,17 @@ def product_offers_bucketed(spark, sf_dir):
 
 @register
 def product_search(spark, sf_dir):
-    return catalog.product_search(*_catalog(spark, sf_dir))
+    return catalog.product_search(*_catalog(spark, sf_dir, "price", "image_url"))
 
 
 @register
 def search_text_filter(spark, sf_dir):
-    return catalog.product_search(*_catalog(spark, sf_dir), q=" WIDGET ")
+    return catalog.product_search(*_catalog(spark, sf_dir, "price", "image_url"), q=" WIDGET ")
 
 
 @register
 def search_brand_filter(spark, sf_dir):
-    return catalog.product_search(*_catalog(spark, sf_dir), brand="Brand#7")
+    return catalog.product_search(*_catalog(spark, sf_dir, "price", "image_url"), brand="Brand#7")
 
 
 @register
@@ -88,7 +88,7 @@ def search_price_having(spark, sf_dir):
 
 @register
 def search_sort(spark, sf_dir):
-    found = catalog.product_search(*_catalog(spark, sf_dir), q="gear", sort="price_desc")
+    found = catalog.product_search(*_catalog(spark, sf_dir, "price", "image_url"), q="gear", sort="price_desc")
     return found.select("master_key", "canonical_title", "lowest_price")
 
 

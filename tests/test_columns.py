@@ -14,6 +14,7 @@ USED = {
     "product_offers": ["source", "external_id", "image_url", "price", "product_url", "master_key"],
     "deals_by_category": LINKED,
     "deals_offers": ["source", "external_id", "image_url", "price", "product_url", "master_key"],
+    "product_search": ["source", "external_id", "image_url", "price", "master_key"],
 }
 
 
