@@ -174,7 +174,7 @@ def price_display(spark, sf_dir):
 
 def _sections(spark: SparkSession, sf_dir: str, *columns: str) -> tuple[DataFrame, DataFrame]:
     """Offers by section, and statistics; the offers are written once, with these columns only if some are given."""
-    offers = deals.deals_offers(*_catalog(spark, sf_dir))
+    offers = deals.deals_offers(*_catalog(spark, sf_dir, "price"))
     offers = settle(offers.select(*columns) if columns else offers)
     stats = settle(deals.family_stats(offers))
     return deals.split_sections(offers, stats), stats
@@ -206,20 +206,20 @@ def deals_by_text(spark, sf_dir):
 
 @register
 def deals_family_split(spark, sf_dir):
-    stats = deals.family_stats(deals.deals_offers(*_catalog(spark, sf_dir)))
+    stats = deals.family_stats(deals.deals_offers(*_catalog(spark, sf_dir, "price")))
     return stats.select("category_id", "primary_unit", "n_weight", "n_count")
 
 
 @register
 def deals_median_cap(spark, sf_dir):
-    stats = deals.family_stats(deals.deals_offers(*_catalog(spark, sf_dir)))
+    stats = deals.family_stats(deals.deals_offers(*_catalog(spark, sf_dir, "price")))
     return stats.select("category_id", "median_size", "cap")
 
 
 @register
 def deals_median_split(spark, sf_dir):
     """The same with sizes dealt to ranges of a few rows."""
-    stats = deals.family_stats(deals.deals_offers(*_catalog(spark, sf_dir)), task_rows=20)
+    stats = deals.family_stats(deals.deals_offers(*_catalog(spark, sf_dir, "price")), task_rows=20)
     return stats.select("category_id", "median_size", "cap")
 
 

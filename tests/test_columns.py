@@ -15,6 +15,7 @@ USED = {
     "deals_by_category": LINKED,
     "deals_offers": ["source", "external_id", "image_url", "price", "product_url", "master_key"],
     "product_search": ["source", "external_id", "image_url", "price", "master_key"],
+    "deals_ranked": LINKED,
 }
 
 
