@@ -201,7 +201,7 @@ def deals_offers_bucketed(spark, sf_dir):
 
 @register
 def deals_by_text(spark, sf_dir):
-    return _offer(deals.deals_for_text(*_catalog(spark, sf_dir), views.keyword_map(spark), "Gizmo"))
+    return _offer(deals.deals_for_text(*_catalog(spark, sf_dir, "price"), views.keyword_map(spark), "Gizmo"))
 
 
 @register

@@ -16,6 +16,7 @@ USED = {
     "deals_offers": ["source", "external_id", "image_url", "price", "product_url", "master_key"],
     "product_search": ["source", "external_id", "image_url", "price", "master_key"],
     "deals_ranked": LINKED,
+    "deals_by_text": LINKED,
 }
 
 
