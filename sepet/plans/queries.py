@@ -149,7 +149,7 @@ def cheapest_offer_flag_salted(spark, sf_dir):
 
 @register
 def unit_price(spark, sf_dir):
-    offers = deals.deals_offers(*_catalog(spark, sf_dir))
+    offers = deals.deals_offers(*_catalog(spark, sf_dir, "price"))
     return offers.select(
         "source", "external_id", "total_size", F.round(F.col("price_per_unit").cast("double"), 6).alias("price_per_unit")
     )
@@ -163,7 +163,7 @@ def unit_label(spark, sf_dir):
 @register
 def price_display(spark, sf_dir):
     queue = views.review_queue(spark, sf_dir)
-    shown = views.products(spark, sf_dir).select(
+    shown = views.products(spark, sf_dir, "price").select(
         F.concat_ws("/", "source", F.col("external_id").cast("string")).alias("item"),
         display.price_display(F.col("price")).alias("shown"),
     )
@@ -424,7 +424,7 @@ def upsert_latest(spark, sf_dir):
 @register
 def link_update(spark, sf_dir):
     key = F.col("external_id").cast("string")
-    stored = views.products(spark, sf_dir).withColumn(
+    stored = views.products(spark, sf_dir, "price").withColumn(
         "master_key", F.when(F.col("external_id") % 3 == 0, F.concat(F.lit("old-"), key))
     )
     links = stored.filter(F.col("price") < 500).select("source", "external_id", key.alias("master_key"))

@@ -17,6 +17,7 @@ USED = {
     "product_search": ["source", "external_id", "image_url", "price", "master_key"],
     "deals_ranked": LINKED,
     "deals_by_text": LINKED,
+    "unit_price": LINKED,
 }
 
 
