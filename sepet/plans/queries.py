@@ -83,7 +83,7 @@ def search_brand_filter(spark, sf_dir):
 
 @register
 def search_price_having(spark, sf_dir):
-    return catalog.product_search(*_catalog(spark, sf_dir), min_price=Decimal("200"), max_price=Decimal("900.50"))
+    return catalog.product_search(*_catalog(spark, sf_dir, "price", "image_url"), min_price=Decimal("200"), max_price=Decimal("900.50"))
 
 
 @register

@@ -18,6 +18,7 @@ USED = {
     "deals_ranked": LINKED,
     "deals_by_text": LINKED,
     "unit_price": LINKED,
+    "search_price_having": ["source", "external_id", "image_url", "price", "master_key"],
 }
 
 
