@@ -93,7 +93,7 @@ def search_sort(spark, sf_dir):
 
 
 def _search_order(spark: SparkSession, sf_dir: str, sort: str | None) -> DataFrame:
-    found = catalog.search_places(catalog.product_search(*_catalog(spark, sf_dir), sort=sort), sort)
+    found = catalog.search_places(catalog.product_search(*_catalog(spark, sf_dir, "price", "image_url"), sort=sort), sort)
     return found.select("master_key", "canonical_title", "lowest_price", "place")
 
 

@@ -19,6 +19,7 @@ USED = {
     "deals_by_text": LINKED,
     "unit_price": LINKED,
     "search_price_having": ["source", "external_id", "image_url", "price", "master_key"],
+    "search_order_price_asc": ["source", "external_id", "image_url", "price", "master_key"],
 }
 
 
