@@ -127,8 +127,12 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def masters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One master per part; the category is the one named like the part's type."""
-    parts = table(spark, sf_dir, "part")
+    """One master per part; the category is the one named like the part's type.
+
+    Parts are few bytes but much work, since every title is parsed: they are dealt to tasks by key, where one task would
+    read a file of millions.
+    """
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size").repartition("p_partkey")
     named = categories(spark).select(F.lower("name").alias("_type"), F.col("id").alias("category_id"))
     title = F.concat(F.col("p_name"), _size_text())
     return (
