@@ -17,7 +17,9 @@ from .common import col
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 3
 #: Distinct chunks a task remembers; beyond it starts anew.
-REMEMBER = 150_000
+REMEMBER = 60_000
+#: Texts, and characters of these, that are read at once; chunks that are segmented at once.
+LOT_TEXTS, LOT_CHARS, LOT_CHUNKS = 1_000, 4_000_000, 5_000
 #: Chunks longer than this are segmented one by one.
 LONG = 24
 #: A character without a piece costs this much more than the rarest piece.
@@ -267,7 +269,7 @@ class Chunks:
                     ids = np.array(best[0][1], np.int32)
                     found.append((ids, np.array([len(ids)]), np.array([best[0][0]]), np.array([gap])))
             else:
-                found += [self._matrix(same[at : at + 20_000]) for at in range(0, len(same), 20_000)]
+                found += [self._matrix(same[at : at + LOT_CHUNKS]) for at in range(0, len(same), LOT_CHUNKS)]
         return (order, *(np.concatenate(x) for x in zip(*found, strict=True)))
 
 
@@ -282,20 +284,32 @@ class Encoder:
 
     def _forget(self) -> None:
         self.at: dict[str, int] = {}
+        self.names: list[str] = []
         self.ids, self.first, self.count = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.score, self.gap = np.zeros(0), np.zeros(0)
         self.lists: dict[str, list] = {}
 
-    def learn(self, texts: list[list[str]]) -> None:
+    def learn(self, texts: list[str]) -> list[np.ndarray]:
+        """The chunks of every text as numbers. Chunks are kept once as texts, since those of a whole lot take more than all else."""
         if len(self.at) > REMEMBER:
             self._forget()
-        new = list({c for t in texts for c in t}.difference(self.at))
-        if new:
-            order, ids, count, score, gap = self.chunks.segment(new)
-            self.at.update(zip(order, range(len(self.at), len(self.at) + len(order)), strict=True))
-            self.first = np.concatenate((self.first, len(self.ids) + np.cumsum(count) - count))
-            self.ids, self.count = np.concatenate((self.ids, ids)), np.concatenate((self.count, count))
-            self.score, self.gap = np.concatenate((self.score, score)), np.concatenate((self.gap, gap))
+        numbers = []
+        known = len(self.names)
+        for text in texts:
+            chunks = split(text)
+            new = set(chunks).difference(self.at)
+            self.at.update(zip(new, range(len(self.names), len(self.names) + len(new)), strict=True))
+            self.names += new
+            numbers.append(np.fromiter(map(self.at.__getitem__, chunks), np.int32, len(chunks)))
+        if len(self.names) > known:
+            order, ids, count, score, gap = self.chunks.segment(self.names[known:])
+            # Back into the order of the numbers; the pieces stay where they are.
+            place = np.empty(len(order), np.int64)
+            place[np.fromiter(map(self.at.__getitem__, order), np.int64, len(order)) - known] = np.arange(len(order))
+            self.first = np.concatenate((self.first, (len(self.ids) + np.cumsum(count) - count)[place]))
+            self.ids, self.count = np.concatenate((self.ids, ids)), np.concatenate((self.count, count[place]))
+            self.score, self.gap = np.concatenate((self.score, score[place])), np.concatenate((self.gap, gap[place]))
+        return numbers
 
     def _alternatives(self, chunk: str) -> list[tuple[float, tuple[int, ...]]]:
         """Losses and pieces of the n best segmentations of a chunk; the first is the one that stands for it, ties or not."""
@@ -307,25 +321,24 @@ class Encoder:
             self.lists[chunk] = [(0.0, own), *others[: self.n - 1]]
         return self.lists[chunk]
 
-    def encode(self, chunks: list[str]) -> tuple[np.ndarray, float, list[float], list[list[tuple[int, int, tuple[int, ...]]]]]:
-        """Pieces of the best segmentation, its score, the losses of the n best (the first is 0), and for each of these
+    def encode(self, at: np.ndarray) -> tuple[np.ndarray, float, list[float], list[list[tuple[int, int, tuple[int, ...]]]]]:
+        """For a text's chunks as numbers: pieces of the best segmentation, its score, the losses of the n best (the first is 0), and for each of these
         its changes: (place, number, pieces) says which pieces of the best give way to which.
 
         The lattice of a text is the chain of its chunks' lattices. Beyond the best, only the n - 1 chunks whose
         second best loses least can differ: any other change loses as much as those n - 1 changes each.
         """
-        at = np.fromiter(map(self.at.__getitem__, chunks), np.int64, len(chunks))
         count = self.count[at]
         ends = np.cumsum(count)
         ids = self.ids[np.repeat(self.first[at] - ends + count, count) + np.arange(count.sum())]
         gaps = self.gap[at]
-        few = min(self.n - 1, len(chunks))
+        few = min(self.n - 1, len(at))
         paths: list[tuple[float, dict[int, tuple[int, ...]]]] = [(0.0, {})]
         if few:
             near = np.flatnonzero(gaps <= np.partition(gaps, few - 1)[few - 1])
             for k in near[np.argsort(gaps[near], kind="stable")][:few].tolist():
                 if np.isfinite(gaps[k]):
-                    _, *others = self._alternatives(chunks[k])
+                    _, *others = self._alternatives(self.names[at[k]])
                     both = [*paths, *((a + b, {**changed, k: p}) for a, changed in paths for b, p in others)]
                     paths = heapq.nsmallest(self.n, both, key=lambda x: x[0])
         changes = [[(int(ends[k] - count[k]), int(count[k]), changed[k]) for k in sorted(changed)] for _, changed in paths]
@@ -341,9 +354,7 @@ class Encoder:
 
     def n_best(self, text: str) -> list[tuple[float, list[int]]]:
         """The n best segmentations of a text with their scores, best first."""
-        chunks = split(text)
-        self.learn([chunks])
-        ids, score, losses, changes = self.encode(chunks)
+        ids, score, losses, changes = self.encode(*self.learn([text]))
         return [(score - loss, change(ids, made).tolist()) for loss, made in zip(losses, changes, strict=True)]
 
 
@@ -389,13 +400,11 @@ def encode_pieces(df: DataFrame, text: str, ident: str, n: int = N_BEST, model:
             at = 0
             while at < len(column):
                 texts, size = [], 0
-                while at + len(texts) < len(column) and size < 4_000_000 and len(texts) < 1_000:
+                while at + len(texts) < len(column) and size < LOT_CHARS and len(texts) < LOT_TEXTS:
                     texts.append(column[at + len(texts)].as_py() or "")
                     size += len(texts[-1])
-                split_texts = [split(t) for t in texts]
-                coder.learn(split_texts)
                 ids, scores, losses, restored, changes, lists = [], [], [], [], [], []
-                for t, chunks in zip(texts, split_texts, strict=True):
+                for t, chunks in zip(texts, coder.learn(texts), strict=True):
                     best, score, lost, made = coder.encode(chunks)
                     ids.append(best)
                     scores.append(score)

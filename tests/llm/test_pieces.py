@@ -1,5 +1,7 @@
 import os
 import random
+import subprocess
+import sys
 
 import pytest
 
@@ -83,3 +85,21 @@ def test_pieces_are_about_those_of_the_library(coder):
     assert len(own) <= 1.1 * len(theirs)
     real = [s for t, k in coder.v.piece.items() if t.strip(" ") for s in [coder.v.score[k]]]
     assert sum(2.718281828459045**s for s in real) == pytest.approx(1.0)
+
+
+def test_memory_of_texts_of_new_words_is_bounded():
+    """Four thousand texts of 600 words, a tenth of them new, in a process of its own."""
+    code = """
+import random, resource
+from sepet.llm.pieces import Encoder
+
+coder, rng = Encoder(), random.Random(1)
+often = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9))) for _ in range(20_000)]
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+for lot in range(4):
+    texts = [" ".join(f"n{lot}x{k}w{i}" if i % 10 == 0 else rng.choice(often) for i in range(600)) for k in range(1_000)]
+    coder.learn(texts)
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True)
+    assert int(done.stdout) < 64
