@@ -8,7 +8,7 @@ titles before a title is parsed, and titles fold into shapes before anything is
 for a shape is a short list of *records*: the masters that were, at their founding, better for it
 than every older one. A listing takes the last record founded no later than itself.
 
-Blocks with few shapes are folded in one row each. Larger ones, whatever their size, go through
+Blocks with few shapes are folded in one task each (``fold``). Larger ones, whatever their size, go through
 joins over agreeing tokens, so that no block is ever gathered in one task.
 """
 
@@ -28,11 +28,12 @@ from ..functions.size import extract_size
 from ..functions.text import brand_key, default_brand, tokenize_title
 from ..session import settle, settle_partitions
 from .category import distinct_texts, false_positive_filter, guess_texts, open_texts, resolve_category, resolve_texts
+from .fold import fold_rows
 from .fuzzy import fuzzy_token_join
 from .maintain import PRODUCT_KEY, fill_category_once
 from .skew import TASK_ROWS, broadcast_if_small, salted_join
 
-# Bytes of the shapes of a block that is folded in one row.
+# Bytes of the shapes of a block that is folded in one task.
 FOLD_BYTES = 128_000
 # A key of agreeing tokens is widened until it finds about this many leaders, to so many tokens at most.
 FEW, MOST_WIDTH = 16, 3
@@ -334,23 +335,11 @@ def _by_block(df: DataFrame) -> DataFrame:
 
 
 def _fold_blocks(shapes: DataFrame, threshold: float) -> DataFrame:
-    """Records of the shapes asked for, of blocks that fit one row each."""
-    entry = F.struct("ord", "key", "sig", _tokens(F.col("sig")).alias("tokens"), "fixed", "asked")
-
-    def step(leaders: Column, shape: Column) -> Column:
-        taken = F.exists(
-            leaders, lambda l: _score_if_reachable(l["tokens"], shape["tokens"], threshold) >= threshold
-        )
-        return F.when(shape["fixed"] | ~taken, F.array_append(leaders, shape)).otherwise(leaders)
-
-    blocks = _by_block(shapes).groupBy("block").agg(F.array_sort(F.collect_list(entry)).alias("shapes"))
-    led = blocks.withColumn("leaders", F.aggregate("shapes", F.slice("shapes", 1, 0), step))
-    # Inside the row, so that the leaders are not copied for every shape.
-    answers = F.transform(
-        F.filter("shapes", lambda s: s["asked"]),
-        lambda s: F.struct(s["sig"].alias("sig"), _records(F.col("leaders"), s["tokens"], threshold).alias("records")),
-    )
-    return led.select("block", F.explode(answers).alias("a")).select("block", "a.sig", "a.records")
+    """Records of the shapes asked for, of blocks that a task holds at once; blocks stream through it in order."""
+    record = f"struct<ord:{shapes.schema['ord'].dataType.simpleString()},key:string,score:double>"
+    rows = shapes.select(*SHAPE, F.col("sig").cast("binary").alias("tokens"), "ord", "key", "fixed", "asked")
+    ordered = _by_block(rows).sortWithinPartitions("block", "ord", "key", "sig")
+    return ordered.mapInArrow(fold_rows(threshold), f"block string, sig string, records array<{record}>")
 
 
 def _numbered(batch: DataFrame) -> DataFrame:
@@ -476,7 +465,7 @@ def _join_blocks(shapes: DataFrame, threshold: float, first_batch: int) -> DataF
 
 
 def _split(shapes: DataFrame, fold_bytes: int) -> tuple[DataFrame, DataFrame | None]:
-    """(shapes of blocks that fit a row of ``fold_bytes``, shapes of larger ones or None)."""
+    """(shapes of blocks of up to ``fold_bytes``, shapes of larger ones or None)."""
     # A shape is its tokens, once as a text and once as an array, its key and its order.
     own = 2 * F.octet_length("sig") + F.octet_length("key") + 40
     large = settle(shapes.groupBy("block").agg(F.sum(own).alias("bytes")).filter(F.col("bytes") > fold_bytes))
