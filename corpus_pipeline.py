@@ -12,10 +12,12 @@ from sepet.llm.mixing import mix_sources
 from sepet.llm.near_sets import SHINGLE, near_copies
 from sepet.llm.pieces import encode_pieces
 from sepet.llm.simhash import near_duplicates
-from sepet.session import settle
+from sepet.session import bound_batches, settle
 
 #: A line on more than this share of a source's documents is boilerplate, on this many of them at least.
 LINE_RATIO, LINE_DOCUMENTS = 0.1, 5
+#: Whole texts that Python gets at once.
+BATCH_TEXTS = 1_000
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,6 +55,7 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     their sets of these is 0.8 or more, which fingerprints mostly miss below 0.95; links count over any number of steps. Rows
     that share a doc_id are one document, of which each different text stays once; those without one stay, each by itself. No
     documents give none."""
+    bound_batches(spark, BATCH_TEXTS)
     digest, gone = fresh_name(docs, "_digest", "_gone")
     prints = near_duplicates(docs, "text", "doc_id", SHINGLE).filter("ident is not null")
     links = settle(prints.select(F.col("ident").alias("a"), F.col("component").alias("b")).filter("a <> b"))
@@ -86,6 +89,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of every document of the mix, repeated ones each. Null and empty texts have none; no documents give none."""
+    bound_batches(spark, BATCH_TEXTS)
     return encode_pieces(docs, "text", "doc_id").select(F.col("ident").alias("doc_id"), "ids", "score", "losses", "restored")
 
 

@@ -108,3 +108,19 @@ def test_near_copies_by_fingerprint_and_by_sets(spark, docs_of, folder):
     rows = [(k, t, "s") for k, t in enumerate([*sung, *told, " ".join(words(100))])]
     out = pipeline.simhash_dedup(spark, docs_of(rows), folder).collect()
     assert sorted(r["doc_id"] for r in out) == [0, 2, 4]
+
+
+@pytest.mark.parametrize("before, want", [("10000", 1_000), ("0", 1_000), ("300", 300)])
+def test_python_gets_few_whole_texts_at_once(spark, docs_of, folder, before, want):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    kept = spark.conf.get(key)
+    sizes = lambda batches: (b.from_arrays([[b.num_rows]], ["n"]) for b in batches)
+    docs = docs_of([]).unionByName(spark.range(3_000).selectExpr("id AS doc_id", "'a b' AS text", "'en' AS lang", "'s' AS source", "3L AS n_chars"))
+    try:
+        for stage in (pipeline.simhash_dedup, pipeline.pieces):
+            spark.conf.set(key, before)
+            stage(spark, docs if stage is pipeline.pieces else docs.limit(3), folder)
+            got = [r["n"] for r in docs.coalesce(1).mapInArrow(sizes, "n bigint").collect()]
+            assert max(got) == want and sum(got) == 3_000
+    finally:
+        spark.conf.set(key, kept)
