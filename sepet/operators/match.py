@@ -15,7 +15,7 @@ joins over agreeing tokens, so that no block is ever gathered in one task.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import pyarrow as pa
@@ -48,6 +48,8 @@ BLOCK_SHAPES = 20_000
 TITLE = ["title", "brand"]
 SHAPE = ["block", "sig"]
 SIZE = ["size_value", "size_unit", "pack_quantity"]
+# Columns of listings that are matched; the search term besides tells their category.
+MATCHED = [*PRODUCT_KEY, "run_ts", "seq", "title", "brand", "source_category"]
 
 
 def block_key(brand: Column, size_value: Column, size_unit: Column, pack_quantity: Column) -> Column:
@@ -478,7 +480,9 @@ def _split(shapes: DataFrame, fold_bytes: int) -> tuple[DataFrame, DataFrame | N
 def _with_master(listings: DataFrame, titles: DataFrame, records: DataFrame, task_rows: int) -> DataFrame:
     """Give each listing the last record founded no later than itself, and its title's size."""
     known = settle(titles.join(records, SHAPE, "left"))
-    joined = _by_title(listings, known, [*SIZE, "size_ok", *SHAPE, "records"], task_rows)
+    # The order is made of two other columns: rows are shuffled without it.
+    joined = _by_title(listings.drop("ord"), known, [*SIZE, "size_ok", *SHAPE, "records"], task_rows)
+    joined = joined.withColumn("ord", order_key(1, F.col("run_ts"), F.col("seq")))
     last = F.filter("records", lambda r: r["ord"] <= F.col("ord"))
     return joined.withColumn("_best", F.get(last, F.size(last) - 1)).drop("records")
 
@@ -607,6 +611,18 @@ def last_links(assigned: DataFrame) -> DataFrame:
     return assigned.groupBy(*PRODUCT_KEY).agg(F.max_by("master_key", "ord").alias("master_key"))
 
 
+def _placed(prepared: DataFrame, columns: Sequence[str] | None, **options) -> DataFrame:
+    """``assign_masters``, written without what it reads back or makes anew, and with the title, size and token set of founders
+    alone unless all columns are wanted."""
+    if columns is None:
+        return settle(assign_masters(prepared, **options))
+    carried = dict.fromkeys([*PRODUCT_KEY, "run_ts", "seq", "category_id", *columns])
+    placed = assign_masters(prepared.select(*dict.fromkeys([*carried, *TITLE, "ord"])), **options)
+    of_founders = [F.when(F.col("founds"), F.col(c)).alias(c) for c in (*TITLE, *SIZE, *SHAPE) if c not in carried]
+    light = settle(placed.select(*carried, "size_ok", "master_key", "founds", *of_founders))
+    return light.withColumn("ord", order_key(1, F.col("run_ts"), F.col("seq")))
+
+
 def match_products(
     listings: DataFrame,
     masters: DataFrame | Callable[[DataFrame], DataFrame | None] | None,
@@ -615,10 +631,13 @@ def match_products(
     raw_map: DataFrame,
     queue: DataFrame,
     memo: DataFrame | None = None,
+    columns: Sequence[str] | None = None,
     **options,
 ) -> dict[str, DataFrame]:
     """The whole matching step of a run. ``masters`` may be a function that gives those of the blocks it is asked for;
-    only these come back then.
+    only these come back then. ``columns`` are those of listings that are wanted in ``assigned``, ``dropped`` and ``unmatched``
+    besides product, order and category (not given: all). Listings are written and shuffled with these and what matching
+    needs alone, and titles, sizes and token sets stay with founders.
 
     Returns: ``assigned`` (kept listings with master), ``dropped`` (false positives), ``unmatched``
     (numbers in the title that do not fit), ``masters`` (old and new, categories filled in), ``founded`` (the new ones),
@@ -628,13 +647,18 @@ def match_products(
     asked = settle(distinct_texts(listings))
     guesses = settle(guess_texts(open_texts(asked, raw_map, queue), categories, memo))
     texts = settle(resolve_texts(asked, categories, raw_map, queue, guesses))
-    kept, dropped = false_positive_filter(settle(resolve_category(listings, keyword_map, texts)))
+    if columns is not None:
+        listings = listings.select(*dict.fromkeys([*MATCHED, "search_term", *columns]))
+    resolved = resolve_category(listings, keyword_map, texts)
+    if columns is not None and "search_term" not in columns:
+        resolved = resolved.drop("search_term")
+    kept, dropped = false_positive_filter(settle(resolved))
     prepared = prepare_listings(kept)
     titles = settle(parse_titles(prepared))
     if callable(masters):
         masters = masters(titles.select("block").distinct())
     stored = prepare_masters(masters) if masters is not None else None
-    placed = settle(assign_masters(prepared, stored, titles=titles, **options))
+    placed = _placed(prepared, columns, masters=stored, titles=titles, **options)
     assigned = placed.filter("size_ok")
     founded = new_masters(assigned)
     every = founded if masters is None else with_shape(masters).select(*founded.columns).unionByName(founded)

@@ -46,7 +46,7 @@ def ingest_parsed(
     """``ingest_run`` on parsed feeds. State tables may be parts that hold all that the listings ask for; what comes
     back then is the new state of those parts. ``masters`` may be asked for by blocks."""
     listings = good_listings(parsed)
-    matched = match_products(listings, masters, categories, keyword_map, raw_map, queue, **options)
+    matched = match_products(listings, masters, categories, keyword_map, raw_map, queue, columns=(), **options)
     texts = matched["texts"]
     accepted = texts.filter(F.col("route") == "accept").select("raw_text", "category_id")
     doubtful = texts.filter(F.col("route") == "review").select(

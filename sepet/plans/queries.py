@@ -557,6 +557,7 @@ def match_products(spark, sf_dir):
         views.keyword_map(spark),
         views.raw_map(spark),
         views.queue_seed(spark),
+        columns=(),
     )
     links = found["links"].select(
         F.lit("link").alias("kind"),
