@@ -26,13 +26,15 @@ from ..functions.constants import MATCH_THRESHOLD
 from ..functions.similarity import sizes_can_reach, token_set_score, tokens_agree
 from ..functions.size import extract_size
 from ..functions.text import brand_key, default_brand, tokenize_title
-from ..session import settle, settle_partitions
+from ..session import bound_splits, settle, settle_partitions
 from .category import distinct_texts, false_positive_filter, guess_texts, open_texts, resolve_category, resolve_texts
 from .fold import fold_rows
 from .fuzzy import fuzzy_token_join
 from .maintain import PRODUCT_KEY, fill_category_once
 from .skew import TASK_ROWS, broadcast_if_small, salted_join
 
+# Bytes of a table that a task reads: of 30 or so a listing, which take eight times that where they are sorted.
+SPLIT_BYTES = 32 << 20
 # Bytes of the shapes of a block that is folded in one task.
 FOLD_BYTES = 128_000
 # A key of agreeing tokens is widened until it finds about this many leaders, to so many tokens at most.
@@ -644,6 +646,7 @@ def match_products(
     ``links`` (product to master), ``texts`` (resolved raw categories, for raw map and queue) and ``guesses`` (``memo``, the
     guesses of earlier runs, with those of this one).
     """
+    bound_splits(listings.sparkSession, SPLIT_BYTES)
     asked = settle(distinct_texts(listings))
     guesses = settle(guess_texts(open_texts(asked, raw_map, queue), categories, memo))
     texts = settle(resolve_texts(asked, categories, raw_map, queue, guesses))

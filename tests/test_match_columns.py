@@ -2,6 +2,7 @@ import json
 
 from sepet.operators import match
 from sepet.plans import sample_views as views
+from sepet.session import SPLIT_CONF, bound_splits
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -30,3 +31,14 @@ def test_only_what_is_asked_for_is_written(spark, monkeypatch):
     of = ["source", "external_id", "seq", "master_key", "founds", "ord"]
     rows = [sorted(map(tuple, found["assigned"].select(*of).collect()), key=str) for found in (wide, light)]
     assert rows[0] == rows[1] and len(rows[0]) > 0
+
+
+def test_tasks_read_bounded_splits(spark):
+    before = spark.conf.get(SPLIT_CONF)
+    try:
+        for now, after in (("128m", str(match.SPLIT_BYTES)), ("1m", "1m")):
+            spark.conf.set(SPLIT_CONF, now)
+            bound_splits(spark, match.SPLIT_BYTES)
+            assert spark.conf.get(SPLIT_CONF) == after
+    finally:
+        spark.conf.set(SPLIT_CONF, before)
